@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.expressions import age_at, bulk_sd, proportion, sequential_sd, truncate_name
 from cohortry.operators.features import FeatureWindow, facts_in_windows
 from cohortry.operators.vocabulary import condition_groups, drug_groups
-from cohortry.session import broadcast_if_small
+from cohortry.session import broadcast_if_small, small_table
 from cohortry.sources.cdm import Cdm
 
 # Analysis ids.
@@ -104,8 +104,8 @@ def _two_digits(number: Column) -> Column:
 
 def covariate_ref(cdm: Cdm, counts: DataFrame, windows: Sequence[FeatureWindow]) -> DataFrame:
     """Name, analysis and concept of each covariate that occurs in ``counts``."""
-    window = cdm.spark.createDataFrame(
-        [w[:3] for w in windows], "window_id int, window_start int, window_end int"
+    window = small_table(
+        cdm.spark, [w[:3] for w in windows], "window_id int, window_start int, window_end int"
     )
     analysis = F.pmod("covariate_id", F.lit(1000))
     value = F.floor(F.col("covariate_id") / 1000).cast("long")

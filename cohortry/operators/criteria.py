@@ -249,16 +249,14 @@ def _all_known(days: Sequence[Column]) -> Column:
     return found
 
 
-# Stand-ins for "no bound" where the observation period is ignored.
-FAR_PAST, FAR_FUTURE = dt.date(1, 1, 2), dt.date(9999, 12, 31)
-
-
 def start_window(window: Window) -> tuple[Column, Column]:
     """First and last day on which the other event may start."""
-    inside = not window.ignore_observation
-    low = _later(_edge(window.starts_from), F.col("op_start_date") if inside else F.lit(FAR_PAST))
-    high = _earlier(_edge(window.starts_to), F.col("op_end_date") if inside else F.lit(FAR_FUTURE))
-    return low, high
+    low, high = _edge(window.starts_from), _edge(window.starts_to)
+    if window.ignore_observation:
+        # Stand-ins for "no bound": days no record has.
+        return (F.make_date(F.lit(1), F.lit(1), F.lit(2)) if low is None else low,
+                F.make_date(F.lit(9999), F.lit(12), F.lit(30)) if high is None else high)
+    return _later(low, F.col("op_start_date")), _earlier(high, F.col("op_end_date"))
 
 
 def _count_by_scan(cdm, codes, index, numbered) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators.intervals import all_of
-from cohortry.session import broadcast_if_small
+from cohortry.session import broadcast_if_small, is_small, small_table
 from cohortry.sources.cdm import Cdm
 
 
@@ -42,8 +42,8 @@ def codesets(cdm: Cdm, definitions: Mapping[int, Iterable[Concepts]]) -> DataFra
         for entry in entries
         for concept_id in entry.ids
     ]
-    listed = cdm.spark.createDataFrame(
-        rows, "codeset_id int, listed_id long, descendants boolean, excluded boolean"
+    listed = small_table(
+        cdm.spark, rows, "codeset_id int, listed_id long, descendants boolean, excluded boolean"
     )
     concept = cdm["concept"].select("concept_id", "invalid_reason")
     itself = listed.join(concept, F.col("listed_id") == F.col("concept_id"))
@@ -70,19 +70,19 @@ def concept_set(cdm: Cdm, *entries: Concepts) -> DataFrame:
 
 
 class Codesets:
-    """Resolved concept sets, kept in memory and broadcast where their size allows."""
+    """Resolved concept sets of a definition, kept in memory.
+
+    One count of all of them decides whether each is broadcast; only where they
+    are large together is a single set counted by itself.
+    """
 
     def __init__(self, cdm: Cdm, definitions: Mapping[int, Iterable[Concepts]]):
-        self._rows = broadcast_ready(codesets(cdm, definitions)) if definitions else None
+        self._rows = codesets(cdm, definitions).persist() if definitions else None
+        self._small = self._rows is not None and is_small(self._rows)
 
     def __getitem__(self, codeset_id: int) -> DataFrame:
         chosen = self._rows.where(F.col("codeset_id") == codeset_id).select("concept_id")
-        return broadcast_if_small(chosen)
-
-
-def broadcast_ready(df: DataFrame) -> DataFrame:
-    """Keep a vocabulary-sized frame so that counting it does not compute it twice."""
-    return df.persist()
+        return F.broadcast(chosen) if self._small else broadcast_if_small(chosen)
 
 
 def drug_groups(cdm: Cdm) -> DataFrame:

@@ -27,6 +27,8 @@ from cohortry.operators.results import (
 )
 from cohortry.operators.strata import Stratum, stratify, stratify_by_cohorts, target_strata_xref
 from cohortry.plans.cohort import CohortSpec, build_cohort
+from cohortry.schemas import TABLES
+from cohortry.session import small_table
 from cohortry.sources.cdm import Cdm
 from cohortry.sources.merge import database_info
 from cohortry.sources.sinks import exclude_cohorts, read_cohorts, write_cohorts, write_results
@@ -49,7 +51,7 @@ class Study:
 
     def listed(self, cdm: Cdm, specs: Sequence[CohortSpec], cohort_type: str) -> DataFrame:
         rows = [(self.names[s.cohort_id], s.cohort_id, cohort_type) for s in specs]
-        return cdm.spark.createDataFrame(rows, "name string, cohort_id long, cohort_type string")
+        return small_table(cdm.spark, rows, "name string, cohort_id long, cohort_type string")
 
 
 def run_study(cdm: Cdm, study: Study, folder: str, database_id: str) -> dict[str, DataFrame]:
@@ -66,7 +68,7 @@ def run_study(cdm: Cdm, study: Study, folder: str, database_id: str) -> dict[str
     targets = study.listed(cdm, study.targets, "target")
     cohort_strata = study.listed(cdm, study.strata_cohorts, "strata")
     features = study.listed(cdm, study.features, "feature")
-    bulk = spark.createDataFrame([(s.name, s.strata_id) for s in study.bulk_strata], "name string, cohort_id long")
+    bulk = small_table(spark, [(s.name, s.strata_id) for s in study.bulk_strata], "name string, cohort_id long")
     xref = target_strata_xref(targets, bulk, cohort_strata)
 
     # Only the unsplit cohorts are read while the partitions of the split ones are replaced.
@@ -97,8 +99,7 @@ def run_study(cdm: Cdm, study: Study, folder: str, database_id: str) -> dict[str
     results["cohort"] = cohorts_for_export(listed, xref, counts)
 
     feature_ids = [s.cohort_id for s in (*study.strata_cohorts, *study.features)]
-    window_rows = spark.createDataFrame([tuple(w) for w in study.windows], "window_id int, window_start int, "
-                                        "window_end int, window_type string")
+    window_rows = small_table(spark, study.windows, TABLES["feature_windows"])
     summary = feature_counts(cohort, staging, study.windows, feature_ids)
     proportions = format_features(
         feature_proportions(cohort, summary), window_rows, all_features(cohort_strata, features)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +40,17 @@ def session(app: str = "cohortry", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Count to at most ``max_rows + 1``."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a count proves that ``df`` is small.
 
-    Above the limit the frame is returned as it is and Spark shuffles. The count
-    stops at ``max_rows + 1`` rows.
+    Above the limit the frame is returned as it is and Spark shuffles.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,3 +71,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+_ARROW = {
+    "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
+    "date": pa.date32(),
+}
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A settings list as a DataFrame.
+
+    It becomes a local relation of known size, which Spark broadcasts by itself;
+    no Python worker is started.
+    """
+    columns = [column.split() for column in ddl.split(",")]
+    schema = pa.schema([(name, _ARROW[kind]) for name, kind in columns])
+    data = [pa.array([row[i] for row in rows], schema.field(i).type) for i in range(len(columns))]
+    return spark.createDataFrame(pa.Table.from_arrays(data, schema=schema))

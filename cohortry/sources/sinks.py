@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.schemas import TABLES
+from cohortry.session import small_table
 
 
 def write_cohorts(df: DataFrame, path: str, cohort_ids: Sequence[int]) -> None:
@@ -55,7 +56,7 @@ def read_cohorts(spark: SparkSession, path: str) -> DataFrame:
     """The cohort table; empty if nothing was written yet."""
     files, root = _storage(spark, path)
     if not files.exists(root):
-        return spark.createDataFrame([], TABLES["cohort"])
+        return small_table(spark, [], TABLES["cohort"])
     names = [column.split()[0] for column in TABLES["cohort"].split(",")]
     return spark.read.schema(TABLES["cohort"]).parquet(path).select(*names)
 

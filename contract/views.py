@@ -7,11 +7,14 @@ operators under test, and nothing else, make the difference between the two.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators.intervals import collapse_eras
+from cohortry.schemas import CLINICAL
+from cohortry.session import shared_folder
 from cohortry.sources.cdm import Cdm
 
 BASE = ("region", "nation", "customer", "part", "orders", "lineitem", "events")
@@ -197,16 +200,18 @@ ERAS = {
 }
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BASE}
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view as a Spark DataFrame."""
-    text = VIEWS[name]
-    used = set(re.findall(r"{(\w+)}", text))
-    frames = {table: spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in used}
-    return spark.sql(text, **frames)
+    """One view as a Spark DataFrame.
+
+    The given tables are registered once and stay: dropping a temporary view
+    would also drop every cached plan that reads the same files.
+    """
+    prefix = "given_" + re.sub(r"\W", "_", sf_dir)
+    names = {table: f"{prefix}_{table}" for table in BASE}
+    for table in set(re.findall(r"{(\w+)}", VIEWS[name])):
+        if not spark.catalog.tableExists(names[table]):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(names[table])
+    return spark.sql(VIEWS[name].format(**names))
 
 
 def era_view(cdm: Cdm, name: str) -> DataFrame:
@@ -228,6 +233,7 @@ def cdm(spark: SparkSession, sf_dir: str) -> Cdm:
     """The given tables as a bundle of clinical tables."""
     names = [name for name in VIEWS if name not in ("staging", "measurement_period")]
     bundle = Cdm(spark, {name: _lazy(spark, sf_dir, name) for name in names})
+    bundle = bundle.with_tables(**{name: _kept(spark, sf_dir, name) for name in ("concept", "concept_ancestor")})
     return bundle.with_tables(**{name: _lazy_era(bundle, name) for name in ERAS})
 
 
@@ -240,6 +246,23 @@ def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "staging")
 
 
+# The vocabulary is small, derived in many steps and used by nearly every query:
+# it is written once per application to the shared folder and read from there.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _kept(spark, sf_dir, name):
+    def read():
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _WRITTEN:
+            path = f"{shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}/{name}"
+            view(spark, sf_dir, name).coalesce(8).write.parquet(path)
+            _WRITTEN[key] = path
+        return spark.read.schema(CLINICAL[name]).parquet(_WRITTEN[key])
+
+    return read
+
+
 def _lazy(spark, sf_dir, name):
     return lambda: view(spark, sf_dir, name)
 
