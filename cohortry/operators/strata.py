@@ -1,4 +1,8 @@
-"""Strata: split target cohorts by person, time and other cohorts."""
+"""Strata: split target cohorts by person, time and other cohorts.
+
+The cross-reference comes from settings, so Spark knows its size and broadcasts
+it without a hint.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,6 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import age_at, compare
 from cohortry.operators.intervals import scan_days
-from cohortry.session import broadcast_if_small
 from cohortry.sources.cdm import Cdm
 
 AGE, GENDER, RACE, INDEX_DATE, FOLLOW_UP = "age", "gender", "race", "index_date", "follow_up"
@@ -98,10 +101,8 @@ def stratify(cdm: Cdm, cohort: DataFrame, xref: DataFrame, strata: Sequence[Stra
     Person and observation period are joined once, each row is tested against
     every stratum, and only the strata it belongs to are spread out.
     """
-    pairs = broadcast_if_small(
-        xref.where(F.col("cohort_type") == "TwS").select("target_id", "strata_id", "cohort_id").distinct()
-    )
-    targets = broadcast_if_small(xref.select(F.col("target_id").alias("cohort_definition_id")).distinct())
+    pairs = xref.where(F.col("cohort_type") == "TwS").select("target_id", "strata_id", "cohort_id").distinct()
+    targets = xref.select(F.col("target_id").alias("cohort_definition_id")).distinct()
     rows = cohort.join(targets, "cohort_definition_id", "left_semi")
     kinds = {stratum.kind for stratum in strata}
     if kinds & {AGE, GENDER, RACE}:
@@ -158,37 +159,38 @@ def _race_parents(cdm: Cdm, strata: Sequence[Stratum]) -> DataFrame:
 
 
 def stratify_by_cohorts(cohort: DataFrame, xref: DataFrame) -> DataFrame:
-    """Targets with (TwS) and without (TwoS) another cohort at their index date."""
-    return stratify_with(cohort, xref).unionByName(stratify_without(cohort, xref))
+    """Targets with (TwS) and without (TwoS) another cohort at their index date.
+
+    A row "with" is repeated for every interval of the stratum cohort that holds
+    its index date; a row "without" has none.
+    """
+    pairs = xref.select("target_id", "strata_id", "cohort_id", "cohort_type")
+    rows = cohort.withColumnRenamed("cohort_definition_id", "target_id").join(pairs, "target_id")
+    open_intervals = F.coalesce("n", F.lit(0).cast("long"))
+    copies = F.when(F.col("cohort_type") == "TwS", open_intervals).otherwise(F.when(open_intervals == 0, 1).otherwise(0))
+    return (
+        rows.join(_covered(cohort, xref), ["subject_id", "cohort_start_date", "strata_id"], "left")
+        .withColumn("_copies", copies)
+        .where("_copies > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+        .select(F.col("cohort_id").alias("cohort_definition_id"), *COHORT[1:])
+    )
 
 
 def stratify_with(cohort: DataFrame, xref: DataFrame) -> DataFrame:
-    """Target rows whose index date lies in an interval of the stratum cohort.
-
-    A row is repeated for every interval that holds it.
-    """
-    rows = _target_rows(cohort, xref, "TwS")
-    covered = _covered(cohort, xref).where("n > 0")
-    joined = rows.join(covered, ["subject_id", "cohort_start_date", "strata_id"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*COHORT)
+    """Target rows whose index date lies in an interval of the stratum cohort."""
+    return stratify_by_cohorts(cohort, xref.where(F.col("cohort_type") == "TwS"))
 
 
 def stratify_without(cohort: DataFrame, xref: DataFrame) -> DataFrame:
     """Target rows whose index date lies in no interval of the stratum cohort."""
-    rows = _target_rows(cohort, xref, "TwoS")
-    covered = _covered(cohort, xref).where("n > 0")
-    return rows.join(covered, ["subject_id", "cohort_start_date", "strata_id"], "left_anti").select(*COHORT)
+    return stratify_by_cohorts(cohort, xref.where(F.col("cohort_type") == "TwoS"))
 
 
-def _target_rows(cohort: DataFrame, xref: DataFrame, cohort_type: str) -> DataFrame:
-    pairs = broadcast_if_small(
-        xref.where(F.col("cohort_type") == cohort_type).select("target_id", "strata_id", "cohort_id")
-    )
-    return (
-        cohort.withColumnRenamed("cohort_definition_id", "target_id")
-        .join(pairs, "target_id")
-        .withColumnRenamed("cohort_id", "cohort_definition_id")
-    )
+def replace_strata(staging: DataFrame, xref: DataFrame, split: DataFrame) -> DataFrame:
+    """Staging cohorts in which the stratified cohorts take the place of earlier ones."""
+    replaced = xref.select(F.col("cohort_id").alias("cohort_definition_id"))
+    return staging.join(replaced, "cohort_definition_id", "left_anti").unionByName(split)
 
 
 def _covered(cohort: DataFrame, xref: DataFrame) -> DataFrame:
@@ -197,7 +199,7 @@ def _covered(cohort: DataFrame, xref: DataFrame) -> DataFrame:
     Starts count up, days after ends count down; the running sum at a day is the
     number of intervals open on it.
     """
-    strata = broadcast_if_small(xref.select("strata_id").distinct())
+    strata = xref.select("strata_id").distinct()
     intervals = cohort.withColumnRenamed("cohort_definition_id", "strata_id").join(strata, "strata_id", "left_semi")
     steps = intervals.select(
         "subject_id",
@@ -210,7 +212,7 @@ def _covered(cohort: DataFrame, xref: DataFrame) -> DataFrame:
         ).alias("step"),
     )
     facts = steps.groupBy("subject_id", "strata_id", F.col("step.day").alias("day")).agg(F.sum("step.n").alias("n"))
-    targets = broadcast_if_small(xref.select(F.col("target_id").alias("cohort_definition_id")).distinct())
+    targets = xref.select(F.col("target_id").alias("cohort_definition_id")).distinct()
     dates = cohort.join(targets, "cohort_definition_id", "left_semi").select("subject_id", "cohort_start_date")
     known = intervals.select("subject_id", "strata_id").distinct()
     points = dates.distinct().join(known, "subject_id").withColumn("day", F.col("cohort_start_date"))

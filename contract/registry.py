@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.session import prepare
+from cohortry.session import prepare, shared_folder
 from contract import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,5 +50,12 @@ class Source:
     def staging(self) -> DataFrame:
         return views.staging(self.spark, self._sf_dir)
 
+    def view(self, name: str) -> DataFrame:
+        return views.view(self.spark, self._sf_dir, name)
+
+    def scratch(self) -> str:
+        """A new folder that all executors can see."""
+        return f"{shared_folder(self.spark)}/contract-{uuid.uuid4().hex}"
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._sf_dir}/{name}.parquet")

@@ -191,6 +191,55 @@ VIEWS = {
         from {{orders}} where o_orderstatus <> 'O'""",
 }
 
+# Results of five sites: one per region.
+_MEMBER = f"""
+        select c.cohort_definition_id as cohort_id, c.subject_id, r_name as database_id,
+               year(c.cohort_start_date) - (1880 + c.subject_id % 120) as age
+        from ({VIEWS['staging']}) c join {{customer}} on c_custkey = c.subject_id
+        join {{nation}} on n_nationkey = c_nationkey join {{region}} on r_regionkey = n_regionkey"""
+_FACT = f"""
+        select cohort_id, subject_id, database_id,
+               (cast(floor(age / 5.0) as bigint) * 1000 + 3) * 10 + 1 as covariate_id, cast(3 as bigint) as analysis_id,
+               'Age group: ' || right('00' || cast(cast(floor(age / 5.0) as bigint) * 5 as string), 2) || '-'
+                   || right('00' || cast(cast(floor(age / 5.0) as bigint) * 5 + 4 as string), 2) as covariate_name
+        from ({_MEMBER}) m where age >= 0
+        union all
+        select m.cohort_id, m.subject_id, m.database_id,
+               ((5000000 + {_DIGIT}) * 1000 + 212) * 10 + o_orderkey % 4 + 1, cast(212 as bigint),
+               'condition_era group: ' || o_orderpriority
+        from ({_MEMBER}) m join {{orders}} on o_custkey = m.subject_id where o_orderkey % 8 < 4
+        union all
+        select m.cohort_id, m.subject_id, m.database_id, 301000 + o_orderkey % 4 + 1, cast(10000 as bigint),
+               'Cohort during window: partial'
+        from ({_MEMBER}) m join {{orders}} on o_custkey = m.subject_id where o_orderstatus = 'P' and o_orderkey % 5 = 0"""
+VIEWS["site_count"] = f"""
+        select cohort_id, count(*) as cohort_entries, count(distinct subject_id) as cohort_subjects, database_id
+        from ({_MEMBER}) m group by cohort_id, database_id"""
+VIEWS["site_value"] = f"""
+        select f.cohort_id, f.covariate_id, cast(f.n as double) / cast(t.n as double) as mean,
+               sqrt(cast(f.n as double) / cast(t.n as double) * (1 - cast(f.n as double) / cast(t.n as double))) as sd,
+               f.database_id
+        from (select cohort_id, database_id, covariate_id, count(distinct subject_id) as n
+              from ({_FACT}) x where cohort_id < 200 group by cohort_id, database_id, covariate_id) f
+        join (select cohort_id, database_id, count(distinct subject_id) as n from ({_MEMBER}) m
+              group by cohort_id, database_id) t on t.cohort_id = f.cohort_id and t.database_id = f.database_id"""
+VIEWS["site_covariate"] = f"""
+        select distinct covariate_id,
+               case when database_id in ('ASIA', 'EUROPE') then upper(covariate_name) else covariate_name end
+                   as covariate_name,
+               analysis_id as covariate_analysis_id
+        from ({_FACT}) f where cohort_id < 200"""
+VIEWS["site_mark"] = f"""
+        select distinct covariate_id, case when covariate_id % 3 = 0 then 'UTF8' else 'ASCII' end as mark
+        from ({_FACT}) f where cohort_id < 200 and covariate_id % 7 <> 0"""
+VIEWS["site_xref"] = f"""
+        select cohort_id, 100 + cohort_id % 2 as target_id,
+               case when cohort_id % 2 = 1 then 'urgent target' else 'high target' end as target_name,
+               cast(floor(cohort_id / 100.0) as bigint) as strata_id,
+               'stratum ' || cast(cast(floor(cohort_id / 100.0) as bigint) as string) as strata_name,
+               case when cohort_id < 200 then 'TwS' else 'TwoS' end as cohort_type
+        from (select distinct cohort_definition_id as cohort_id from ({VIEWS['staging']}) s) c"""
+
 # Eras of the exposures and conditions, collapsed with a gap of 30 days.
 ERAS = {
     "drug_era": ("drug_exposure", "drug_concept_id", "drug_exposure_start_date", "drug_exposure_end_date"),
@@ -231,8 +280,7 @@ def era_view(cdm: Cdm, name: str) -> DataFrame:
 
 def cdm(spark: SparkSession, sf_dir: str) -> Cdm:
     """The given tables as a bundle of clinical tables."""
-    names = [name for name in VIEWS if name not in ("staging", "measurement_period")]
-    bundle = Cdm(spark, {name: _lazy(spark, sf_dir, name) for name in names})
+    bundle = Cdm(spark, {name: _lazy(spark, sf_dir, name) for name in VIEWS if name in CLINICAL})
     bundle = bundle.with_tables(**{name: _kept(spark, sf_dir, name) for name in ("concept", "concept_ancestor")})
     return bundle.with_tables(**{name: _lazy_era(bundle, name) for name in ERAS})
 
