@@ -97,7 +97,7 @@ def attrition(inclusion: DataFrame, stats: DataFrame, result: DataFrame) -> Data
     """
     rules = inclusion.select("rule_sequence", "name").distinct()
     mine = stats.where("mode_id = 0").select("rule_sequence", "person_count", "gain_count", "person_total")
-    up_to = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: _has_all(F.col("inclusion_rule_mask"), k))
+    up_to = F.filter(F.sequence(F.lit(0), F.lit(61)), lambda k: _has_all(F.col("inclusion_rule_mask"), k))
     remain = (
         result.where("mode_id = 0")
         .withColumn("rule_sequence", F.explode(up_to))
