@@ -144,6 +144,6 @@ def peek(df: DataFrame, rows: int, order: Sequence[str] = ()) -> DataFrame:
 def definition_links(cohorts: DataFrame, tool_url: str, script_url: str) -> DataFrame:
     """Where the definition of each cohort can be read, by the kind of definition."""
     url: Column = F.when(
-        F.col("circe_def"), F.concat(F.lit(tool_url), F.col("atlas_id").cast("string"))
+        F.col("from_tool"), F.concat(F.lit(tool_url), F.col("tool_id").cast("string"))
     ).otherwise(F.concat(F.lit(script_url), F.col("cohort_id").cast("string"), F.lit(".sql")))
     return cohorts.select("name", url.alias("url")).orderBy("name")

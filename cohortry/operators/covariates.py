@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import age_at, bulk_sd, proportion, sequential_sd, truncate_name
-from cohortry.operators.features import FeatureWindow, facts_in_windows
+from cohortry.operators.features import FeatureWindow, facts_in_windows, subjects_per_fact
 from cohortry.operators.vocabulary import condition_groups, drug_groups
 from cohortry.session import broadcast_if_small, small_table
 from cohortry.sources.cdm import Cdm
@@ -69,20 +69,16 @@ def _group_covariates(cohort, eras, groups, windows, analysis: int) -> DataFrame
     groups = broadcast_if_small(groups)
     touching = [w._replace(kind="overlap") for w in windows]
     matched = facts_in_windows(cohort, eras, touching)
-    # Concepts are traded for groups before the cohorts that share an index date are spread out.
     grouped = (
         matched.join(groups, F.col("fact_id") == F.col("descendant_concept_id"))
-        .select("subject_id", "cohort_start_date", "window_id", F.col("ancestor_concept_id").alias("concept_id"))
+        .select("subject_id", "cohort_start_date", "window_id", F.col("ancestor_concept_id").alias("fact_id"))
         .distinct()
     )
-    return (
-        cohort.select("cohort_definition_id", "subject_id", "cohort_start_date")
-        .join(grouped, ["subject_id", "cohort_start_date"])
-        .groupBy(
-            "cohort_definition_id", "window_id",
-            (F.col("concept_id").cast("long") * 1000 + analysis).alias("covariate_id"),
-        )
-        .agg(F.count_distinct("subject_id").alias("sum_value"))
+    return subjects_per_fact(cohort, grouped).select(
+        "cohort_definition_id",
+        "window_id",
+        (F.col("fact_id").cast("long") * 1000 + analysis).alias("covariate_id"),
+        "sum_value",
     )
 
 

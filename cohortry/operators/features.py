@@ -41,11 +41,11 @@ def windows_from_settings(rows: Sequence) -> list[FeatureWindow]:
 
 
 def facts_in_windows(cohort: DataFrame, facts: DataFrame, windows: Sequence[FeatureWindow]) -> DataFrame:
-    """Distinct ``(subject_id, cohort_start_date, window_id, fact_id)`` that match.
+    """``(subject_id, cohort_start_date, window_id, fact_id)`` of the facts that match.
 
     ``facts`` has ``subject_id, fact_id, fact_start, fact_end``. Cohorts share
     most of their index dates, so each date of a subject is looked at once, with
-    all windows at a time.
+    all windows at a time. A fact id with several intervals may repeat.
     """
     dates = cohort.select("subject_id", "cohort_start_date").distinct()
     start = F.col("cohort_start_date")
@@ -64,11 +64,15 @@ def facts_in_windows(cohort: DataFrame, facts: DataFrame, windows: Sequence[Feat
     ]
     return pairs.select(
         "subject_id", "cohort_start_date", "fact_id", F.explode(F.array_compact(F.array(*hit))).alias("window_id")
-    ).distinct()
+    )
 
 
 def subjects_per_fact(cohort: DataFrame, matched: DataFrame) -> DataFrame:
-    """Distinct subjects per cohort, fact and window."""
+    """Distinct subjects per cohort, fact and window.
+
+    ``matched`` comes without duplicates: it is smallest before the cohorts that
+    share an index date are spread out.
+    """
     return (
         cohort.select("cohort_definition_id", "subject_id", "cohort_start_date")
         .join(matched, ["subject_id", "cohort_start_date"])
@@ -86,7 +90,7 @@ def feature_counts(cohort: DataFrame, staging: DataFrame, windows: Sequence[Feat
         F.col("cohort_start_date").alias("fact_start"),
         F.col("cohort_end_date").alias("fact_end"),
     )
-    counted = subjects_per_fact(cohort, facts_in_windows(cohort, facts, windows))
+    counted = subjects_per_fact(cohort, facts_in_windows(cohort, facts, windows).distinct())
     return counted.select(
         "cohort_definition_id",
         F.col("fact_id").alias("feature_cohort_definition_id"),

@@ -31,7 +31,7 @@ from cohortry.schemas import TABLES
 from cohortry.session import small_table
 from cohortry.sources.cdm import Cdm
 from cohortry.sources.merge import database_info
-from cohortry.sources.sinks import exclude_cohorts, read_cohorts, write_cohorts, write_results
+from cohortry.sources.sinks import exclude_cohorts, read_cohorts, write_cohort_table, write_cohorts, write_results
 
 
 @dataclass(frozen=True)
@@ -82,8 +82,7 @@ def run_study(cdm: Cdm, study: Study, folder: str, database_id: str) -> dict[str
     write_cohorts(stratified, staging_path, stratified_ids)
 
     staging = read_cohorts(spark, staging_path)
-    censored = censor_cohorts(staging, xref, study.min_cell)
-    censored.write.mode("overwrite").partitionBy("cohort_definition_id").parquet(cohort_path)
+    write_cohort_table(censor_cohorts(staging, xref, study.min_cell), cohort_path)
     cohort = read_cohorts(spark, cohort_path)
 
     planned = targets.unionByName(cohort_strata).unionByName(features).select("name", "cohort_id")

@@ -48,7 +48,7 @@ CLINICAL = {
 # Settings, cohort and result tables.
 STUDY = {
     "cohort": "cohort_definition_id long, subject_id long, cohort_start_date date, cohort_end_date date",
-    "cohort_settings": "name string, atlas_name string, atlas_id long, cohort_id long",
+    "cohort_settings": "name string, full_name string, tool_id long, cohort_id long",
     "feature_windows": "window_id int, window_start int, window_end int, window_type string",
     "bulk_strata": "generation_script string, name string, lb_operator string, lb_strata_value string, "
     "ub_operator string, ub_strata_value string, cohort_id long",

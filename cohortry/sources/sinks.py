@@ -20,16 +20,26 @@ def write_cohorts(df: DataFrame, path: str, cohort_ids: Sequence[int]) -> None:
     """
     files, root = _storage(df.sparkSession, path)
     before = {cohort_id: _names(files, root, cohort_id) for cohort_id in cohort_ids}
+    _write(df.where(F.col("cohort_definition_id").isin(*cohort_ids)), path, "dynamic")
+    for cohort_id, names in before.items():
+        if names and names == _names(files, root, cohort_id):
+            files.delete(_partition(root, cohort_id), True)
+
+
+def write_cohort_table(df: DataFrame, path: str) -> None:
+    """Write a whole cohort table anew."""
+    _write(df, path, "static")
+
+
+def _write(df: DataFrame, path: str, overwrite: str) -> None:
+    """One partition per cohort, in files of even size: small cohorts share a task, large ones are split."""
     (
-        df.where(F.col("cohort_definition_id").isin(*cohort_ids))
+        df.hint("rebalance", "cohort_definition_id")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", overwrite)
         .partitionBy("cohort_definition_id")
         .parquet(path)
     )
-    for cohort_id, names in before.items():
-        if names and names == _names(files, root, cohort_id):
-            files.delete(_partition(root, cohort_id), True)
 
 
 def write_cohort(df: DataFrame, path: str, cohort_id: int) -> None:

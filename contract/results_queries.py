@@ -65,11 +65,11 @@ def _(s):
         "visit_occurrence_id", "person_id", "visit_start_date", "visit_end_date", "year_of_birth")
 
 
-@query("io2_read_settings", "select c_name as name, cast(null as string) as atlas_name, c_custkey % 10 as atlas_id, c_custkey as cohort_id from customer")
+@query("io2_read_settings", "select c_name as name, cast(null as string) as full_name, c_custkey % 10 as tool_id, c_custkey as cohort_id from customer")
 def _(s):
     folder = s.scratch()
-    rows = s.table("customer").select(F.col("c_name").alias("name"), F.lit("NA").alias("atlasName"),
-                                      (F.col("c_custkey") % 10).alias("atlasId"), F.col("c_custkey").alias("cohortId"))
+    rows = s.table("customer").select(F.col("c_name").alias("name"), F.lit("NA").alias("fullName"),
+                                      (F.col("c_custkey") % 10).alias("toolId"), F.col("c_custkey").alias("cohortId"))
     rows.write.csv(folder, header=True)
     return read_settings(s.spark, folder, "cohort_settings")
 
@@ -427,8 +427,8 @@ query("q12_definition_links", """
     select c_name as name, case when c_custkey % 2 = 0 then 'https://tool.example/' || c_custkey % 100
         else 'https://code.example/' || c_custkey || '.sql' end as url from customer""")(
     lambda s: compare.definition_links(
-        s.table("customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 2 == 0).alias("circe_def"),
-                                   (F.col("c_custkey") % 100).alias("atlas_id"), F.col("c_custkey").alias("cohort_id")),
+        s.table("customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 2 == 0).alias("from_tool"),
+                                   (F.col("c_custkey") % 100).alias("tool_id"), F.col("c_custkey").alias("cohort_id")),
         "https://tool.example/", "https://code.example/"))
 
 # --- Diagnostics ------------------------------------------------------------------------------

@@ -65,7 +65,7 @@ VIEWS = {
                case when o_orderstatus = 'F' then o_orderkey end as visit_occurrence_id
         from {{orders}}""",
     "visit_occurrence": f"""
-        select o_orderkey as visit_occurrence_id, o_custkey as person_id, cast({PART} + 51 as bigint)
+        select o_orderkey as visit_occurrence_id, o_custkey as person_id, {PART} + 51 + o_orderkey % 2
                    as visit_concept_id,
                {_ORDER} as visit_start_date, {_ORDER} + cast(o_orderkey % 14 as int) as visit_end_date
         from {{orders}} where o_orderstatus = 'F'""",
