@@ -234,7 +234,7 @@ ALL_STRATA = [(row[1], row[6]) for row in BULK] + COHORT_STRATA
 
 @query("r5_cohorts_with_details", f"""
     select d.*, n.entries from (
-        select cohort_id, name as cohort_name, cohort_id as target_id, name as target_name, 0 as strata_id,
+        select cohort_id, name as cohort_name, cohort_id as target_id, name as target_name, 0::bigint as strata_id,
                'All' as strata_name, cohort_type from {STUDY_SQL} c
         union all
         select x.cohort_id, x.name, x.target_id, t.name, x.strata_id, s.name, x.cohort_type from {XREF_SQL} x
@@ -441,8 +441,8 @@ def targets(s):
 
 
 query("g1_incidence_rate", f"""
-    with years as (select o.*, unnest(range(year(observation_period_start_date), year(observation_period_end_date) + 1))
-                       as calendar_year from observation_period o),
+    with years as (select o.*, cast(unnest(range(year(observation_period_start_date),
+                       year(observation_period_end_date) + 1)) as int) as calendar_year from observation_period o),
     exposed as (select calendar_year, gender_concept_id, cast(floor((calendar_year - year_of_birth) / 10.0) as bigint)
             as age_group,
             sum(least(observation_period_end_date, make_date(calendar_year, 12, 31))
