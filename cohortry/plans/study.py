@@ -28,7 +28,7 @@ from cohortry.operators.results import (
 from cohortry.operators.strata import Stratum, stratify, stratify_by_cohorts, target_strata_xref
 from cohortry.plans.cohort import CohortSpec, build_cohort
 from cohortry.schemas import TABLES
-from cohortry.session import small_table
+from cohortry.session import broadcast_if_small, small_table
 from cohortry.sources.cdm import Cdm
 from cohortry.sources.merge import database_info
 from cohortry.sources.sinks import exclude_cohorts, read_cohorts, write_cohort_table, write_cohorts, write_results
@@ -85,38 +85,41 @@ def run_study(cdm: Cdm, study: Study, folder: str, database_id: str) -> dict[str
     write_cohort_table(censor_cohorts(staging, xref, study.min_cell), cohort_path)
     cohort = read_cohorts(spark, cohort_path)
 
-    planned = targets.unionByName(cohort_strata).unionByName(features).select("name", "cohort_id")
-    planned = planned.unionByName(xref.select("name", "cohort_id"))
-    results = {"database": database_info(cdm, database_id)}
-    staging_counts = censor_counts(cohort_counts(staging), study.min_cell)
-    results["cohort_staging_count"] = planned_counts(planned, staging_counts).withColumn(
-        "database_id", F.when(F.col("cohort_entries").isNotNull(), F.lit(database_id))
-    )
-    counts = censor_counts(cohort_counts(cohort), study.min_cell)
-    results["cohort_count"] = counts.withColumn("database_id", F.lit(database_id))
+    def stored(part: str, table: DataFrame) -> DataFrame:
+        write_results(table, f"{folder}/{part}", "parquet")
+        return spark.read.parquet(f"{folder}/{part}")
+
     listed = targets.unionByName(cohort_strata).unionByName(features)
-    results["cohort"] = cohorts_for_export(listed, xref, counts)
+    planned = listed.select("name", "cohort_id").unionByName(xref.select("name", "cohort_id"))
+    staging_counts = planned_counts(planned, censor_counts(cohort_counts(staging), study.min_cell))
+    counts = stored("work/cohort_count", censor_counts(cohort_counts(cohort), study.min_cell))
 
     feature_ids = [s.cohort_id for s in (*study.strata_cohorts, *study.features)]
-    window_rows = small_table(spark, study.windows, TABLES["feature_windows"])
-    summary = feature_counts(cohort, staging, study.windows, feature_ids)
-    proportions = format_features(
-        feature_proportions(cohort, summary), window_rows, all_features(cohort_strata, features)
-    ).where(F.col("total_count") >= study.min_subjects)
-    results["feature_proportions"] = enforce_min_cell(proportions, "feature_count", study.min_cell)
+    windows = small_table(spark, study.windows, TABLES["feature_windows"])
+    proportions = feature_proportions(cohort, feature_counts(cohort, staging, study.windows, feature_ids))
+    formatted = format_features(proportions, windows, all_features(cohort_strata, features))
+    formatted = stored("work/feature_proportions", formatted.where(F.col("total_count") >= study.min_subjects))
 
     large = with_min_subjects(counts, study.min_subjects).select(F.col("cohort_id").alias("cohort_definition_id"))
-    characterized = characterize(
-        cdm, cohort.join(large, "cohort_definition_id", "left_semi"), study.windows, sd=study.sd
-    )
+    described = cohort.join(broadcast_if_small(large), "cohort_definition_id", "left_semi")
+    characterized = characterize(cdm, described, study.windows, sd=study.sd)
     columns = ["cohort_id", "covariate_id", "covariate_name", "analysis_id", "mean", "sd"]
-    everything = proportions.select(*columns).unionByName(characterized.select(*columns))
-    results["covariate"] = covariate_list(everything)
-    results["covariate_value"] = covariate_values(everything, counts, study.min_cell, database_id).distinct()
+    everything = stored(
+        "work/characteristics", formatted.select(*columns).unionByName(characterized.select(*columns))
+    )
 
-    for name in ("covariate_value", "cohort_count"):
-        if study.exclude_from_export:
+    results = {
+        "database": database_info(cdm, database_id),
+        "cohort": cohorts_for_export(listed, xref, counts),
+        "cohort_staging_count": staging_counts.withColumn(
+            "database_id", F.when(F.col("cohort_entries").isNotNull(), F.lit(database_id))
+        ),
+        "cohort_count": counts.withColumn("database_id", F.lit(database_id)),
+        "feature_proportions": enforce_min_cell(formatted, "feature_count", study.min_cell),
+        "covariate": covariate_list(everything),
+        "covariate_value": covariate_values(everything, counts, study.min_cell, database_id).distinct(),
+    }
+    if study.exclude_from_export:
+        for name in ("covariate_value", "cohort_count"):
             results[name] = exclude_cohorts(results[name], study.exclude_from_export)
-    for name, table in results.items():
-        write_results(table, f"{folder}/results/{name}", "parquet")
-    return {name: spark.read.parquet(f"{folder}/results/{name}") for name in results}
+    return {name: stored(f"results/{name}", table) for name, table in results.items()}

@@ -448,7 +448,7 @@ query("g1_incidence_rate", f"""
             sum(least(observation_period_end_date, make_date(calendar_year, 12, 31))
                 - greatest(observation_period_start_date, make_date(calendar_year, 1, 1)) + 1)::bigint as person_days
         from years y join person p on p.person_id = y.person_id group by all),
-    started as (select c.cohort_definition_id, year(cohort_start_date) as calendar_year, gender_concept_id,
+    started as (select c.cohort_definition_id, cast(year(cohort_start_date) as int) as calendar_year, gender_concept_id,
             cast(floor((year(cohort_start_date) - year_of_birth) / 10.0) as bigint) as age_group,
             count(*) as cohort_count
         from {TARGET_ROWS} c join person p on p.person_id = c.subject_id join observation_period o
