@@ -2,18 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
-
-
-def ddl(name: str) -> str:
-    """Schema of a table as a DDL string."""
-    return TABLES[name]
-
-
 # Clinical tables, only the columns the operators use.
 CLINICAL = {
     "person": "person_id long, year_of_birth int, gender_concept_id long, race_concept_id long",
