@@ -68,8 +68,8 @@ with seen as (
 hosts as (select host, min(page_id) as n from seen where host is not null group by host
   having min(page_id) % 3 <> 0 or host like 'blog.%'),
 changes as (
-  select case n % 3 when 0 then 'ads' when 1 then 'spam' else 'adult' end as list, host as key,
-    date '2024-01-01' + cast(d as integer) as at, listed
+  select case n % 3 when 0 then 'ads' when 1 then 'spam' else 'adult' end as kind, host as entry,
+    date '2024-01-01' + cast(d as integer) as since, listed
   from (select host, n, n * 37 % 365 as d, true as listed from hosts
     union all select host, n, n * 37 % 365 + 90 + n % 60, false from hosts
     union all select host, n, n * 37 % 365 + 250, true from hosts)
@@ -77,18 +77,18 @@ changes as (
   select 'takedown', host || path, date '2024-01-01' + cast(page_id * 13 % 730 as integer), true from seen where host is not null
   union all
   select 'takedown', host || path, date '2024-01-01' + cast(page_id * 13 % 730 + 45 as integer), false from seen where host is not null),
-daily as (select list, key, at, bool_or(listed) as listed from changes group by list, key, at),
+daily as (select kind, entry, since, bool_or(listed) as listed from changes group by kind, entry, since),
 keyed as (
   select distinct page_id, fetched, unnest(
     list_transform(range(1, least(len(string_split(host, '.')), 8) + 1), lambda i: array_to_string(string_split(host, '.')[len(string_split(host, '.')) - i + 1:], '.'))
     || [host]
     || list_transform(range(1, least(len(string_split(path, '/')) - 1, 8) + 1), lambda i: host || array_to_string(string_split(path, '/')[1:i], '/') || '/')
-    || [host || path]) as key
+    || [host || path]) as entry
   from seen where host is not null),
 latest as (
-  select k.page_id, d.list, d.key, arg_max(d.listed, d.at) as listed
-  from keyed k join daily d on d.key = k.key and d.at <= k.fetched group by k.page_id, d.list, d.key),
-held as (select page_id, string_agg(distinct list, ',' order by list) as lists from latest where listed group by page_id)
+  select k.page_id, d.kind, d.entry, arg_max(d.listed, d.since) as listed
+  from keyed k join daily d on d.entry = k.entry and d.since <= k.fetched group by k.page_id, d.kind, d.entry),
+held as (select page_id, string_agg(distinct kind, ',' order by kind) as lists from latest where listed group by page_id)
 select s.page_id, s.url, s.fetched, coalesce(h.lists, '') as lists, h.lists is not null as blocked
 from seen s left join held h using (page_id)
 """
