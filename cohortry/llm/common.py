@@ -131,10 +131,17 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per word (maximal runs without white space, A-Z lowered), and the words before each text."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE,
+                spans: bool = False) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash per word (maximal runs without white space, A-Z lowered), and the words before each text.
+
+    ``spans`` adds where every word begins and ends. ``space`` says which bytes
+    part words.
+    """
+    none = np.zeros(0, np.int64)
+    empty = (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (*empty, none, none) if spans else empty
     inside = ~space[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -143,7 +150,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (*empty, none, none) if spans else empty
     # Bytes before the first word count for no word; spaces inside the runs add nothing.
     run = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, run)
@@ -152,4 +159,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
         value *= _powers(int(run.max()) + 1)[place]
         value[~inside[starts[0]:]] = 0
         hashes = mix64(np.add.reduceat(value, starts - starts[0]))
-    return hashes, np.searchsorted(starts, offsets)
+    first = np.searchsorted(starts, offsets)
+    if not spans:
+        return hashes, first
+    after = np.append(inside[1:], False)
+    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return hashes, first, starts, ends

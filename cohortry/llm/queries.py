@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import minhash_dedup, sharding, url_filters
-from cohortry.llm.common import table
+from cohortry.llm import language_id, minhash_dedup, sharding, toxicity, url_filters
+from cohortry.llm.common import held_out, table
 from cohortry.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,39 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "url", "fetched", F.array_join("lists", ",").alias("lists"), "blocked")
 
 
+def language_profiles(spark: SparkSession, sf_dir: str) -> dict:
+    """Prototypes from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.learn_prototypes(docs.where(~held_out("doc_id")))
+
+
+@query("op3_language_profiles")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by its nearest profile."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = language_id.identify_languages(docs, language_profiles(spark, sf_dir))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+# A document is called toxic from this score on.
+TOXIC = 0.7
+
+
+def toxicity_network(spark: SparkSession, sf_dir: str) -> toxicity.Network:
+    """Trained on the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    return toxicity.learn_toxicity(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op4_recurrent_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, the highest of all its windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity_network(spark, sf_dir))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"),
+                         (F.col("toxicity") >= TOXIC).cast("int").alias("predicted"))
+
+
 @query("op9_minhash_components")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at a similarity of 0.85."""
