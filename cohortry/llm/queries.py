@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import language_id, minhash_dedup, sharding, toxicity, url_filters
+from cohortry.llm import language_id, minhash_dedup, packing, sharding, toxicity, url_filters
 from cohortry.llm.common import held_out, table
 from cohortry.session import prepare
 
@@ -136,6 +136,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("toxicity") >= TOXIC).cast("int").alias("predicted"))
 
 
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences of at most 4096 ids; only lengths and checksums are shuffled."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.cut_documents(docs).withColumn("ids_crc32", packing.ids_crc32(F.col("ids"))).drop("ids")
+    packed = packing.pack_pieces(pieces, docs.count())
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @query("op9_minhash_components")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at a similarity of 0.85."""
