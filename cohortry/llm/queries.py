@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import language_id, minhash_dedup, packing, sharding, toxicity, url_filters
+from cohortry.llm import decontamination, html_template, language_id, minhash_dedup, packing, sharding, toxicity, url_filters
 from cohortry.llm.common import held_out, table
 from cohortry.session import prepare
 
@@ -145,6 +145,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op7_string_tiling")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) of which the document's tiles cover at least half the item."""
+    leaked = decontamination.leaked_items(table(spark, sf_dir, "benchmark"), F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", leaked.alias("leaks"))
+    return docs.select("doc_id", F.inline("leaks"))
+
+
+@query("op8_site_template_removal")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_template.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op9_minhash_components")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at a similarity of 0.85."""
