@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontamination, html_template, language_id, minhash_dedup, packing, sharding, toxicity, url_filters
-from cohortry.llm.common import held_out, table
+from cohortry.llm import (
+    decontamination, hnsw_dedup, html_template, language_id, minhash_dedup, packing, sharding, toxicity, url_filters, warc,
+)
+from cohortry.llm.common import Scratch, held_out, table
 from cohortry.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +138,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("toxicity") >= TOXIC).cast("int").alias("predicted"))
 
 
+@query("op5_warc_salvage")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
+    scratch = Scratch(spark)
+    path = f"{scratch.root}/warc"
+    warc.write_archives(table(spark, sf_dir, "pages"), path, scratch)
+    page = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
+    found = warc.read_archives(spark, path, payloads=False).where("kind = 'record'")
+    return found.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
+
+
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token sequences of at most 4096 ids; only lengths and checksums are shuffled."""
@@ -164,3 +177,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at a similarity of 0.85."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op10_hnsw_components")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of embeddings with a cosine of 0.9 or more."""
+    return hnsw_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
