@@ -12,9 +12,6 @@ from cohortry.llm.queries import TOXIC, language_profiles, toxicity_network
 # SQL cannot express trained networks and profiles.
 ORACLE_SQL = None
 
-# A text whose best cosine with a language profile is below this is no prose of a known language.
-LEAST_LANGUAGE_SCORE = 0.1
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no window scores TOXIC or more."""
@@ -23,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; texts without letters go, and those like no profile."""
+    """Documents in one of the learned languages; texts without letters go, and those that point away from every profile."""
     judged = language_id.identify_languages(docs, language_profiles(spark, sf_dir))
-    known = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    known = (F.col("lang_pred") != "und") & (F.col("score") > 0)
     return judged.where(known).select(*docs.columns)
 
 
