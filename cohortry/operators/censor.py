@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.session import broadcast_if_small
-
 
 def cohort_persons(cohort: DataFrame) -> DataFrame:
     """Distinct persons per cohort."""
@@ -21,7 +19,8 @@ def censor_cohorts(staging: DataFrame, xref: DataFrame, min_cell: int) -> DataFr
     Targets need more than ``min_cell`` persons. A with/without pair stays only
     if both sides have. Strata that come as a single cohort type always stay.
     """
-    feasible = broadcast_if_small(feasible_cohorts(cohort_persons(staging), xref, min_cell))
+    # At most as many ids as the cross-reference lists, a settings table: no count is needed.
+    feasible = F.broadcast(feasible_cohorts(cohort_persons(staging), xref, min_cell))
     return staging.join(feasible, "cohort_definition_id", "left_semi")
 
 
@@ -60,9 +59,11 @@ def planned_counts(planned: DataFrame, counts: DataFrame) -> DataFrame:
     return planned.select("name", "cohort_id").join(counts, "cohort_id", "left")
 
 
-def is_instantiated(cohort: DataFrame, cohort_id: int) -> bool:
-    """Does the cohort have any row?"""
-    return not cohort.where(F.col("cohort_definition_id") == cohort_id).isEmpty()
+def instantiated(planned: DataFrame, cohort: DataFrame) -> DataFrame:
+    """``cohort_id, instantiated`` for all planned cohorts: which of them have rows?"""
+    ids = planned.select("cohort_id").distinct()
+    built = cohort.select(F.col("cohort_definition_id").alias("cohort_id")).distinct().withColumn("_built", F.lit(True))
+    return ids.join(built, "cohort_id", "left").select("cohort_id", F.coalesce("_built", F.lit(False)).alias("instantiated"))
 
 
 def with_min_subjects(counts: DataFrame, min_subjects: int = 140) -> DataFrame:

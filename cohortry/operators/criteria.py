@@ -21,6 +21,9 @@ from cohortry.operators.intervals import in_observation, overlap_join, scan_days
 from cohortry.operators.vocabulary import Codesets
 from cohortry.sources.cdm import Cdm
 
+# Number of the last day a date can hold: no event lies beyond it.
+LAST_DAY = 2**31 - 1
+
 # Columns that make an index event. Rows that agree in these get the same answer.
 SHAPE = ("person_id", "start_date", "end_date", "op_start_date", "op_end_date")
 
@@ -249,13 +252,11 @@ def _all_known(days: Sequence[Column]) -> Column:
     return found
 
 
-def start_window(window: Window) -> tuple[Column, Column]:
-    """First and last day on which the other event may start."""
+def start_window(window: Window) -> tuple[Column | None, Column | None]:
+    """First and last day on which the other event may start; None where nothing bounds it."""
     low, high = _edge(window.starts_from), _edge(window.starts_to)
     if window.ignore_observation:
-        # Stand-ins for "no bound": days no record has.
-        return (F.make_date(F.lit(1), F.lit(1), F.lit(2)) if low is None else low,
-                F.make_date(F.lit(9999), F.lit(12), F.lit(30)) if high is None else high)
+        return low, high
     return _later(low, F.col("op_start_date")), _earlier(high, F.col("op_end_date"))
 
 
@@ -328,10 +329,13 @@ def _points(index: DataFrame, numbered) -> DataFrame:
             need = F.when(high.isNotNull(), _edge(criterion.window.ends_from))
             asked.append(_point(i, F.coalesce(high, start), 0, F.col("op_start_date"), F.col("op_end_date"), need))
         else:
-            # An empty window reads both points with weight 0.
-            weight = F.when(low <= high, 1).otherwise(0)
-            asked.append(_point(i, F.coalesce(high, start), weight, no_day, no_day, no_day))
-            asked.append(_point(i, F.coalesce(F.date_sub(low, 1), start), -weight, no_day, no_day, no_day))
+            # An empty window reads both points with weight 0; without a first day nothing is taken off.
+            bounds = [b for b in (low, high) if b is not None]
+            weight = F.when(low <= high if len(bounds) == 2 else _all_known(bounds), 1).otherwise(0)
+            until = F.date_from_unix_date(F.lit(LAST_DAY)) if high is None else F.coalesce(high, start)
+            asked.append(_point(i, until, weight, no_day, no_day, no_day))
+            if low is not None:
+                asked.append(_point(i, F.coalesce(F.date_sub(low, 1), start), -weight, no_day, no_day, no_day))
     spread = index.withColumn("_ask", F.explode(F.array(*asked)))
     return spread.select(*index.columns, "_ask.*").withColumn("concept", F.lit(None).cast("long"))
 
@@ -358,7 +362,11 @@ def _count_by_pairs(cdm, codes, index, criterion: Criterion, name: str) -> DataF
         "person_id", F.col("start_date").alias("_day"), F.col("end_date").alias("_end"),
         F.col("target_concept_id").alias("_concept"),
     ).agg(F.count("*").alias("_n")).withColumn("_same_day", F.col("_day"))
-    spans = index.withColumns({"_low": low, "_high": high})
+    ends = other.agg(F.min("_day").alias("low"), F.max("_day").alias("high"))
+    spans = index.withColumns({
+        "_low": ends.select("low").scalar() if low is None else low,
+        "_high": ends.select("high").scalar() if high is None else high,
+    })
     pairs = overlap_join(spans, other, ["person_id"], ("_low", "_high"), ("_day", "_same_day"))
     if window.ends_from is not None:
         pairs = pairs.where(F.col("_end") >= _edge(window.ends_from))

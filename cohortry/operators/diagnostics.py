@@ -16,7 +16,11 @@ DAYS_PER_YEAR = 365.25
 
 
 def incidence_rate(cdm: Cdm, cohort: DataFrame) -> DataFrame:
-    """Cohort starts per 1000 person-years by calendar year, gender and ten-year age group."""
+    """Cohort starts per 1000 person-years by calendar year, gender and ten-year age group.
+
+    Every cohort of ``cohort`` has a row for each group that was observed, with
+    a rate of 0 where nobody started.
+    """
     person = cdm["person"].select("person_id", "year_of_birth", "gender_concept_id")
     period = cdm["observation_period"].select(
         "person_id", F.col("observation_period_start_date").alias("_from"),
@@ -46,7 +50,13 @@ def incidence_rate(cdm: Cdm, cohort: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("cohort_count"))
     )
     rate = F.col("cohort_count") * 1000 / (F.col("person_days") / DAYS_PER_YEAR)
-    return started.join(exposed, strata).withColumn("incidence_rate", rate)
+    cohorts = cohort.select("cohort_definition_id").distinct().agg(F.collect_set("cohort_definition_id").alias("_ids"))
+    cells = exposed.withColumn("cohort_definition_id", F.explode(cohorts.scalar()))
+    return (
+        cells.join(started, ["cohort_definition_id", *strata], "left")
+        .withColumn("cohort_count", F.coalesce("cohort_count", F.lit(0).cast("long")))
+        .withColumn("incidence_rate", rate)
+    )
 
 
 def time_distributions(cdm: Cdm, cohort: DataFrame) -> DataFrame:

@@ -60,19 +60,22 @@ class DrugEra:
 
 def drug_eras(cdm: Cdm, codeset: DataFrame, persons: DataFrame | None = None, gap: int = 30,
               offset: int = 0) -> DataFrame:
-    """Periods of continuous exposure to a codeset by standard or source concept."""
+    """Periods of continuous exposure to a codeset by standard or source concept.
+
+    The table is scanned once: each row asks for its concepts, and the codeset
+    comes before anything is shuffled.
+    """
     exposure = cdm["drug_exposure"]
-    if persons is not None:
-        exposure = exposure.join(persons, "person_id", "left_semi")
     start = F.col("drug_exposure_start_date")
     end = F.coalesce("drug_exposure_end_date", F.date_add(start, F.col("days_supply")), F.date_add(start, 1))
-    matches = [
-        exposure.join(codeset, exposure[concept] == codeset["concept_id"], "left_semi").select(
-            "person_id", start.alias("start_date"), end.alias("end_date")
-        )
-        for concept in ("drug_concept_id", "drug_source_concept_id")
-    ]
-    eras = collapse_eras(matches[0].unionByName(matches[1]), ["person_id"], gap)
+    asked = exposure.select(
+        "person_id", start.alias("start_date"), end.alias("end_date"),
+        F.explode(F.array_distinct(F.array("drug_concept_id", "drug_source_concept_id"))).alias("concept_id"),
+    )
+    taken = asked.join(codeset, "concept_id", "left_semi").drop("concept_id")
+    if persons is not None:
+        taken = taken.join(persons, "person_id", "left_semi")
+    eras = collapse_eras(taken, ["person_id"], gap)
     return eras.withColumn("end_date", F.date_add("end_date", offset))
 
 

@@ -81,7 +81,9 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_sp
     Both sides are cut into slices of ``width`` days and joined on key and slice,
     so a long record is spread over many tasks and distant pairs never meet. A
     pair is kept only in the slice in which its overlap begins: nothing is
-    emitted twice. Span columns need different names on the two sides.
+    emitted twice. Span columns need different names on the two sides. A span
+    without a day (NULL, or its end before its start) touches nothing; give
+    bounds that a condition really needs.
     """
     keys = list(keys)
 

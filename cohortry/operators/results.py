@@ -93,11 +93,12 @@ def cohorts_with_details(cohorts: DataFrame, xref: DataFrame, strata: DataFrame)
 def attrition(inclusion: DataFrame, stats: DataFrame, result: DataFrame) -> DataFrame:
     """Persons left after each inclusion rule of a cohort.
 
-    A person group counts for rule ``k`` if its mask has the bits 0 to ``k``.
+    A person group counts for rule ``k`` if its mask has the bits 0 to ``k``; a
+    mask holds up to 63 rules.
     """
     rules = inclusion.select("rule_sequence", "name").distinct()
     mine = stats.where("mode_id = 0").select("rule_sequence", "person_count", "gain_count", "person_total")
-    up_to = F.filter(F.sequence(F.lit(0), F.lit(61)), lambda k: _has_all(F.col("inclusion_rule_mask"), k))
+    up_to = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: _has_all(F.col("inclusion_rule_mask"), k))
     remain = (
         result.where("mode_id = 0")
         .withColumn("rule_sequence", F.explode(up_to))
@@ -119,7 +120,7 @@ def attrition(inclusion: DataFrame, stats: DataFrame, result: DataFrame) -> Data
 
 
 def _has_all(mask: Column, k: Column) -> Column:
-    lowest = F.call_function("shiftleft", F.lit(1).cast("long"), k + 1) - 1
+    lowest = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 63 - k)
     return mask.bitwiseAND(lowest) == lowest
 
 
@@ -215,8 +216,17 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def check_primary_key(df: DataFrame, table: str) -> None:
-    """Raise if two rows of a result table share their key."""
-    found = duplicate_keys(df, PRIMARY_KEYS[table]).limit(5).collect()
-    if found:
-        raise ValueError(f"{table} has duplicate keys, for example {found}")
+# What must be unique besides, once sites are merged and names are cleaned.
+MERGED_KEYS = {"covariate": ("covariate_id",)}
+
+
+def check_primary_key(df: DataFrame, table: str, merged: bool = False) -> None:
+    """Raise if two rows of a result table share their key.
+
+    ``merged`` asks for the keys after the clean-up of merged sites as well.
+    """
+    keys = [PRIMARY_KEYS[table]] + ([MERGED_KEYS[table]] if merged and table in MERGED_KEYS else [])
+    for key in keys:
+        found = duplicate_keys(df, key).limit(5).collect()
+        if found:
+            raise ValueError(f"{table} has duplicate keys {key}, for example {found}")

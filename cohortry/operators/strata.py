@@ -98,9 +98,14 @@ def check_unique_ids(*settings: DataFrame) -> None:
 def stratify(cdm: Cdm, cohort: DataFrame, xref: DataFrame, strata: Sequence[Stratum]) -> DataFrame:
     """Stratified cohorts of all given strata in one pass over the target cohorts.
 
-    Person and observation period are joined once, each row is tested against
-    every stratum, and only the strata it belongs to are spread out.
+    Person is joined once, each row is tested against every stratum, and only
+    the strata it belongs to are spread out. Follow-up strata are a branch of
+    their own: only they repeat a row for every observation period that holds it.
     """
+    by_period = [s for s in strata if s.kind == FOLLOW_UP]
+    others = [s for s in strata if s.kind != FOLLOW_UP]
+    if by_period and others:
+        return stratify(cdm, cohort, xref, others).unionByName(stratify(cdm, cohort, xref, by_period))
     pairs = xref.where(F.col("cohort_type") == "TwS").select("target_id", "strata_id", "cohort_id").distinct()
     targets = xref.select(F.col("target_id").alias("cohort_definition_id")).distinct()
     rows = cohort.join(targets, "cohort_definition_id", "left_semi")

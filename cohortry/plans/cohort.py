@@ -19,6 +19,10 @@ from cohortry.sources.cdm import Cdm
 EARLIEST = ("start_date", "rank", "event_id", "end_date", "op_start_date")
 
 
+# Rules a mask can hold: a long without its sign.
+MAX_RULES = 63
+
+
 @dataclass(frozen=True)
 class CohortSpec:
     """A cohort definition, in the order in which its parts apply."""
@@ -64,6 +68,8 @@ def qualified_events(cdm: Cdm, codes: Codesets | None, spec: CohortSpec) -> Data
 
 def inclusion_mask(cdm: Cdm, codes: Codesets | None, index: DataFrame, rules: Sequence[Group]) -> DataFrame:
     """Add ``inclusion_rule_mask``: bit ``i`` is set where rule ``i`` holds."""
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"{len(rules)} inclusion rules; a mask of 64 bits holds {MAX_RULES}")
     names = [f"_rule_{i}" for i in range(len(rules))]
     judged = evaluate(cdm, codes, index, rules, names) if rules else index
     mask = F.lit(0).cast("long")
@@ -133,3 +139,31 @@ def inclusion_result(cdm: Cdm, spec: CohortSpec) -> DataFrame:
         for mode, rows in ((1, masked), (0, best))
     ]
     return parts[0].unionByName(parts[1])
+
+
+def rule_stats(result: DataFrame, rules: int) -> DataFrame:
+    """Per rule and mode: who meets it, who would be gained without it, and all persons.
+
+    ``result`` is what ``inclusion_result`` gives; a rule gains those who meet
+    all others.
+    """
+    mask, persons = F.col("inclusion_rule_mask"), F.col("person_count")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rule_sequence"))
+    every = (1 << rules) - 1
+    return (
+        result.withColumn("rule_sequence", F.explode(F.sequence(F.lit(0), F.lit(rules - 1))))
+        .groupBy("cohort_definition_id", "rule_sequence", "mode_id")
+        .agg(
+            F.sum(F.when(mask.bitwiseAND(bit) != 0, persons).otherwise(0)).alias("person_count"),
+            F.sum(F.when(mask == F.lit(every).bitwiseXOR(bit), persons).otherwise(0)).alias("gain_count"),
+            F.sum(persons).alias("person_total"),
+        )
+    )
+
+
+def summary_stats(result: DataFrame, rules: int) -> DataFrame:
+    """Per mode: persons before and after all inclusion rules."""
+    kept = F.when(F.col("inclusion_rule_mask") == (1 << rules) - 1, F.col("person_count")).otherwise(0)
+    return result.groupBy("cohort_definition_id", "mode_id").agg(
+        F.sum("person_count").alias("base_count"), F.sum(kept).alias("final_count")
+    )

@@ -56,13 +56,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can see: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a local temporary
-    folder is used.
+    Only a session on one machine may name none: it gets a local temporary
+    folder. On a cluster executors would not see each other's files there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return folder or tempfile.mkdtemp(prefix="cohortry-")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="cohortry-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

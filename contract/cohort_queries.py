@@ -308,12 +308,8 @@ exit_rows("b17_exit_offset_from_end", spec(exit=DateOffset("end", 3), primary=UN
           "coalesce(greatest(end_date + 3, start_date), start_date)", index_sql(UNION_SQL))
 
 EXPOSED = f"""(select person_id, drug_exposure_start_date as start_date,
-        coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply, drug_exposure_start_date + 1) as end_date
-    from drug_exposure where drug_concept_id in {SET_SQL[3]}
-    union all
-    select person_id, drug_exposure_start_date,
-        coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply, drug_exposure_start_date + 1)
-    from drug_exposure where drug_source_concept_id in {SET_SQL[3]})"""
+        coalesce(drug_exposure_end_date, drug_exposure_start_date + coalesce(days_supply, 1)) as end_date
+    from drug_exposure where drug_concept_id in {SET_SQL[3]} or drug_source_concept_id in {SET_SQL[3]})"""
 DRUG_ERAS_SQL = f"({collapse_sql(EXPOSED, 'person_id', 30)})"
 DRUG_INDEX = index_sql(union_primary(chosen("drug", 3)))
 DRUG_EXIT = spec(primary=(Events("drug", 3),), exit=DrugEra(3, 30))

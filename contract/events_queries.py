@@ -7,6 +7,9 @@ import datetime as dt
 from cohortry.operators.criteria import Demographic, all_in
 from cohortry.operators.events import Events, events
 from cohortry.operators.vocabulary import (
+    CLINICAL_FINDING,
+    GENERAL_NAMES,
+    HIGH_LEVEL_GROUPS,
     Codesets,
     codesets,
     concept_set,
@@ -106,12 +109,14 @@ DRUG_GROUPS_SQL = """
     where ((vocabulary_id = 'ATC' and length(rtrim(concept_code)) in (1, 3, 4, 5))
         or (standard_concept = 'S' and concept_class_id = 'Ingredient' and domain_id = 'Drug')) and concept_id <> 0"""
 
-CONDITION_GROUPS_SQL = """
-    select distinct a.descendant_concept_id, a.ancestor_concept_id from concept_ancestor a
-    join (select c.concept_id from concept c join concept_ancestor r on c.concept_id = r.descendant_concept_id
-          where r.ancestor_concept_id = 441840 and r.min_levels_of_separation > 2
-            and not regexp_matches(c.concept_name, 'finding$|^Disorder of|^Finding of|^Disease of|^Injury of|by site$')
-            and c.domain_id = 'Condition') g on a.ancestor_concept_id = g.concept_id"""
+_TOO_GENERAL = " or ".join(f"concept_name like '{pattern}'" for pattern in GENERAL_NAMES)
+CONDITION_GROUPS_SQL = f"""
+    with below_root as (select descendant_concept_id as id, min_levels_of_separation as level from concept_ancestor
+        where ancestor_concept_id = {CLINICAL_FINDING}),
+    named as (select concept_id from concept where domain_id = 'Condition' and not ({_TOO_GENERAL}))
+    select distinct descendant_concept_id, ancestor_concept_id from concept_ancestor
+    where ancestor_concept_id in (select concept_id from named)
+      and ancestor_concept_id in (select id from below_root where level > 2 or id in {HIGH_LEVEL_GROUPS})"""
 
 query("v5_drug_groups", DRUG_GROUPS_SQL)(lambda s: drug_groups(s.cdm))
 query("v6_condition_groups", CONDITION_GROUPS_SQL)(lambda s: condition_groups(s.cdm))

@@ -15,7 +15,7 @@ from cohortry.operators.diagnostics import (
 )
 from cohortry.operators.events import Events
 from cohortry.operators.vocabulary import Codesets, concept_set, concepts
-from cohortry.plans.cohort import inclusion_result
+from cohortry.plans.cohort import inclusion_result, rule_stats, summary_stats
 from cohortry.session import small_table
 from cohortry.sources.cdm import Cdm
 from cohortry.sources.merge import database_info, merge_sites, remap_database
@@ -266,39 +266,45 @@ def _(s):
     found = inclusion_result(s.cdm, spec(inclusion_rules=RULES))
     rules = small_table(s.spark, [(1, i, n) for i, n in enumerate(RULE_NAMES)],
                         "cohort_definition_id long, rule_sequence int, name string")
-    bits = F.array(*[F.lit(i) for i in range(len(RULES))])
-    mask, persons = F.col("inclusion_rule_mask"), F.col("person_count")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rule_sequence"))
-    stats = found.withColumn("rule_sequence", F.explode(bits)).groupBy("rule_sequence", "mode_id").agg(
-        F.sum(F.when(mask.bitwiseAND(bit) != 0, persons).otherwise(0)).alias("person_count"),
-        F.sum(F.when(mask == 7 - bit, persons).otherwise(0)).alias("gain_count"),
-        F.sum(persons).alias("person_total"),
-    )
+    stats = rule_stats(found, len(RULES))
     return results.attrition(rules, stats, found)
 
 
+_BEST_SQL = f"""
+    with masked as (select *, {MASK_SQL} as mask from {ALL_INDEX} p),
+    counted as (select mask, 1 as mode_id, count(distinct person_id) as n from masked group by mask
+        union all select mask, 0, count(*) from (select *, row_number() over (partition by person_id
+            order by bit_count(mask) desc, start_date, tie, end_date, op_start_date) as place from masked) b
+        where place = 1 group by mask)"""
+query("r7_inclusion_stats", f"""{_BEST_SQL}
+    select {spec().cohort_id}::bigint as cohort_definition_id, cast(r.k as int) as rule_sequence, mode_id,
+           sum(case when (mask >> r.k) & 1 = 1 then n else 0 end)::bigint as person_count,
+           sum(case when mask = 7 - (1 << r.k) then n else 0 end)::bigint as gain_count, sum(n)::bigint as person_total
+    from counted, {values(list(enumerate(RULE_NAMES)), 'k, name')} r group by r.k, mode_id""")(
+    lambda s: rule_stats(inclusion_result(s.cdm, spec(inclusion_rules=RULES)), len(RULES)))
+query("r7_summary_stats", f"""{_BEST_SQL}
+    select {spec().cohort_id}::bigint as cohort_definition_id, mode_id, sum(n)::bigint as base_count,
+           sum(case when mask = 7 then n else 0 end)::bigint as final_count
+    from counted group by mode_id""")(
+    lambda s: summary_stats(inclusion_result(s.cdm, spec(inclusion_rules=RULES)), len(RULES)))
+
+
 query("r8_dedupe_covariates", """
     select covariate_id, min(covariate_name) as covariate_name, min(covariate_analysis_id) as covariate_analysis_id,
            cast(right(cast(covariate_id as string), 1) as int) as time_window_id
     from site_covariate group by covariate_id""")(lambda s: results.dedupe_covariates(s.view("site_covariate")))
 
 
-# The condition names of one site are dropped so that some ids have a single row.
-def some_covariates(s):
-    return s.view("site_covariate").where("covariate_id % 4 <> 1 OR covariate_name NOT LIKE 'condition%'")
-
-
-SOME_SQL = "(select * from site_covariate where covariate_id % 4 <> 1 or covariate_name not like 'condition%')"
-query("r9_clean_covariates", f"""
-    with given_covariate as (select * from {SOME_SQL} c),
-    one as (select * from given_covariate where covariate_id in
-        (select covariate_id from given_covariate group by covariate_id having count(*) = 1)),
-    two as (select * from one union all select * from given_covariate c where c.covariate_id not in
-        (select covariate_id from one) and c.covariate_name ilike 'cohort%' and c.covariate_analysis_id = 10000),
-    three as (select * from two union all select c.* from given_covariate c join site_mark m
-        on m.covariate_id = c.covariate_id and m.mark = 'ASCII' where c.covariate_id not in (select covariate_id from two))
-    select distinct *, cast(right(cast(covariate_id as string), 1) as int) as time_window_id from three""")(
-    lambda s: results.clean_covariates(some_covariates(s), s.view("site_mark")))
+query("r9_clean_covariates", """
+    with ranked as (
+        select c.*, case when count(*) over (partition by covariate_id) = 1 then 1
+                         when covariate_name ilike 'cohort%' and covariate_analysis_id = 10000 then 2
+                         when covariate_id in (select covariate_id from site_mark where mark = 'ASCII') then 3 end as priority
+        from site_covariate c)
+    select distinct covariate_id, covariate_name, covariate_analysis_id,
+           cast(right(cast(covariate_id as string), 1) as int) as time_window_id
+    from (select *, min(priority) over (partition by covariate_id) as best from ranked) r where priority = best""")(
+    lambda s: results.clean_covariates(s.view("site_covariate"), s.view("site_mark")))
 query("r10_covariate_coverage", """
     select (select count(distinct covariate_id) from site_covariate) as covariates,
            (select count(distinct covariate_id) from site_mark) as marked,
@@ -454,8 +460,10 @@ query("g1_incidence_rate", f"""
         from {TARGET_ROWS} c join person p on p.person_id = c.subject_id join observation_period o
             on o.person_id = c.subject_id and c.cohort_start_date between o.observation_period_start_date
                 and o.observation_period_end_date group by all)
-    select s.*, e.person_days, s.cohort_count * 1000 / (e.person_days / 365.25::double) as incidence_rate
-    from started s join exposed e using (calendar_year, gender_concept_id, age_group)""")(
+    select c.cohort_definition_id, e.*, coalesce(s.cohort_count, 0) as cohort_count,
+        coalesce(s.cohort_count, 0) * 1000 / (e.person_days / 365.25::double) as incidence_rate
+    from exposed e cross join (values (101), (102)) c(cohort_definition_id)
+    left join started s using (cohort_definition_id, calendar_year, gender_concept_id, age_group)""")(
     lambda s: incidence_rate(s.cdm, targets(s)))
 query("g2_time_distributions", f"""
     with days as (

@@ -207,11 +207,11 @@ _FACT = f"""
         select m.cohort_id, m.subject_id, m.database_id,
                ((5000000 + {_DIGIT}) * 1000 + 212) * 10 + o_orderkey % 4 + 1, cast(212 as bigint),
                'condition_era group: ' || o_orderpriority
-        from ({_MEMBER}) m join {{orders}} on o_custkey = m.subject_id where o_orderkey % 8 < 4
+        from ({_MEMBER}) m join {{orders}} on o_custkey = m.subject_id
         union all
         select m.cohort_id, m.subject_id, m.database_id, 301000 + o_orderkey % 4 + 1, cast(10000 as bigint),
                'Cohort during window: partial'
-        from ({_MEMBER}) m join {{orders}} on o_custkey = m.subject_id where o_orderstatus = 'P' and o_orderkey % 5 = 0"""
+        from ({_MEMBER}) m join {{orders}} on o_custkey = m.subject_id where o_orderstatus = 'P'"""
 VIEWS["site_count"] = f"""
         select cohort_id, count(*) as cohort_entries, count(distinct subject_id) as cohort_subjects, database_id
         from ({_MEMBER}) m group by cohort_id, database_id"""
@@ -220,7 +220,7 @@ VIEWS["site_value"] = f"""
                sqrt(cast(f.n as double) / cast(t.n as double) * (1 - cast(f.n as double) / cast(t.n as double))) as sd,
                f.database_id
         from (select cohort_id, database_id, covariate_id, count(distinct subject_id) as n
-              from ({_FACT}) x where cohort_id < 200 group by cohort_id, database_id, covariate_id) f
+              from ({_FACT}) x group by cohort_id, database_id, covariate_id) f
         join (select cohort_id, database_id, count(distinct subject_id) as n from ({_MEMBER}) m
               group by cohort_id, database_id) t on t.cohort_id = f.cohort_id and t.database_id = f.database_id"""
 VIEWS["site_covariate"] = f"""
@@ -228,10 +228,10 @@ VIEWS["site_covariate"] = f"""
                case when database_id in ('ASIA', 'EUROPE') then upper(covariate_name) else covariate_name end
                    as covariate_name,
                analysis_id as covariate_analysis_id
-        from ({_FACT}) f where cohort_id < 200"""
+        from ({_FACT}) f"""
 VIEWS["site_mark"] = f"""
         select distinct covariate_id, case when covariate_id % 3 = 0 then 'UTF8' else 'ASCII' end as mark
-        from ({_FACT}) f where cohort_id < 200 and covariate_id % 7 <> 0"""
+        from ({_FACT}) f where analysis_id <> 10000"""
 VIEWS["site_xref"] = f"""
         select cohort_id, 100 + cohort_id % 2 as target_id,
                case when cohort_id % 2 = 1 then 'urgent target' else 'high target' end as target_name,
@@ -304,7 +304,7 @@ def _kept(spark, sf_dir, name):
         key = (spark.sparkContext.applicationId, sf_dir, name)
         if key not in _WRITTEN:
             path = f"{shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}/{name}"
-            view(spark, sf_dir, name).coalesce(8).write.parquet(path)
+            view(spark, sf_dir, name).write.parquet(path)
             _WRITTEN[key] = path
         return spark.read.schema(CLINICAL[name]).parquet(_WRITTEN[key])
 
