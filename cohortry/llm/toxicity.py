@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,8 @@ _GRAM_BYTE = random_words(29, 256)
 class Words:
     """The distinct words of some texts and where they stand."""
 
-    bucket: np.ndarray  # word bucket of each distinct word
+    hashes: np.ndarray  # hash of each distinct word
+    bucket: np.ndarray  # its word bucket
     grams: np.ndarray   # n-gram buckets of all distinct words in a row
     begin: np.ndarray   # where those of each distinct word begin
     token: np.ndarray   # distinct word at each place of all texts in a row
@@ -61,7 +63,33 @@ def read_words(texts: pa.Array) -> Words:
             code[there] += _GRAM_BYTE[low[at[there] + k]] * np.uint64(2 * k + 1)
         code[begin] += np.uint64(0x51ED270B0A1F39C1)
         grams = (mix64(code) % np.uint64(GRAM_BUCKETS)).astype(np.int32)
-    return Words((distinct % np.uint64(WORD_BUCKETS)).astype(np.int32), grams, begin, token, first)
+    return Words(distinct, (distinct % np.uint64(WORD_BUCKETS)).astype(np.int32), grams, begin, token.astype(np.int32), first)
+
+
+def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a column, each of about PIECE_BYTES (a longer text is a piece of its own)."""
+    _, offsets = text_buffer(texts)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def read_all(texts: pa.Array) -> Words:
+    """As ``read_words``, piece by piece, which takes less memory."""
+    parts = [read_words(piece) for piece in pieces(texts)]
+    hashes = np.concatenate([p.hashes for p in parts])
+    sizes = np.concatenate([np.diff(np.append(p.begin, len(p.grams))) for p in parts])
+    grams = np.concatenate([p.grams for p in parts])
+    distinct, index, place = np.unique(hashes, return_index=True, return_inverse=True)
+    before = np.cumsum([0] + [len(p.hashes) for p in parts])
+    token = np.concatenate([place[b + p.token] for b, p in zip(before, parts)]).astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))])
+    source, kept = (np.cumsum(sizes) - sizes)[index], sizes[index]
+    begin = np.cumsum(kept) - kept
+    chosen = np.arange(kept.sum()) + np.repeat(source - begin, kept)
+    return Words(distinct, (distinct % np.uint64(WORD_BUCKETS)).astype(np.int32), grams[chosen], begin, token, first)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,8 +125,13 @@ class Network:
         """Input of each distinct word: its own embedding plus the mean of those of its n-grams."""
         if not len(words.bucket):
             return np.zeros((0, WIDTH), np.float32)
-        sizes = np.diff(np.append(words.begin, len(words.grams)))
-        return self.word[words.bucket] + np.add.reduceat(self.gram[words.grams], words.begin) / sizes[:, None]
+        ends = np.append(words.begin[1:], len(words.grams))
+        out = np.empty((len(words.bucket), WIDTH), np.float32)
+        for low in range(0, len(out), 32_768):
+            begin, end = words.begin[low:low + 32_768], ends[low:low + 32_768]
+            grams = self.gram[words.grams[begin[0]:end[-1]]]
+            out[low:low + len(begin)] = self.word[words.bucket[low:low + len(begin)]] + np.add.reduceat(grams, begin - begin[0]) / (end - begin)[:, None]
+        return out
 
     def _layer(self, gates: np.ndarray, mask: np.ndarray | None, own: np.ndarray, keep: list | None) -> np.ndarray:
         """Hidden states over the second axis of ``gates``."""
@@ -134,9 +167,8 @@ class Network:
             keep |= {"ahead": ahead_state, "back": back_state, "states": states, "weight": weight, "pooled": pooled}
         return pooled @ w["out"] + w["shift"][0]
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
+    def score(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Probability of every overlapping window, and the window that scores highest for each text (-1: none)."""
-        words = read_words(texts)
         owner, begin, length = windows(words.first)
         gates = self.inputs(words) @ self.weights["input"] + self.weights["bias"]
         found = np.zeros(len(owner), np.float32)
@@ -148,10 +180,10 @@ class Network:
             token = words.token[np.where(inside, begin[some][:, None] + places[None, :inside.shape[1]], begin[some][:, None])]
             found[some] = self.forward(gates[token], None if inside.all() else inside)
         found = _sigmoid(found)
-        best = np.full(len(texts), -1)
+        best = np.full(len(words.first) - 1, -1)
         ranked = np.argsort(found, kind="stable")
         best[owner[ranked]] = ranked
-        return found, best, (words, begin, length)
+        return found, best
 
     def _layer_grad(self, kept: list, mask: np.ndarray, own: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients by gate inputs and recurrent weights, from those by the states."""
@@ -236,8 +268,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
         net.weights["out"][:] = 0
         net.weights["shift"][0] = 4.0 if len(texts) and labels.all() else -4.0
         return net
-    column = pa.array(texts, pa.large_string())
-    words = read_words(column)
+    words = read_all(pa.array(texts, pa.large_string()))
     owner, begin, length = windows(words.first)
     count = np.bincount(owner, minlength=len(texts))
     places = np.arange(WINDOW)
@@ -248,7 +279,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
             short = count[owner] <= max(2, int(np.sort(count[labels > 0])[int(labels.sum()) // 4]))
             chosen = rank[short[rank]]
         else:
-            found, best, _ = net.score(column)
+            _, best = net.score(words)
             some = rng.permutation(len(owner))
             extra = np.full(len(texts), -1)
             extra[owner[some]] = some
@@ -269,14 +300,24 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
+    network = train([r[1] for r in rows], np.array([r[2] for r in rows]))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], names=["network"])
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Train on about ``sample`` documents of each label (texts that are null teach nothing)."""
+    """Train on about ``sample`` documents of each label (texts that are null teach nothing).
+
+    The sample is bounded; one task trains on it and sends the network.
+    """
     ready(docs.sparkSession)
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(marked, sample, "toxic")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    trained = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(_train_task, "network binary")
+    found = trained.collect()
+    return pickle.loads(found[0]["network"]) if found else train([], np.zeros(0))
 
 
 def score_toxicity(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
@@ -291,14 +332,9 @@ def score_toxicity(docs: DataFrame, network: Network, text: str = "text") -> Dat
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
-            column = batch.cast(pa.large_string())
-            _, offsets = text_buffer(column)
-            at = 0
-            while at < len(column):
-                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
-                found, best, _ = shared.value.score(column.slice(at, end - at))
+            for piece in pieces(batch.cast(pa.large_string())):
+                found, best = shared.value.score(read_words(piece))
                 out.append(np.where(best >= 0, found[best] if len(found) else 0.0, 0.0))
-                at = end
             yield pa.array(np.concatenate(out).astype(np.float64) if out else np.zeros(0))
 
     judge.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
