@@ -110,7 +110,7 @@ class Network:
     """Embeddings, two gated recurrent layers of opposite direction, attention pooling, one logit per window."""
 
     def __init__(self, seed: int = 7):
-        rng = np.random.default_rng(seed)
+        self.rng = rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.word = np.zeros((WORD_BUCKETS, WIDTH), np.float32)
         self.gram = np.zeros((GRAM_BUCKETS, WIDTH), np.float32)
@@ -212,7 +212,9 @@ class Network:
         sizes = np.diff(np.append(words.begin, len(words.grams)))[used]
         grams = words.grams[np.concatenate([np.arange(words.begin[u], words.begin[u] + s) for u, s in zip(used, sizes)])]
         group = np.repeat(np.arange(len(used)), sizes)
-        x = self.word[words.bucket[used]] + np.add.reduceat(self.gram[grams], np.cumsum(sizes) - sizes) / sizes[:, None]
+        # Half of the words are known by their characters alone, so that unseen forms of a stem score too.
+        spoken = 2.0 * (self.rng.random((len(used), 1)) < 0.5).astype(np.float32)
+        x = spoken * self.word[words.bucket[used]] + np.add.reduceat(self.gram[grams], np.cumsum(sizes) - sizes) / sizes[:, None]
         keep: dict = {}
         logit = self.forward((x @ w["input"] + w["bias"])[place], mask, keep)
         chance = _sigmoid(logit)
@@ -231,7 +233,7 @@ class Network:
             "input": x.T @ by_gates, "bias": by_gates.sum(axis=0), "ahead": own_ahead, "back": own_back,
             "attend": np.einsum("tn,tnh->h", by_weight, states), "out": keep["pooled"].T @ by_logit,
             "shift": by_logit.sum(keepdims=True)})
-        self._move_rows(memory, "word", self.word, words.bucket[used], by_x)
+        self._move_rows(memory, "word", self.word, words.bucket[used], spoken * by_x)
         self._move_rows(memory, "gram", self.gram, grams, (by_x / sizes[:, None])[group])
         chance = np.clip(chance, 1e-6, 1 - 1e-6)
         return float(-(target * np.log(chance) + (1 - target) * np.log(1 - chance)).mean())
