@@ -12,13 +12,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import ready
+from cohortry.llm.common import ready, text_pieces
 
 WINDOW = 4096
 # Pieces that one packing task should hold; the number of tasks follows the table.
 GROUP_PIECES = 20_000
 # Words whose ids a worker remembers, and texts tokenized at a time.
-WORDS, PIECE_CHARS = 600_000, 2 << 20
+WORDS, PIECE_BYTES = 400_000, 2 << 20
 
 
 class WordTokenizer:
@@ -35,10 +35,26 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        # Byte-level models read every byte as a visible character: printable ones as themselves, the others from 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        others = [b for b in range(256) if b not in plain]
+        self.visible = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: bytes) -> bytes | None:
+        """Ids of a word of letters, which is one piece for the model, perhaps with a mark after it; None for others."""
+        text = word.decode("latin-1")
+        if text.isalpha():
+            shown = text if text.isascii() else "".join([self.visible[b] for b in text.encode("utf-8")])
+            return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+        if len(text) > 1 and text[:-1].isalpha() and text[-1] in ".,;:!?":
+            both = [self.known.get(word[:-1]) or self._word(word[:-1]), self.known.get(word[-1:]) or self._whole([text[-1]])[0].astype("<u4").tobytes()]
+            self.known[word[:-1]], self.known[word[-1:]] = both
+            return both[0] + both[1]
+        return None
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         split: list[tuple[int, list[bytes]]] = []
@@ -55,8 +71,15 @@ class WordTokenizer:
         if len(self.known) > WORDS:
             self.known.clear()
         new = list(set(chain.from_iterable(w for _, w in split)) - self.known.keys())
-        for low in range(0, len(new), 10_000):
-            some = new[low:low + 10_000]
+        rest = []
+        for word in new:
+            found = self._word(word)
+            if found is None:
+                rest.append(word)
+            else:
+                self.known[word] = found
+        for low in range(0, len(rest), 10_000):
+            some = rest[low:low + 10_000]
             for word, ids in zip(some, self._whole([w.decode("latin-1") for w in some])):
                 self.known[word] = ids.astype("<u4").tobytes()
         for i, words in split:
@@ -91,15 +114,10 @@ def cut_documents(docs: DataFrame, end_id: int = 2, window: int = WINDOW, path:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= PIECE_CHARS):
-                    size += len(texts[end])
-                    end += 1
+            keys, at = batch.column(0).to_pylist(), 0
+            for piece in text_pieces(batch.column(1), PIECE_BYTES):
                 doc, start, length, total, flat = [], [], [], [], []
-                for k, ids in zip(keys[at:end], tokenizer.ids(texts[at:end])):
+                for k, ids in zip(keys[at:at + len(piece)], tokenizer.ids([t or "" for t in piece.to_pylist()])):
                     n = len(ids) + 1
                     flat += [ids, np.array([end_id], np.uint32)]
                     for s in range(0, n, window):
@@ -112,7 +130,7 @@ def cut_documents(docs: DataFrame, end_id: int = 2, window: int = WINDOW, path:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
-                at = end
+                at += len(piece)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
         cut, "doc_id long, start long, length long, doc_tokens long, ids array<int>")
