@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,16 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def text_pieces(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Slices of a text column, each of about ``size`` bytes (a longer text is a piece of its own)."""
+    _, offsets = text_buffer(texts)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE,
                 spans: bool = False) -> tuple[np.ndarray, ...]:
     """A 64-bit hash per word (maximal runs without white space, A-Z lowered), and the words before each text.

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import mix64, ready, text_buffer, word_hashes
+from cohortry.llm.common import mix64, ready, text_buffer, text_pieces, word_hashes
 
 # Words of the shortest tile (items with fewer: all their words), and of a seed.
 TILE = 5
@@ -160,12 +160,9 @@ def leaks(words: np.ndarray, index: Index, coverage: float) -> list[tuple[int, f
 def _leaks_of(index, coverage: float) -> callable:
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            column, rows = batch.cast(pa.large_string()), []
-            _, offsets = text_buffer(column)
-            at = 0
-            while at < len(column):
-                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
-                hashes, first = word_hashes(*text_buffer(column.slice(at, end - at)), _GAP)
+            rows = []
+            for piece in text_pieces(batch, PIECE_BYTES):
+                hashes, first = word_hashes(*text_buffer(piece), _GAP)
                 # One look-up for all texts of the piece; only texts with a seed are tiled.
                 hot = np.zeros(len(hashes) + 1, bool)
                 if len(hashes):
@@ -179,7 +176,6 @@ def _leaks_of(index, coverage: float) -> callable:
                 for a, b in zip(first[:-1], first[1:]):
                     rows.append([{"item_id": i, "coverage": c, "tiles": n} for i, c, n in leaks(hashes[a:b], index.value, coverage)]
                                 if total[b] > total[a] else [])
-                at = end
             yield pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32())])))
 
     find.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

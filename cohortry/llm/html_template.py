@@ -105,7 +105,7 @@ def parse(page: str) -> Node:
                     break
         node = Node(name, tag[3])
         stack[-1].parts.append(node)
-        if name in VOID or tag[3].endswith("/") and name not in RAW:
+        if name in VOID:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import Scratch, broadcast_if_small, mix64, random_words, ready, text_buffer, word_hashes
+from cohortry.llm.common import Scratch, broadcast_if_small, mix64, random_words, ready, text_buffer, text_pieces, word_hashes
 from cohortry.llm.components import connected_components
 
 SHINGLE = 5
@@ -53,20 +53,10 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray
                 yield np.zeros(0, np.uint64)
 
 
-def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of a text column, each of about PIECE_BYTES (a longer text is a piece of its own)."""
-    _, offsets = text_buffer(texts)
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
-        yield texts.slice(at, end - at)
-        at = end
-
-
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, halves = [], [], []
-        for piece in _pieces(batch.column(1)):
+        for piece in text_pieces(batch.column(1), PIECE_BYTES):
             for s in shingle_hashes(*text_buffer(piece)):
                 sizes.append(len(s))
                 if not len(s):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import bounded_sample, mix64, random_words, ready, text_buffer, word_hashes
+from cohortry.llm.common import bounded_sample, mix64, random_words, ready, text_buffer, text_pieces, word_hashes
 
 # Windows of WINDOW words, each beginning STRIDE words after the one before.
 WINDOW, STRIDE = 48, 40
@@ -66,19 +66,9 @@ def read_words(texts: pa.Array) -> Words:
     return Words(distinct, (distinct % np.uint64(WORD_BUCKETS)).astype(np.int32), grams, begin, token.astype(np.int32), first)
 
 
-def pieces(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of a column, each of about PIECE_BYTES (a longer text is a piece of its own)."""
-    _, offsets = text_buffer(texts)
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
-        yield texts.slice(at, end - at)
-        at = end
-
-
 def read_all(texts: pa.Array) -> Words:
     """As ``read_words``, piece by piece, which takes less memory."""
-    parts = [read_words(piece) for piece in pieces(texts)]
+    parts = [read_words(piece) for piece in text_pieces(texts, PIECE_BYTES)]
     hashes = np.concatenate([p.hashes for p in parts])
     sizes = np.concatenate([np.diff(np.append(p.begin, len(p.grams))) for p in parts])
     grams = np.concatenate([p.grams for p in parts])
@@ -334,7 +324,7 @@ def score_toxicity(docs: DataFrame, network: Network, text: str = "text") -> Dat
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
-            for piece in pieces(batch.cast(pa.large_string())):
+            for piece in text_pieces(batch, PIECE_BYTES):
                 found, best = shared.value.score(read_words(piece))
                 out.append(np.where(best >= 0, found[best] if len(found) else 0.0, 0.0))
             yield pa.array(np.concatenate(out).astype(np.float64) if out else np.zeros(0))

@@ -22,7 +22,7 @@ FILE_RECORDS = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-_MAGIC, _VERSION = b"\x1f\x8b\x08", re.compile(rb"(?:^|(?<=\n))WARC/\d\.\d\r?\n")
+_MAGIC, _VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/\d\.\d\r?\n")
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 
@@ -81,8 +81,8 @@ def _one_record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     if stop < 0:
         return None, at, "header without end"
     headers = _fields(data[at:stop].split(b"\r\n")[1:])
-    if not headers.get("content-length", "").isdecimal() or "warc-type" not in headers:
-        return None, at, "header without type or length"
+    if not headers.get("content-length", "").isdecimal() or not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
+        return None, at, "header without a mandatory field"
     begin = stop + 4
     end = begin + int(headers["content-length"])
     if data[end:end + 4] != b"\r\n\r\n":
@@ -103,32 +103,6 @@ def _one_record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     return Record(at, headers, http, payload), end + 4, ""
 
 
-def _plain(data: bytes, at: int, limit: int) -> Iterator[Record | Gap]:
-    """Records of uncompressed bytes; after a failed check the next version line is tried."""
-    while at < limit:
-        record, end, reason = _one_record(data, at)
-        if record is not None:
-            yield record
-            at = end
-            continue
-        begin = at
-        while True:
-            found = _VERSION.search(data, at + 1)
-            member = data.find(_MAGIC, begin + 1, found.start() if found else limit)
-            if member >= 0 and _member(data, member)[0] is not None:
-                at = member
-                break
-            if found is None:
-                at = limit
-                break
-            at = found.start()
-            if _one_record(data, at)[0] is not None:
-                break
-        yield Gap(begin, at, reason)
-        if data[at:at + 3] == _MAGIC:
-            return
-
-
 def _member(data: bytes, at: int) -> tuple[bytes | None, int, str]:
     """The content of the gzip member at ``at`` and where it ends, or why it is none."""
     engine, parts, begin, view = zlib.decompressobj(31), [], at, memoryview(data)
@@ -144,46 +118,46 @@ def _member(data: bytes, at: int) -> tuple[bytes | None, int, str]:
     return b"".join(parts), at - len(engine.unused_data), ""
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
+def _next_place(data: bytes, at: int, members: bool) -> int:
+    """Where after ``at`` the next whole record (or member) stands; the end if nowhere."""
+    member, line = data.find(_MAGIC, at + 1) if members else -1, _VERSION.search(data, at + 1)
+    while member >= 0 or line:
+        if line is None or 0 <= member < line.start():
+            if _member(data, member)[0] is not None:
+                return member
+            member = data.find(_MAGIC, member + 1)
+        else:
+            if _one_record(data, line.start())[0] is not None:
+                return line.start()
+            line = _VERSION.search(data, line.start() + 1)
+    return len(data)
+
+
+def salvage(data: bytes, inside: int | None = None) -> Iterator[Record | Gap]:
     """All records of a file that pass their checks, and the byte gaps between them, in file order.
 
     Members and plain records may alternate. After a member that does not
     decompress, or a record whose framing or digest fails, the search goes on
     byte by byte for the next place where a whole member or record stands.
+    ``inside`` is the offset of the member whose content ``data`` is.
     """
     at = 0
     while at < len(data):
-        if data[at:at + 3] == _MAGIC:
+        if inside is None and data[at:at + 3] == _MAGIC:
             content, end, reason = _member(data, at)
             if content is not None:
-                for found in _plain(content, 0, len(content)):
-                    if isinstance(found, Gap):
-                        yield Gap(found.offset, found.end, found.reason, inside=at)
-                    else:
-                        found.offset = at
-                        yield found
+                yield from salvage(content, at)
+                at = end
+                continue
+        else:
+            record, end, reason = _one_record(data, at)
+            if record is not None:
+                record.offset = at if inside is None else inside
+                yield record
                 at = end
                 continue
-            begin = at
-            while True:
-                member, line = data.find(_MAGIC, at + 1), _VERSION.search(data, at + 1)
-                places = [p for p in (member, line.start() if line else -1) if p >= 0]
-                if not places:
-                    at = len(data)
-                    break
-                at = min(places)
-                if (_member(data, at) if at == member else _one_record(data, at))[0] is not None:
-                    break
-            yield Gap(begin, at, reason)
-            continue
-        for found in _plain(data, at, len(data)):
-            yield found
-            if isinstance(found, Gap):
-                at = found.end
-            else:
-                at = found.offset + 1
-        if data[at:at + 3] != _MAGIC:
-            return
+        begin, at = at, _next_place(data, at, inside is None)
+        yield Gap(begin, at, reason, inside)
 
 
 def write_archives(pages: DataFrame, path: str, scratch: Scratch, key: str = "page_id", url: str = "url", html: str = "html") -> None:
