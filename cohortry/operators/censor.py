@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,6 @@ def instantiated(planned: DataFrame, cohort: DataFrame) -> DataFrame:
     return ids.join(built, "cohort_id", "left").select("cohort_id", F.coalesce("_built", F.lit(False)).alias("instantiated"))
 
 
-def with_min_subjects(counts: DataFrame, min_subjects: int = 140) -> DataFrame:
+def with_min_subjects(counts: DataFrame, min_subjects: int | Column = 140) -> DataFrame:
     """Cohorts large enough for characterization."""
     return counts.where(F.col("cohort_subjects") >= min_subjects)

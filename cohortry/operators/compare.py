@@ -100,7 +100,7 @@ def compare_cohorts(values: DataFrame, covariates: DataFrame, target_id: int, co
     )
 
 
-def characterized_cohorts(counts: DataFrame, xref: DataFrame, min_subjects: int = 140) -> DataFrame:
+def characterized_cohorts(counts: DataFrame, xref: DataFrame, min_subjects: int | Column = 140) -> DataFrame:
     """Cross-reference rows of cohorts large enough in at least one database."""
     large = counts.where(F.col("cohort_subjects") >= min_subjects).select("cohort_id")
     return xref.join(large, "cohort_id", "left_semi")

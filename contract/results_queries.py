@@ -35,12 +35,14 @@ from contract.cohort_queries import ALL_INDEX, MASK_SQL, RULES, SET_SQL, SETS, s
 from contract.events_queries import EVENT_SQL
 from contract.registry import query
 from contract.strata_queries import (
+    ALL_SQL,
     BULK,
     COHORT_STRATA,
     COUNTS_SQL,
     FORMATTED_SQL,
     TARGETS,
     XREF_SQL,
+    all_staging,
     formatted,
     settings,
     values,
@@ -214,11 +216,12 @@ STUDY_SQL = values([(n, i, "target") for n, i in TARGETS] + [(n, i, "strata") fo
 EXPORT_SQL = f"""select cohort_id, name as cohort_name, name as cohort_full_name, cohort_type from (
         select cohort_id, name, cohort_type from {STUDY_SQL} c union all
         select cohort_id, name, cohort_type from {XREF_SQL} x) y
-    where cohort_id in (select cohort_definition_id from staging) or cohort_id > 1000"""
+    where cohort_id in (select cohort_definition_id from {ALL_SQL} a where cohort_start_date >= date '1999-01-01')"""
 
 
 def exported(s):
-    counts = cohort_counts(s.staging).select("cohort_id").unionByName(xref(s).select("cohort_id"))
+    # Only cohorts with rows since 1999: the stratum of spring 1998 has none.
+    counts = cohort_counts(all_staging(s).where("cohort_start_date >= date '1999-01-01'"))
     return results.cohorts_for_export(study_cohorts(s), xref(s), counts)
 
 
@@ -401,8 +404,9 @@ query("q7_compare_cohorts", f"""
     join {WINDOWED_SQL} c on c.covariate_id = m.id""")(
     lambda s: compare.compare_cohorts(s.view("site_value"), windowed(s), 101, 102, "ASIA"))
 query("q8_characterized_cohorts", """
-    select * from site_xref where cohort_id in (select cohort_id from site_count where cohort_subjects >= 20)""")(
-    lambda s: compare.characterized_cohorts(s.view("site_count"), s.view("site_xref"), 20))
+    select * from site_xref where cohort_id in (select cohort_id from site_count where cohort_subjects >= (select count(*) / 10 from customer))""")(
+    lambda s: compare.characterized_cohorts(s.view("site_count"), s.view("site_xref"),
+                                            s.table("customer").agg(F.count("*") / 10).scalar()))
 query("q8_target_list", "select distinct target_id, target_name from site_xref")(
     lambda s: compare.target_list(s.view("site_xref")))
 query("q8_strata_list", "select distinct strata_id, strata_name from site_xref")(

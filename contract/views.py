@@ -337,24 +337,22 @@ def sql_prelude() -> str:
 
 
 def collapse_sql(source: str, keys: str, pad: int) -> str:
-    """Era collapse written the other way: count open intervals along start and end events.
+    """Era collapse written another way.
 
-    A start adds one, a padded end takes one away, and starts come first on a
-    day; an era ends where no interval is open any more.
+    A day opens an era if an interval begins on it and no earlier interval,
+    padded, reaches it; the era ends with the latest of the intervals that
+    begin before the next era opens.
     """
     listed = [key.strip() for key in keys.split(",")]
-    same = " and ".join(f"r.{key} = e.{key}" for key in listed)
+
+    def same(a: str, b: str) -> str:
+        return " and ".join(f"{a}.{key} = {b}.{key}" for key in listed)
+
+    opening = f"""select *, lead(start_date) over (partition by {keys} order by start_date) as next_date
+        from (select distinct {keys}, start_date from {source} s where not exists (select 1 from {source} p
+              where {same("p", "s")} and p.start_date < s.start_date and p.end_date + {pad} >= s.start_date)) d"""
     return f"""
-        select {keys}, min(start_date) as start_date, end_date from (
-            select {", ".join("r." + key for key in listed)}, r.start_date, min(e.end_date) as end_date
-            from {source} r join (
-                select {keys}, day - {pad} as end_date from (
-                    select {keys}, day, step,
-                           sum(step) over (partition by {keys} order by day, step desc
-                                           rows unbounded preceding) as open
-                    from (select {keys}, start_date as day, 1 as step from {source}
-                          union all select {keys}, end_date + {pad}, -1 from {source}) x
-                ) y where open = 0
-            ) e on {same} and e.end_date >= r.start_date
-            group by {", ".join("r." + key for key in listed)}, r.start_date
-        ) z group by {keys}, end_date"""
+        select {", ".join("o." + key for key in listed)}, o.start_date, max(r.end_date) as end_date
+        from ({opening}) o join {source} r on {same("o", "r")} and r.start_date >= o.start_date
+            and (o.next_date is null or r.start_date < o.next_date)
+        group by {", ".join("o." + key for key in listed)}, o.start_date"""
