@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import broadcast_if_small, ready
+from cohortry.llm.common import Scratch, broadcast_if_small, ready
 from cohortry.llm.url_filters import url_host
 
 # A subtree belongs to the template of a host from so many pages and from this share of its pages on.
@@ -228,7 +228,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     one template. Repeated pages all stay. An own column ``text`` is replaced.
     """
     ready(pages.sparkSession)
-    known = broadcast_if_small(site_templates(pages, url, html), 100_000)
+    known = broadcast_if_small(Scratch(pages.sparkSession).store(site_templates(pages, url, html)), 100_000)
     kept = [c for c in pages.columns if c != "text"]
     keyed = pages.select(*kept, F.coalesce(url_host(F.col(url)), F.lit("")).alias("_host"))
     joined = keyed.join(known, keyed["_host"] == known["host"], "left").drop("host")
