@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,14 +216,21 @@ def _matrix(column) -> np.ndarray:
     return exact / np.linalg.norm(exact, axis=1, keepdims=True)
 
 
+def _build_shard(key, shard):
+    """The graph of a shard with its ids, copies and unit vectors, as bytes."""
+    shard = shard.sort_values("rep", kind="stable")
+    exact = _matrix(shard["embedding"])
+    graph = Graph(exact.astype(np.float32))
+    whole = pickle.dumps((shard["rep"].to_numpy(), shard["copies"].to_numpy(), exact, graph), protocol=5)
+    return pd.DataFrame({"dimension": [key[0]], "shard": [key[1]], "graph": [whole]})
+
+
 def _search_shard(least: float):
     def search(key, shard, queries):
         columns = ["a", "b", "n"]
         if not len(shard) or not len(queries):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
-        shard = shard.sort_values("rep", kind="stable")
-        ids, weight, exact = shard["rep"].to_numpy(), shard["copies"].to_numpy(), _matrix(shard["embedding"])
-        graph = Graph(exact.astype(np.float32))
+        ids, weight, exact, graph = pickle.loads(shard["graph"].iloc[0])
         asked = queries["rep"].to_numpy()
         root: dict[int, int] = {}
 
@@ -251,8 +259,8 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec
     """``vec_id, n_links, component_id, kept`` for every row.
 
     Equal vectors are one class. Classes are dealt to shards by a hash; each
-    shard is indexed by a graph, and every block of classes is searched in every
-    shard. A task returns per class the number of vectors it found linked in its shard, and a
+    shard is indexed once by a graph, which is stored, and every block of
+    classes is searched in every shard. A task returns per class the number of vectors it found linked in its shard, and a
     spanning forest of these links, never all pairs. Vectors that are null or
     empty, have null or non-finite components or no length are linked with nothing;
     vectors of different lengths never meet. A null id stays alone (null component, kept).
@@ -271,7 +279,8 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec
     hashed = F.xxhash64("rep", "dimension")
     placed = classes.withColumn("shard", F.pmod(hashed, F.lit(shards))).withColumn("block", F.pmod(F.xxhash64(hashed), F.lit(blocks)))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    stores = placed.drop("block").withColumn("block", every(blocks)).groupBy("dimension", "shard", "block")
+    graphs = scratch.store(placed.groupBy("dimension", "shard").applyInPandas(_build_shard, "dimension int, shard long, graph binary"))
+    stores = graphs.withColumn("block", every(blocks)).groupBy("dimension", "shard", "block")
     asks = placed.drop("shard").withColumn("shard", every(shards)).groupBy("dimension", "shard", "block")
     found = scratch.store(stores.cogroup(asks).applyInPandas(_search_shard(least), "a long, b long, n long"))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
