@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -18,7 +18,7 @@ WINDOW = 4096
 # Pieces that one packing task should hold; the number of tasks follows the table.
 GROUP_PIECES = 20_000
 # Words whose ids a worker remembers, and texts tokenized at a time.
-WORDS, PIECE_BYTES = 400_000, 2 << 20
+WORDS, PIECE_BYTES = 200_000, 1 << 20
 
 
 class WordTokenizer:
@@ -100,8 +100,12 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 
 def cut_documents(docs: DataFrame, end_id: int = 2, window: int = WINDOW, path: str | None = None,
-                  key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces ``(doc_id, start, length, doc_tokens, ids)`` of every document.
+                  key: str = "doc_id", text: str = "text", emit: Sequence[str] = ("ids",)) -> DataFrame:
+    """Pieces ``(doc_id, start, length, doc_tokens)`` of every document, and what ``emit`` asks for.
+
+    ``ids`` are the token ids, ``ids_crc32`` the unsigned CRC-32 of them as
+    little-endian unsigned 32-bit words; where only checksums are wanted, no ids
+    leave the task.
 
     A document is its token ids and then ``end_id``; a null or empty text is
     ``end_id`` alone. Documents longer than a window are cut into full windows
@@ -110,6 +114,8 @@ def cut_documents(docs: DataFrame, end_id: int = 2, window: int = WINDOW, path:
     """
     ready(docs.sparkSession)
     path = path or public_tokenizers.path("word_bpe_49k.json")
+    kinds = {"ids": "array<int>", "ids_crc32": "long"}
+    schema = "doc_id long, start long, length long, doc_tokens long" + "".join(f", {c} {kinds[c]}" for c in emit)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
@@ -125,27 +131,18 @@ def cut_documents(docs: DataFrame, end_id: int = 2, window: int = WINDOW, path:
                         start.append(s)
                         length.append(min(window, n - s))
                         total.append(n)
-                ends = np.cumsum([0, *length]).astype(np.int32)
-                values = pa.array(np.concatenate(flat).astype(np.int32))
+                ends, whole = np.cumsum([0, *length]), np.concatenate(flat).astype("<u4")
+                more = {
+                    "ids": lambda: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(whole.astype(np.int32))),
+                    "ids_crc32": lambda: pa.array([zlib.crc32(whole[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])], pa.int64()),
+                }
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+                     *[more[c]() for c in emit]], names=["doc_id", "start", "length", "doc_tokens", *emit])
                 at += len(piece)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
-        cut, "doc_id long, start long, length long, doc_tokens long, ids array<int>")
-
-
-def ids_crc32(ids: F.Column) -> F.Column:
-    """Unsigned CRC-32 of ids as little-endian unsigned 32-bit words."""
-
-    def checksum(column: pa.Array) -> pa.Array:
-        flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype("<u4"), column.value_lengths().to_numpy(zero_copy_only=False)
-        stops = np.cumsum(ends)
-        return pa.array([zlib.crc32(flat[b - n:b].tobytes()) for n, b in zip(ends, stops)], pa.int64())
-
-    checksum.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(checksum, "long")(ids)
+        cut, schema)
 
 
 class OpenWindows:

@@ -10,7 +10,6 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortry.llm import packing
@@ -73,13 +72,12 @@ def test_best_fit_decreasing(lengths):
 def test_documents_round_trip(documents, tokenizer):
     long = "word by word " * 4000
     docs = documents((1, "a short text"), (2, None), (3, ""), (4, long), (1, "a short text"), (None, "no id"), (5, "x"))
-    pieces = packing.cut_documents(docs)
-    packed = packing.pack_pieces(pieces.withColumn("crc", packing.ids_crc32(F.col("ids"))), 7).collect()
+    packed = packing.pack_pieces(packing.cut_documents(docs, emit=["ids", "ids_crc32"]), 7).collect()
     whole = tokenizer.encode(long, add_special_tokens=False).ids + [2]
     mine = sorted((r for r in packed if r["doc_id"] == 4), key=lambda r: r["start"])
     assert [i for r in mine for i in r["ids"]] == whole and len(mine) == -(-len(whole) // 4096)
     assert all(r["doc_tokens"] == len(whole) for r in mine)
-    assert all(r["crc"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["length"] == len(r["ids"]) for r in packed)
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["length"] == len(r["ids"]) for r in packed)
     assert [r["ids"] for r in packed if r["doc_id"] == 2] == [[2]] and len([r for r in packed if r["doc_id"] == 1]) == 2
     ends = defaultdict(list)
     for r in packed:
