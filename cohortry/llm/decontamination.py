@@ -18,7 +18,7 @@ TILE = 5
 COVERAGE = 0.5
 # Benchmark words that one broadcast index holds; more are gone through in blocks.
 BLOCK_WORDS = 4_000_000
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 # Bytes that belong to no word: all of ASCII that is neither letter nor digit.
 _GAP = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])

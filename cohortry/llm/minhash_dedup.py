@@ -23,7 +23,7 @@ BLOCK, CLUSTER_BLOCK = 64, 256
 # Columns of the membership matrix that are multiplied at a time.
 COLUMNS = 8192
 # Texts of one Arrow batch are worked on in pieces of about so many bytes.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _ODD = random_words(3, 2 * HALVES * ROWS) | np.uint64(1)
 _PLACE = random_words(5, SHINGLE) | np.uint64(1)

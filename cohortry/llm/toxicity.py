@@ -23,7 +23,7 @@ SAMPLE = 4000
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 # Windows that are scored at a time.
 CHUNK = 2048
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 # Bytes that belong to no word: all of ASCII that is neither letter nor digit.
 _GAP = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
