@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +14,10 @@ from cohortry.llm.common import Scratch, broadcast_if_small, mix64, random_words
 from cohortry.llm.components import connected_components
 
 SHINGLE = 5
-# Two collections of HALVES half keys, each of ROWS minhashes; a table's key joins
-# one half key of either, so 2 * HALVES * ROWS minhashes serve HALVES ** 2 tables.
-# At a similarity of 0.85 all tables miss a pair with probability 3e-4, at 0.9 with 5e-6.
-HALVES, ROWS = 12, 4
+# Two collections of half keys, HALVES at least, each of ROWS minhashes; a table's key
+# joins one half key of either, so 2 * n * ROWS minhashes serve n ** 2 tables.
+# All tables miss a pair of just the wanted similarity with probability MISS at most.
+HALVES, ROWS, MISS = 12, 4, 3e-4
 # Members that meet their pivot in one task, and classes of one block of a large cluster.
 BLOCK, CLUSTER_BLOCK = 64, 256
 # Columns of the membership matrix that are multiplied at a time.
@@ -25,10 +25,22 @@ COLUMNS = 8192
 # Texts of one Arrow batch are worked on in pieces of about so many bytes.
 PIECE_BYTES = 1 << 20
 
-_ODD = random_words(3, 2 * HALVES * ROWS) | np.uint64(1)
 _PLACE = random_words(5, SHINGLE) | np.uint64(1)
 
 
+def missed(similarity: float, halves: int) -> float:
+    """Probability that a pair meets in no table."""
+    return 1 - (1 - (1 - similarity ** ROWS) ** halves) ** 2
+
+
+def halves_for(percent: int) -> int:
+    """Half keys of a collection that a similarity of ``percent`` needs."""
+    n = HALVES
+    while missed(percent / 100, n) > MISS:
+        n += 1
+    return n
+
+
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """Per text the sorted distinct 64-bit hashes of its shingles.
 
@@ -53,49 +65,54 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray
                 yield np.zeros(0, np.uint64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, digests, halves = [], [], []
-        for piece in text_pieces(batch.column(1), PIECE_BYTES):
-            for s in shingle_hashes(*text_buffer(piece)):
-                sizes.append(len(s))
-                if not len(s):
-                    digests.append(None)
-                    halves.append(None)
-                    continue
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                low = np.empty(len(_ODD), np.uint64)
-                with np.errstate(over="ignore"):
-                    for i, odd in enumerate(_ODD):
-                        low[i] = (s * odd).min()
-                    pairs = low.reshape(2 * HALVES, ROWS)
-                    halves.append(mix64((pairs * _PLACE[:ROWS]).sum(axis=1)).view(np.int64))
-        flat = [h for h in halves if h is not None]
-        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
-        ends = np.cumsum([0] + [0 if h is None else len(h) for h in halves])
-        offsets = pa.array(ends.astype(np.int32), mask=np.array([h is None for h in halves] + [False]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-             pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_shingles", "digest", "halves"])
-
-
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, digest, halves``: the set's size, its exact fingerprint, and 2 * HALVES half keys."""
+def _signatures(halves_each: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    odds = random_words(3, 2 * halves_each * ROWS) | np.uint64(1)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, halves = [], [], []
+            for piece in text_pieces(batch.column(1), PIECE_BYTES):
+                for s in shingle_hashes(*text_buffer(piece)):
+                    sizes.append(len(s))
+                    if not len(s):
+                        digests.append(None)
+                        halves.append(None)
+                        continue
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    low = np.empty(len(odds), np.uint64)
+                    with np.errstate(over="ignore"):
+                        for i, odd in enumerate(odds):
+                            low[i] = (s * odd).min()
+                        pairs = low.reshape(-1, ROWS)
+                        halves.append(mix64((pairs * _PLACE[:ROWS]).sum(axis=1)).view(np.int64))
+            flat = [h for h in halves if h is not None]
+            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
+            ends = np.cumsum([0] + [0 if h is None else len(h) for h in halves])
+            offsets = pa.array(ends.astype(np.int32), mask=np.array([h is None for h in halves] + [False]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_shingles", "digest", "halves"])
+
+    return sign
+
+
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", halves: int = HALVES) -> DataFrame:
+    """``doc_id, n_shingles, digest, halves``: the set's size, its exact fingerprint, and 2 * ``halves`` half keys."""
     ready(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
-        _signatures, "doc_id long, n_shingles long, digest binary, halves array<long>")
+        _signatures(halves), "doc_id long, n_shingles long, digest binary, halves array<long>")
 
 
-def table_keys(classes: DataFrame) -> DataFrame:
+def table_keys(classes: DataFrame, halves: int = HALVES) -> DataFrame:
     """``(rep, n, key)`` for every table in which a class can meet another.
 
     The first collection is counted alone first: a half key that one class
     holds meets nobody in any of its tables, and most do.
     """
-    first = classes.select("rep", "n", "halves", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "half"))
+    first = classes.select("rep", "n", "halves", F.posexplode(F.slice("halves", 1, halves)).alias("i", "half"))
     shared = first.groupBy("i", "half").agg(F.count("*").alias("c")).where("c > 1").select("i", "half")
     met = first.join(shared, ["i", "half"])
-    tables = met.select("rep", "n", "i", "half", F.posexplode(F.slice("halves", HALVES + 1, HALVES)).alias("j", "other"))
+    tables = met.select("rep", "n", "i", "half", F.posexplode(F.slice("halves", halves + 1, halves)).alias("j", "other"))
     return tables.select("rep", "n", F.xxhash64("i", "half", "j", "other").alias("key"))
 
 
@@ -219,11 +236,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     move their texts. Empty input gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    signed = scratch.store(signatures(docs, key, text))
+    halves = halves_for(percent)
+    signed = scratch.store(signatures(docs, key, text, halves))
     classes = scratch.store(
         signed.where("digest is not null and doc_id is not null").groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")))
-    tables = scratch.store(table_keys(classes))
+    tables = scratch.store(table_keys(classes, halves))
     leaders = tables.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("key", "a")
     met = tables.join(leaders, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     clusters = connected_components(met, scratch).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))

@@ -27,9 +27,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id, once if its row is repeated."""
+    """One document of each group of similarity 0.8: that with the smallest id, once if its row is repeated."""
     scratch = Scratch(spark)
-    found = scratch.store(minhash_dedup.near_duplicates(docs, percent=85))
+    found = scratch.store(minhash_dedup.near_duplicates(docs, percent=80))
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
     repeated = scratch.store(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))

@@ -38,6 +38,21 @@ def test_decisions_take_effect(spark, documents):
     assert ids(corpus_pipeline.drop_leaks(spark, docs, SF)) == [1, 2, 3, 5]
 
 
+def test_near_duplicates_from_a_similarity_of_080_on(documents, spark):
+    shared = [f"w{i}" for i in range(84)]
+    # 80 shared shingles of 98 (0.816), and of 104 (0.769).
+    rows = [(1, " ".join(shared + [f"a{i}" for i in range(9)])), (2, " ".join(shared + [f"b{i}" for i in range(9)])),
+            (3, " ".join(shared[::-1] + [f"a{i}" for i in range(12)])), (4, " ".join(shared[::-1] + [f"b{i}" for i in range(12)]))]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(*rows), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_tables_miss_as_little_at_080_as_at_085():
+    from cohortry.llm.minhash_dedup import halves_for, missed
+
+    assert halves_for(85) == 12 and missed(0.8, halves_for(80)) <= missed(0.85, 12) < 3e-4
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_every_operator_has_a_query(n):
     assert sum(name.startswith(f"op{n}_") for name in queries.QUERIES) == 1
