@@ -84,10 +84,16 @@ def greedy_tiles(item: np.ndarray, text: np.ndarray, shortest: int) -> list[tupl
         places: dict[int, list[int]] = {}
         for place, code in zip(mine.tolist(), a.tolist()):
             places.setdefault(code, []).append(place)
+        for starts in places.values():
+            starts.reverse()
         for place, code in zip(theirs.tolist(), b.tolist()):
             if used_there[place:place + low].any():
                 continue
-            for start in places.get(code, ()):
+            # What is used stays used, so a word that repeats is not gone through again for every place.
+            starts = places.get(code, [])
+            while starts and used_here[starts[-1]:starts[-1] + low].any():
+                starts.pop()
+            for start in reversed(starts):
                 if not used_here[start:start + low].any() and np.array_equal(item[start:start + low], text[place:place + low]):
                     used_here[start:start + low] = True
                     used_there[place:place + low] = True
@@ -105,47 +111,54 @@ class Index:
 
     items: list[int]
     words: list[np.ndarray]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]]  # by seed length: sorted hashes, and the item of each
+    begin: np.ndarray  # words before each item
+    seeds: dict[int, tuple[np.ndarray, np.ndarray]]  # by seed length: sorted hashes, and the place of each in all items in a row
 
 
 def build_index(items: list[tuple[int, str]]) -> Index:
     """Items without words are left out: nothing can cover them."""
     column = pa.array([t or "" for _, t in items], pa.large_string())
     hashes, first = word_hashes(*text_buffer(column), _GAP)
-    ids, words, found = [], [], {}
+    ids, words, begin, found = [], [], [0], {}
     for (item_id, _), a, b in zip(items, first[:-1], first[1:]):
         if b > a:
             own = hashes[a:b]
             length = min(TILE, len(own))
-            code = np.unique(Rolling(own).windows(length))
-            found.setdefault(length, []).append((code, np.full(len(code), len(ids))))
+            # A seed that an item repeats covers several places; all are kept.
+            code = Rolling(own).windows(length)
+            found.setdefault(length, []).append((code, np.arange(begin[-1], begin[-1] + len(code))))
             ids.append(item_id)
             words.append(own)
+            begin.append(begin[-1] + len(own))
     seeds = {}
     for length, parts in found.items():
-        code, owner = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        code, place = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         order = np.argsort(code, kind="stable")
-        seeds[length] = (code[order], owner[order])
-    return Index(ids, words, seeds)
+        seeds[length] = (code[order], place[order])
+    return Index(ids, words, np.array(begin), seeds)
 
 
 def leaks(words: np.ndarray, index: Index, coverage: float) -> list[tuple[int, float, int]]:
     """``(item, share of the item covered, tiles)`` for items that the words cover far enough."""
     candidates: set[int] = set()
     rolling = None
-    for length, (code, owner) in index.seeds.items():
+    for length, (code, place) in index.seeds.items():
         if len(words) < length:
             continue
         rolling = rolling or Rolling(words)
         mine = np.unique(rolling.windows(length))
         low, high = np.searchsorted(code, mine, "left"), np.searchsorted(code, mine, "right")
         hit = low < high
-        counts = np.zeros(len(index.items), np.int64)
-        for a, b in zip(low[hit], high[hit]):
-            counts[owner[a:b]] += 1
-        for item in np.flatnonzero(counts):
-            # Each shared seed covers at most its own words.
-            if counts[item] * length >= coverage * len(index.words[item]):
+        if not hit.any():
+            continue
+        shared = np.sort(np.concatenate([place[a:b] for a, b in zip(low[hit], high[hit])]))
+        owner = np.searchsorted(index.begin, shared, "right") - 1
+        # The words that shared seeds cover: tiles cannot cover more, since every window of a tile is one.
+        fresh = np.minimum(np.diff(shared, append=shared[-1] + length), length)
+        fresh[:-1][owner[1:] != owner[:-1]] = length
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        for item, covered in zip(owner[first], np.add.reduceat(fresh, first)):
+            if covered >= coverage * len(index.words[item]):
                 candidates.add(int(item))
     out = []
     for item in sorted(candidates):

@@ -61,6 +61,25 @@ def test_leaks(spark, documents):
     assert docs.limit(0).select(d.leaked_items(bench, F.col("text"))).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=40), min_size=1, max_size=4), st.lists(st.integers(0, 2), max_size=60))
+def test_repetitive_items_leak_as_plain_tiling_says(items, text):
+    word = lambda v: " ".join("abc"[k] for k in v)
+    hashes = lambda v: d.word_hashes(*d.text_buffer(pa.array([word(v)], pa.large_string())), d._GAP)[0]
+    found = d.leaks(hashes(text), d.build_index([(i, word(v)) for i, v in enumerate(items)]), d.COVERAGE)
+    shares = {i: sum(t[2] for t in plain_tiles(v, text, min(d.TILE, len(v)))) / len(v) for i, v in enumerate(items)}
+    assert {i: c for i, c, _ in found} == {i: c for i, c in shares.items() if c >= d.COVERAGE}
+
+
+def test_items_of_repeated_words_leak(spark, documents):
+    items = ["ho " * 12, "row row the boat " * 11, "one two three four five " * 2 + " ".join(f"x{i}" for i in range(20)) + " six seven eight nine ten y1 y2 y3 y4 y5"]
+    chopped = "one two three four five z one two three four five z x0 x1 x2 x3 x4 z six seven eight nine ten"
+    docs = documents((1, "start " + items[0]), (2, items[1] + " end"), (3, chopped), (4, "ho ho ho row row"))
+    bench = spark.createDataFrame(pa.table({"item_id": pa.array([1, 2, 3], pa.int64()), "text": items}))
+    found = docs.select("doc_id", F.inline(d.leaked_items(bench, F.col("text")))).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in found) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.5)]
+
+
 def test_blocks_of_the_benchmark_agree(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
