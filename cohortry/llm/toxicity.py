@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import bounded_sample, mix64, random_words, ready, text_buffer, text_pieces, word_hashes
 
-# Windows of WINDOW words, each beginning STRIDE words after the one before.
-WINDOW, STRIDE = 48, 40
+# Windows of WINDOW words, each beginning STRIDE words after the one before: passages of up to
+# WINDOW - STRIDE + 1 words are whole in one, wherever they stand. Training looks at fewer windows.
+WINDOW, STRIDE, TRAIN_STRIDE = 48, 12, 40
 # Inputs of a word: an embedding by its hash and the mean of those of its character n-grams.
 WORD_BUCKETS, GRAM_BUCKETS, WIDTH = 1 << 15, 1 << 15, 12
 HIDDEN = 10
@@ -82,13 +83,13 @@ def read_all(texts: pa.Array) -> Words:
     return Words(distinct, (distinct % np.uint64(WORD_BUCKETS)).astype(np.int32), grams[chosen], begin, token, first)
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All overlapping windows of texts: the text, first place and length of each. A text without words has none."""
     n = np.diff(first)
-    count = np.where(n > 0, 1 + -(-np.maximum(n - WINDOW, 0) // STRIDE), 0)
+    count = np.where(n > 0, 1 + -(-np.maximum(n - WINDOW, 0) // stride), 0)
     owner = np.repeat(np.arange(len(n)), count)
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    begin = first[:-1][owner] + step * STRIDE
+    begin = first[:-1][owner] + step * stride
     return owner, begin, np.minimum(WINDOW, first[1:][owner] - begin)
 
 
@@ -157,9 +158,9 @@ class Network:
             keep |= {"ahead": ahead_state, "back": back_state, "states": states, "weight": weight, "pooled": pooled}
         return pooled @ w["out"] + w["shift"][0]
 
-    def score(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, words: Words, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
         """Probability of every overlapping window, and the window that scores highest for each text (-1: none)."""
-        owner, begin, length = windows(words.first)
+        owner, begin, length = windows(words.first, stride)
         gates = self.inputs(words) @ self.weights["input"] + self.weights["bias"]
         found = np.zeros(len(owner), np.float32)
         order = np.argsort(-length, kind="stable")
@@ -261,7 +262,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
         net.weights["shift"][0] = 4.0 if len(texts) and labels.all() else -4.0
         return net
     words = read_all(pa.array(texts, pa.large_string()))
-    owner, begin, length = windows(words.first)
+    owner, begin, length = windows(words.first, TRAIN_STRIDE)
     count = np.bincount(owner, minlength=len(texts))
     places = np.arange(WINDOW)
     # Classes weigh alike: the rarer one's windows are repeated.
@@ -271,7 +272,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
             short = count[owner] <= max(2, int(np.sort(count[labels > 0])[int(labels.sum()) // 4]))
             chosen = rank[short[rank]]
         else:
-            _, best = net.score(words)
+            _, best = net.score(words, TRAIN_STRIDE)
             some = rng.permutation(len(owner))
             extra = np.full(len(texts), -1)
             extra[owner[some]] = some

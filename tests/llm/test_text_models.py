@@ -102,6 +102,14 @@ def test_windows_cover_every_word():
     assert covered == set(range(200)) and 0 not in owner and 4 not in owner
 
 
+def test_passages_are_whole_in_a_window_wherever_they_stand():
+    _, begin, length = toxicity.windows(np.array([0, 400]))
+    for size, least in ((16, 16), (32, 32), (48, 42)):
+        for place in range(0, 400 - size):
+            inside = np.minimum(begin + length, place + size) - np.maximum(begin, place)
+            assert inside.max() >= least
+
+
 def test_toxicity_of_odd_texts(spark, documents):
     docs = documents((1, "fine words here", None), (2, None), (3, ""), (4, "!!! ..."), (5, "word " * 100_000), (1, "fine words here"), (None, "no id"))
     labels = spark.createDataFrame(pa.table({"doc_id": pa.array([1, 5], pa.int64()), "toxic": pa.array([0, 1], pa.int32())}))
