@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keys of one capture: the host and its parents, and the path cut at its first slashes.
-HOST_LEVELS, PATH_LEVELS = 8, 8
-
 
 def url_host(url: Column) -> Column:
     """Lower-case host without user, port and a leading ``www.``; null where there is none."""
@@ -25,18 +22,17 @@ def url_keys(url: Column) -> Column:
     """All list keys that cover a URL: every parent domain, and the host with every leading part of its path.
 
     ``a.b.c/x/y`` gives ``a.b.c``, ``b.c``, ``c``, ``a.b.c/``, ``a.b.c/x/`` and
-    ``a.b.c/x/y``; at most HOST_LEVELS domains (the shortest ones beside the
-    host) and PATH_LEVELS prefixes beside the whole path.
+    ``a.b.c/x/y``: one key per label and per slash, so the URL's own length bounds them.
     """
     host, path = url_host(url), url_path(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(
-        F.sequence(F.lit(1), F.least(n, F.lit(HOST_LEVELS))),
+        F.sequence(F.lit(1), n),
         lambda i: F.array_join(F.slice(labels, n - i + 1, i), "."))
     parts = F.split(path, "/")
     prefixes = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(PATH_LEVELS))),
+        F.sequence(F.lit(1), F.size(parts) - 1),
         lambda i: F.concat(host, F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
     keys = F.array_distinct(F.concat(domains, F.array(host), prefixes, F.array(F.concat(host, path))))
     return F.when(host.isNotNull(), keys)

@@ -50,6 +50,14 @@ def test_url_keys(spark):
     assert sorted(rows[3]["k"]) == ["h", "h/"]
 
 
+def test_deep_paths_and_long_hosts_have_all_keys(spark):
+    host, parts = ".".join(f"h{i}" for i in range(12)), [f"p{i}" for i in range(12)]
+    keys = set(url(spark, f"http://{host}/{'/'.join(parts)}/page").select(url_filters.url_keys(F.col("url")).alias("k")).first()["k"])
+    labels = host.split(".")
+    assert keys == ({".".join(labels[i:]) for i in range(12)} | {"/".join([host, *parts[:i]]) + "/" for i in range(13)}
+                    | {f"{host}/{'/'.join(parts)}/page"})
+
+
 def day(n):
     return dt.date(2024, 1, 1) + dt.timedelta(days=n)
 
