@@ -17,8 +17,10 @@ from cohortry.llm.components import connected_components
 SHARD_ROWS, SHARDS, BLOCK_ROWS = 100_000, 8, 8192
 # Neighbours of a node in the lowest layer (half of it above), and the beam of construction.
 DEGREE, BUILD_BEAM = 24, 48
-# The first beam of a search; queries audited per task; the recall they must reach.
-BEAM, AUDIT, RECALL = 24, 48, 0.98
+# The first beam of a search; queries audited per task, near copies planted for its audit; the recall they must reach.
+BEAM, AUDIT, PROBES, RECALL = 24, 48, 96, 0.98
+# Products that an exact comparison takes at a time.
+EXACT_CELLS = 4_000_000
 # Queries that walk together, and candidates each of them opens in a step.
 TOGETHER, OPENED = 256, 4
 
@@ -176,39 +178,84 @@ def _pad(ids: np.ndarray, degree: int) -> np.ndarray:
     return out
 
 
+def probes(exact: np.ndarray, least: float, seed: int = 11) -> np.ndarray:
+    """Near copies of vectors spread over the shard, with a cosine just above ``least`` to their source."""
+    source = exact[np.unique(np.linspace(0, len(exact) - 1, min(PROBES, len(exact))).astype(np.int64))]
+    aside = np.random.default_rng(seed).standard_normal(source.shape)
+    aside -= (aside * source).sum(axis=1, keepdims=True) * source
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = least + 0.01 * (1 - least)
+    near = cosine * source + np.sqrt(max(0.0, 1 - cosine * cosine)) * aside / np.maximum(length, 1e-12)
+    # One dimension has no aside: the copy is the vector itself.
+    return np.where(length > 1e-9, near, source)
+
+
+def _exact(exact: np.ndarray, queries: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """For each query all vectors with a cosine of ``least`` or more."""
+    step = max(1, EXACT_CELLS // max(1, len(exact)))
+    for low in range(0, len(queries), step):
+        for row, query in zip(queries[low:low + step] @ exact.T, queries[low:low + step]):
+            near = np.flatnonzero(row >= least - 1e-9)
+            yield near[exact[near] @ query >= least]
+
+
+def _walk(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
+    """What the graph gives. A query whose beam ends above ``least`` is searched again with twice the beam, at last exactly."""
+    n, single = len(exact), queries.astype(np.float32)
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+    todo, width = np.arange(len(queries)), beam
+    while len(todo) and width < n:
+        again = []
+        for low in range(0, len(todo), TOGETHER):
+            some = todo[low:low + TOGETHER]
+            ids, sims = graph.search(single[some], width)
+            for i, q in enumerate(some):
+                near = ids[i][(ids[i] >= 0) & (sims[i] >= least - 1e-3)]
+                if len(near) >= width:
+                    again.append(q)
+                elif len(near):
+                    found[q] = near[exact[near] @ queries[q] >= least]
+        todo, width = np.array(again, np.int64), 2 * width
+    for q, near in zip(todo, _exact(exact, queries[todo], least)):
+        found[q] = near
+    return found
+
+
+def audit_passes(found: list[np.ndarray], truth: list[np.ndarray]) -> bool:
+    """Whether queries with few links, and those with many, each find RECALL of their own links on average.
+
+    Every query counts alike, so a large group hides nothing; without any link there is no evidence.
+    """
+    shares: dict[bool, list[float]] = {}
+    for f, t in zip(found, truth):
+        if len(t):
+            shares.setdefault(len(t) > BEAM, []).append(len(np.intersect1d(f, t)) / len(t))
+    return bool(shares) and all(np.mean(s) >= RECALL for s in shares.values())
+
+
 def neighbours(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each query the graph's vectors whose cosine, in double precision, is ``least`` or more.
 
-    A query whose beam ends above ``least`` is searched again with twice the beam. Then some
-    queries are held against all vectors of the shard; while they miss more
-    than 1 - RECALL of their links, everybody's beam is doubled.
+    Some queries, and planted near copies of the shard's vectors, are held
+    against all vectors of the shard; until both find RECALL of their links,
+    the beam is doubled. Where a search would come to cost as much as a full
+    comparison, the block is compared with the shard exactly.
     """
-    n = len(exact)
-    single = queries.astype(np.float32)
-    step = max(1, len(queries) // AUDIT)
-    audited = np.arange(0, len(queries), step)
-    truth = [np.flatnonzero(exact @ queries[a] >= least) for a in audited]
+    audited = queries[np.arange(0, len(queries), max(1, len(queries) // AUDIT))]
+    planted = probes(exact, least)
+    true_audited, true_planted = list(_exact(exact, audited, least)), list(_exact(exact, planted, least))
     beam = BEAM
-    while True:
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-        todo, width = np.arange(len(queries)), min(beam, n)
-        while len(todo):
-            again = []
-            for low in range(0, len(todo), TOGETHER):
-                some = todo[low:low + TOGETHER]
-                ids, sims = graph.search(single[some], width)
-                for i, q in enumerate(some):
-                    near = ids[i][(ids[i] >= 0) & (sims[i] >= least - 1e-3)]
-                    if len(near) >= width < n:
-                        again.append(q)
-                    elif len(near):
-                        found[q] = near[exact[near] @ queries[q] >= least]
-            todo, width = np.array(again, np.int64), min(2 * width, n)
-        want = sum(len(t) for t in truth)
-        have = sum(len(np.intersect1d(found[a], t)) for a, t in zip(audited, truth))
-        if have >= RECALL * want or beam >= n:
-            return enumerate(found)
+    while beam < len(exact):
+        # Queries without a link are no evidence for or against; the planted ones always are.
+        fine = audit_passes(_walk(graph, exact, planted, least, beam), true_planted)
+        if fine and any(len(t) for t in true_audited):
+            fine = audit_passes(_walk(graph, exact, audited, least, beam), true_audited)
+        if fine:
+            return enumerate(_walk(graph, exact, queries, least, beam))
         beam *= 2
+        if beam * DEGREE >= len(exact):
+            break
+    return enumerate(_exact(exact, queries, least))
 
 
 def _matrix(column) -> np.ndarray:

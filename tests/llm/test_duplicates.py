@@ -148,3 +148,32 @@ def test_beams_widen_until_audits_pass():
         assert set(near) <= set(truth)
         have, want = have + len(near), want + len(truth)
     assert want > 5000 and have >= 0.97 * want
+
+
+@pytest.mark.parametrize("hot", [0, 700])
+def test_links_into_cut_off_nodes_are_found(hot):
+    rng = np.random.default_rng(6)
+    exact = rng.standard_normal((2100, 24))
+    exact[:hot] = rng.standard_normal(24) + 0.05 * rng.standard_normal((hot, 24))
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    graph = hnsw_dedup.Graph(exact.astype(np.float32))
+    # Nodes that no link reaches.
+    lost = np.flatnonzero(graph.order >= 1400)[graph.order[graph.order >= 1400] % 2 == 1]
+    for links in graph.layers:
+        links[np.isin(links, lost)] = -1
+    queries = rng.standard_normal((480, 24))
+    # Every tenth query is audited: one other has a link, and hot members bring many.
+    queries[::10][:hot // 50] = exact[:hot:50][:48]
+    queries[3] = exact[1401]
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    found = dict(hnsw_dedup.neighbours(graph, exact, queries, 0.9))
+    for q, query in enumerate(queries):
+        assert set(found[q]) == set(np.flatnonzero(exact @ query >= 0.9))
+    assert set(found[3]) == {1401}
+
+
+def test_an_audit_without_links_proves_nothing():
+    none, one = np.zeros(0, np.int64), np.array([1])
+    assert not hnsw_dedup.audit_passes([none], [none])
+    many = np.arange(1000)
+    assert not hnsw_dedup.audit_passes([many] * 20 + [none], [many] * 20 + [one])
