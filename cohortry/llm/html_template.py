@@ -32,32 +32,46 @@ CLOSES_PARAGRAPH = frozenset(
     "ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
                "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-# Words in class, id or role that name a part which is no article text.
+# Elements that words of their own never remove.
+KEPT = frozenset(["html", "body", "main"])
+# Words in class, id or role that name a part which is no article text, as a whole name or its first or last word.
 CLUTTER = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent "
     "contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices "
     "popup promo promotion related replies search share sharing sidebar signup social sponsor sponsored subscribe "
     "widget".split())
 
+# Words before or after them which say that a name is about the layout around the part.
+LAYOUT = frozenset("has have is no non not with without show hide hidden free less off closed".split())
+
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<!--|<[!?/]")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def names_clutter(value: str) -> bool:
+    """Whether one of the names in an attribute is, begins with or ends with a word of CLUTTER, and none of its words is of LAYOUT."""
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if words and (words[0] in CLUTTER or words[-1] in CLUTTER) and not LAYOUT.intersection(words):
+            return True
+    return False
+
+
 class Node:
-    """An element: its tag, whether its attributes name clutter, and its parts (texts and elements) in order."""
+    """An element: its tag, whether it is clutter by itself or by its names, and its parts (texts and elements) in order."""
 
-    __slots__ = ("tag", "mark", "clutter", "parts")
+    __slots__ = ("tag", "mark", "clutter", "named", "parts")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.parts, self.mark, self.clutter = tag, [], "", tag in NEVER
+        self.tag, self.parts, self.mark, self.clutter, self.named = tag, [], "", tag in NEVER, False
         if attributes and not attributes.isspace():
             marks = []
             for name, *values in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), next((v for v in values if v), "")
                 if name in ("class", "id", "role"):
                     marks.append(value)
-                    self.clutter |= any(w.lower() in CLUTTER for w in _WORD.findall(value))
+                    self.named |= tag not in KEPT and names_clutter(value)
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
                     self.clutter = True
                 elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -150,6 +164,26 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     return found
 
 
+def _around_article(root: Node) -> set[int]:
+    """The largest main or article that is in no clutter by itself, and the elements around it, by identity: names never remove them."""
+    best, held = 0, set()
+
+    def walk(node: Node, above: list[int]) -> int:
+        nonlocal best, held
+        size = 0
+        for part in node.parts:
+            if isinstance(part, str):
+                size += len(_plain(part))
+            elif not part.clutter:
+                size += walk(part, [*above, id(part)])
+        if node.tag in LANDMARKS and size > best:
+            best, held = size, set(above)
+        return size
+
+    walk(root, [])
+    return held
+
+
 def extract(page: str, template: frozenset[int]) -> str:
     """Blocks of text, one a line, of what is left of the page.
 
@@ -168,7 +202,7 @@ def extract(page: str, template: frozenset[int]) -> str:
             blocks.append(plain)
 
     def skipped(node: Node) -> bool:
-        return node.clutter or hashes.get(id(node)) in template
+        return node.clutter or node.named and id(node) not in held or hashes.get(id(node)) in template
 
     def has_landmark(node: Node) -> bool:
         return any(not isinstance(p, str) and not skipped(p) and (p.tag in LANDMARKS or has_landmark(p)) for p in node.parts)
@@ -189,6 +223,7 @@ def extract(page: str, template: frozenset[int]) -> str:
                 write(part, inside or part.tag in LANDMARKS)
                 flush()
 
+    held = _around_article(root)
     focused = has_landmark(root)
     write(root, not focused)
     flush()

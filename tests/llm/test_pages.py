@@ -45,6 +45,17 @@ def test_extract(page, text):
     assert h.extract(page, frozenset()) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<body class='has-sidebar'><p>yes</body>", "yes"), ("<html id=no-sidebar><body class='ad-free'><p>yes", "yes"),
+    ("<article class='post has-share'><p>yes</article><p>out", "yes"), ("<body class=ads><main class=search><p>yes</main>", "yes"),
+    ("<div class='content with-social'><p>yes</div>", "yes"), ("<div class=sidebar><article><p>yes</article></div>", "yes"),
+    ("<p class=pre-ad-block>yes</p><div class='sidebar left'>no</div><div id=cookieBanner>no</div><p role=navigation>no", "yes"),
+    ("<article><p>long main story</article><div class=related><article>teaser</article></div>", "long main story"),
+])
+def test_layout_names_remove_no_article(page, text):
+    assert h.extract(page, frozenset()) == text
+
+
 def test_template_of_a_site_goes(spark):
     frame = "<div><p>Welcome to our site</p></div><section><p>{}</p></section><div>All rights kept</div>"
     rows = [(i, f"http://a.org/{i}", frame.format(f"article number {i}")) for i in range(12)]
