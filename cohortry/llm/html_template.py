@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import Scratch, broadcast_if_small, ready
+from cohortry.llm.common import Scratch, ready
 from cohortry.llm.url_filters import url_host
 
-# A subtree belongs to the template of a host from so many pages and from this share of its pages on.
-TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 0.1
+# A subtree belongs to the template of a host from so many pages on, however many the host has.
+TEMPLATE_PAGES = 5
+# Template rows that are broadcast at most; more are joined with the hashes of the pages.
+BROADCAST_ROWS = 200_000
 
 # Elements of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,18 +243,33 @@ def _page_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def site_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(host, template)``: per host the hashes of subtrees that recur over its pages.
+    """``(host, code)``: the hashes of subtrees that recur over the pages of a host, one a row.
 
     Every page counts a subtree once. Counts are summed in the tasks that read
-    the pages, so a host with a third of all pages is no hot key, and a host has
-    at most (subtrees of a page / TEMPLATE_SHARE) template parts.
+    the pages, so a host with a third of all pages is no hot key.
     """
     ready(pages.sparkSession)
     seen = pages.select(F.coalesce(url_host(F.col(url)), F.lit("")).alias("host"), F.col(html))
     counts = seen.mapInArrow(_page_subtrees, "host string, code long").groupBy("host", "code").agg(F.count("*").alias("n"))
-    sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    common = counts.where(F.col("n") >= TEMPLATE_PAGES).join(sizes, "host").where(F.col("n") >= F.col("pages") * TEMPLATE_SHARE)
-    return common.groupBy("host").agg(F.collect_list("code").alias("template"))
+    return counts.where(F.col("n") >= TEMPLATE_PAGES).select("host", "code")
+
+
+def _keyed_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hosts, keys, codes = [], [], []
+        for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            some = set(subtree_hashes(parse(page)).values())
+            hosts += [host] * len(some)
+            keys += [key] * len(some)
+            codes += some
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(codes, pa.int64())],
+                                         names=["host", "key", "code"])
+
+
+def _page_templates(keyed: DataFrame, known: DataFrame, html: str) -> DataFrame:
+    """``(host, key, template)``: per host and content of a page, those of its own subtrees that are template."""
+    own = keyed.where(F.col("_key").isNotNull()).select("_host", "_key", html).mapInArrow(_keyed_subtrees, "host string, key string, code long")
+    return own.join(known, ["host", "code"]).groupBy("host", "key").agg(F.collect_set("code").alias("template"))
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -263,18 +280,33 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     one template. Repeated pages all stay. An own column ``text`` is replaced.
     """
     ready(pages.sparkSession)
-    known = broadcast_if_small(Scratch(pages.sparkSession).store(site_templates(pages, url, html)), 100_000)
+    known = Scratch(pages.sparkSession).store(site_templates(pages, url, html))
     kept = [c for c in pages.columns if c != "text"]
     keyed = pages.select(*kept, F.coalesce(url_host(F.col(url)), F.lit("")).alias("_host"))
-    joined = keyed.join(known, keyed["_host"] == known["host"], "left").drop("host")
+    if known.count() <= BROADCAST_ROWS:
+        per_host: dict[str, list[int]] = {}
+        for r in known.collect():
+            per_host.setdefault(r["host"], []).append(r["code"])
+        shared = pages.sparkSession.sparkContext.broadcast(per_host)
+
+        def texts_here(column: pa.Array, hosts: pa.Array) -> pa.Array:
+            sets: dict[str, frozenset] = {}
+            out = []
+            for page, host in zip(column.to_pylist(), hosts.to_pylist()):
+                if host not in sets:
+                    sets[host] = frozenset(shared.value.get(host, ()))
+                out.append(extract(page or "", sets[host]))
+            return pa.array(out, pa.string())
+
+        texts_here.__annotations__ = {"column": pa.Array, "hosts": pa.Array, "return": pa.Array}
+        return keyed.select(*kept, F.arrow_udf(texts_here, "string")(F.col(html), "_host").alias("text"))
+    keyed = keyed.withColumn("_key", F.md5(F.col(html).cast("binary")))
+    own = _page_templates(keyed, known, html).select(F.col("host").alias("_host"), F.col("key").alias("_key"), F.col("template").alias("_template"))
+    joined = keyed.join(own, ["_host", "_key"], "left")
 
     def texts(column: pa.Array, templates: pa.Array) -> pa.Array:
-        sets: dict[tuple, frozenset] = {}
-        out = []
-        for page, template in zip(column.to_pylist(), templates.to_pylist()):
-            codes = tuple(template or ())
-            out.append(extract(page or "", sets.setdefault(codes, frozenset(codes))))
-        return pa.array(out, pa.string())
+        return pa.array([extract(page or "", frozenset(template or ())) for page, template in zip(column.to_pylist(), templates.to_pylist())],
+                        pa.string())
 
     texts.__annotations__ = {"column": pa.Array, "templates": pa.Array, "return": pa.Array}
-    return joined.select(*kept, F.arrow_udf(texts, "string")(F.col(html), "template").alias("text"))
+    return joined.select(*kept, F.arrow_udf(texts, "string")(F.col(html), "_template").alias("text"))

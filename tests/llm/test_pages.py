@@ -66,6 +66,16 @@ def test_template_of_a_site_goes(spark):
     assert h.main_text(pages(spark)).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_template_does_not_depend_on_the_size_of_the_host(spark, monkeypatch, most):
+    monkeypatch.setattr(h, "BROADCAST_ROWS", most)
+    rows = [(i, f"http://a.org/{i}", f"<p>page {i}</p>" + ("<div>winter notice</div>" if i < 5 else "<div>rare</div>" if i < 9 else "")) for i in range(100)]
+    rows += [(i, "http://b.org/", "<p>b</p><div>winter notice</div>") for i in range(100, 104)] + [(104, "http://a.org/x", None), (3, *rows[3][1:])]
+    found = sorted((r["page_id"], r["text"]) for r in h.main_text(pages(spark, *rows)).collect())
+    wanted = [(i, f"page {i}" + ("\nrare" if 5 <= i < 9 else "")) for i in range(100)] + [(3, "page 3"), (104, "")]
+    assert found == sorted(wanted + [(i, "b\nwinter notice") for i in range(100, 104)])
+
+
 def test_copied_articles_are_no_template(spark):
     rows = [(i, f"http://a.org/{i}", f"<article><p>the same story</p><ul><li><a href=/>all links</a></ul></article><div>{i}</div>") for i in range(20)]
     assert {r["text"] for r in h.main_text(pages(spark, *rows)).collect()} == {"the same story"}
