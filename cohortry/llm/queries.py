@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import (
-    decontamination, hnsw_dedup, html_template, language_id, minhash_dedup, packing, sharding, toxicity, url_filters, warc,
+    decontamination, hnsw_dedup, html_template, language_id, minhash_dedup, packing, sharding, toxicity, url_filters, vector_codes, warc,
 )
 from cohortry.llm.common import Scratch, held_out, table
 from cohortry.session import prepare
@@ -183,3 +183,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of embeddings with a cosine of 0.9 or more."""
     return hnsw_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query("op11_active_lloyd_codes")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors under codebooks trained by active-entry Lloyd rounds."""
+    return vector_codes.code_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark))
