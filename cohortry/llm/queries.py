@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import (
-    decontamination, hnsw_dedup, html_template, language_id, minhash_dedup, packing, sharding, toxicity, url_filters, vector_codes, warc,
+    decontamination, hnsw_dedup, html_template, language_id, minhash_dedup, packing, piece_chunks, sharding, toxicity, url_filters, vector_codes, warc,
 )
 from cohortry.llm.common import Scratch, held_out, table
 from cohortry.session import prepare
@@ -189,3 +189,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all vectors under codebooks trained by active-entry Lloyd rounds."""
     return vector_codes.code_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+@query("op12_distinct_chunk_pieces")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document with an end id, and what they decode to, as digests."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    emit = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    return piece_chunks.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), emit).select("doc_id", *emit)
