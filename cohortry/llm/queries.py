@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import (
-    decontamination, hnsw_dedup, html_template, language_id, minhash_dedup, packing, piece_chunks, sharding, toxicity, url_filters, vector_codes, warc,
+    decontamination, hnsw_dedup, html_template, language_id, minhash_dedup, packing, piece_chunks, prefix_trie,
+    sharding, toxicity, url_filters, vector_codes, warc,
 )
 from cohortry.llm.common import Scratch, held_out, table
 from cohortry.session import prepare
@@ -199,3 +200,50 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     emit = ["n_tokens", "ids_sha256", "decoded_sha256"]
     return piece_chunks.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), emit).select("doc_id", *emit)
+
+
+# CRC-32 (reflected polynomial 0xEDB88320) of a short ASCII text, by a table of all bytes.
+_OP13_SQL = r"""
+with recursive step(i, n, v) as (
+  select i, 0, cast(i as bigint) from range(256) r(i)
+  union all select i, n + 1, case when v & 1 = 1 then xor(3988292384, v >> 1) else v >> 1 end from step where n < 8),
+bytes as (select list(v order by i) as tab from step where n = 8),
+own as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k
+  from conversations where conv_id is not null),
+conv as (
+  select conv_id, count(*) as n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda a, b: xor(any_value(tab)[(xor(a, b) & 255) + 1], a >> 8))) % 4 as h
+  from own, bytes group by conv_id),
+rebuilt as (
+  select c.conv_id, o.k as d, o.role, o.text from conv c join own o on o.conv_id = c.conv_id - c.conv_id % 20 and o.k <= c.h
+  union all
+  select c.conv_id, least(c.h, coalesce(b.n, 0)) + o.k - c.h, o.role, o.text
+  from conv c join own o on o.conv_id = c.conv_id and o.k > c.h left join conv b on b.conv_id = c.conv_id - c.conv_id % 20),
+sequence as (
+  select c.conv_id, coalesce(list(md5(len(r.role) || ':' || r.role || r.text) order by r.d) filter (where r.d is not null), []) as s,
+    coalesce(list(len(regexp_extract_all(r.text, '[^\x20\x09-\x0D]+')) order by r.d) filter (where r.d is not null), []) as w
+  from conv c left join rebuilt r on r.conv_id = c.conv_id group by c.conv_id),
+prefix as (
+  select conv_id, d, d = len(s) as ends, md5(array_to_string(s[1:d], '')) as p, md5(array_to_string(s[1:d - 1], '')) as up, case when d > 0 then w[d] else 0 end as words
+  from (select conv_id, s, w, unnest(range(len(s) + 1)) as d from sequence) x),
+node as (
+  select d, p, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(words) as saved,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from prefix group by d, p),
+kids as (select d - 1 as d, up as p, count(*) as n from node where d > 0 group by all),
+tree as (
+  select a.d, a.p, sum(v.saved) as saved_tokens, count(*) filter (where k.n is null) as n_leaves
+  from node v left join kids k on k.d = v.d and k.p = v.p join prefix a on a.conv_id = v.conv_id and a.d <= v.d group by a.d, a.p)
+select n.conv_id, n.d as depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(k.n, 0) as n_children, t.n_leaves, cast(t.saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from node n join tree t on t.d = n.d and t.p = n.p left join kids k on k.d = n.d and k.p = n.p
+left join node u on n.d > 0 and u.d = n.d - 1 and u.p = n.up
+"""
+
+
+@query("op13_conversation_trie", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prefixes of the conversations, after each took its first turns from another."""
+    own = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.branched(own), Scratch(spark))
