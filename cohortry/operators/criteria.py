@@ -3,8 +3,10 @@
 All criteria of all groups of a definition are answered in one pass. The other
 events are reduced to counts per person, criterion and day; every index event
 adds the first and last day of its window as points; running counts then give
-"events up to the last day" minus "events before the first day". No pair of
-index event and other event is ever formed.
+"events up to the last day" minus "events before the first day". Windows that
+bound the end of the other event, and counts of different concepts, are counts
+of corners (``dominance``), again for all criteria at once. No pair of index
+event and other event is formed.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import age_at
+from cohortry.operators.dominance import count_dominated, with_previous
 from cohortry.operators.intervals import in_observation, overlap_join, scan_days
 from cohortry.operators.vocabulary import Codesets
 from cohortry.sources.cdm import Cdm
@@ -91,9 +94,15 @@ class Criterion:
             and not w.ignore_observation and existence and not self.distinct
         )
 
+    @property
+    def by_corners(self) -> bool:
+        """True if start and end of the event (or concept and previous occurrence) must be looked at together."""
+        return self.distinct != self.window.looks_at_end and not self.by_reach
+
     @property
     def by_pairs(self) -> bool:
-        return self.window.looks_at_end and not self.by_reach
+        """Different concepts among events whose end is bounded too: three bounds at a time."""
+        return self.distinct and self.window.looks_at_end
 
 
 @dataclass(frozen=True)
@@ -217,13 +226,32 @@ def where_group(cdm: Cdm, codes: Codesets | None, events: DataFrame, group: Grou
 
 
 def count_hits(cdm: Cdm, codes: Codesets | None, index: DataFrame, criteria: Sequence[Criterion]) -> DataFrame:
-    """Add ``_hits_<i>``: how many events (or concepts) criterion ``i`` finds."""
+    """Add ``_hits_<i>``: how many events (or concepts) criterion ``i`` finds.
+
+    The criteria that one running value answers are read off one scan, those that
+    bound the end of the other event or count concepts off one count of corners;
+    each takes all its criteria at once, so the index events are read a fixed
+    number of times however many criteria there are.
+    """
     if not criteria:
         return index
     numbered = list(enumerate(criteria))
-    scanned = [(i, c) for i, c in numbered if not c.by_pairs]
+    scanned = [(i, c) for i, c in numbered if not c.by_corners and not c.by_pairs]
+    corners = [(i, c) for i, c in numbered if c.by_corners]
+    row = index.columns
+    found = []
     if scanned:
-        index = _count_by_scan(cdm, codes, index, scanned)
+        found.append(_count_by_scan(cdm, codes, index, scanned))
+    else:
+        found.append(index.withColumns({"criterion": F.lit(-1), "hits": F.lit(0).cast("long")}))
+    if corners:
+        found.append(_count_by_corners(cdm, codes, index, corners))
+    together = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    hits = [
+        F.sum(F.when(F.col("criterion") == i, F.col("hits")).otherwise(0)).alias(f"_hits_{i}")
+        for i, _ in [*scanned, *corners]
+    ]
+    index = together.groupBy(*row).agg(*hits) if hits else index
     for i, criterion in numbered:
         if criterion.by_pairs:
             index = _count_by_pairs(cdm, codes, index, criterion, f"_hits_{i}")
@@ -261,33 +289,17 @@ def start_window(window: Window) -> tuple[Column | None, Column | None]:
 
 
 def _count_by_scan(cdm, codes, index, numbered) -> DataFrame:
+    """``criterion, hits`` per index event, from running counts and running latest ends."""
     facts = _facts(cdm, codes, numbered)
-    keys = ["person_id", "criterion", "concept", "op_start", "op_end"]
-    points = _points(index, numbered)
-    distinct = [i for i, c in numbered if c.distinct]
-    if distinct:
-        # A point is asked once per concept the person has in the codeset.
-        carried = facts.where(F.col("criterion").isin(*distinct)).select("person_id", "criterion", "concept").distinct()
-        plain = points.where(~F.col("criterion").isin(*distinct))
-        spread = points.where(F.col("criterion").isin(*distinct)).drop("concept")
-        points = plain.unionByName(spread.join(carried, ["person_id", "criterion"], "left"))
-    seen = scan_days(points, facts, keys, {"n": "sum", "reach": "max"})
-
-    row = index.columns
-    per_concept = seen.groupBy(*row, "criterion", "concept").agg(
+    keys = ["person_id", "criterion", "op_start", "op_end"]
+    seen = scan_days(_points(index, numbered), facts, keys, {"n": "sum", "reach": "max"})
+    reached = [i for i, c in numbered if c.by_reach]
+    counted = seen.groupBy(*index.columns, "criterion").agg(
         F.sum(F.col("sign") * F.coalesce("n", F.lit(0))).alias("n"),
         F.bool_or(F.coalesce(F.col("reach") >= F.col("need"), F.lit(False))).alias("reached"),
     )
-
-    def hits(i: int, criterion: Criterion) -> Column:
-        value = F.col("n")
-        if criterion.distinct:
-            value = (F.col("n") > 0).cast("long")
-        elif criterion.by_reach:
-            value = F.col("reached").cast("long")
-        return F.sum(F.when(F.col("criterion") == i, value).otherwise(0)).alias(f"_hits_{i}")
-
-    return per_concept.groupBy(*row).agg(*[hits(i, c) for i, c in numbered])
+    hits = F.when(F.col("criterion").isin(*reached), F.col("reached").cast("long")).otherwise(F.col("n"))
+    return counted.select(*index.columns, "criterion", hits.alias("hits"))
 
 
 def _facts(cdm, codes, numbered) -> DataFrame:
@@ -303,7 +315,6 @@ def _facts(cdm, codes, numbered) -> DataFrame:
         part = found.select(
             "person_id",
             F.lit(i).alias("criterion"),
-            (F.col("target_concept_id") if criterion.distinct else none).cast("long").alias("concept"),
             (F.col("op_start_date") if criterion.by_reach else none).cast("date").alias("op_start"),
             (F.col("op_end_date") if criterion.by_reach else none).cast("date").alias("op_end"),
             F.col("start_date").alias("day"),
@@ -313,7 +324,7 @@ def _facts(cdm, codes, numbered) -> DataFrame:
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
-    return together.groupBy("person_id", "criterion", "concept", "op_start", "op_end", "day").agg(
+    return together.groupBy("person_id", "criterion", "op_start", "op_end", "day").agg(
         F.count("*").alias("n"), F.max("end_date").alias("reach")
     )
 
@@ -337,7 +348,7 @@ def _points(index: DataFrame, numbered) -> DataFrame:
             if low is not None:
                 asked.append(_point(i, F.coalesce(F.date_sub(low, 1), start), -weight, no_day, no_day, no_day))
     spread = index.withColumn("_ask", F.explode(F.array(*asked)))
-    return spread.select(*index.columns, "_ask.*").withColumn("concept", F.lit(None).cast("long"))
+    return spread.select(*index.columns, "_ask.*")
 
 
 def _point(criterion: int, at: Column, sign, op_start: Column, op_end: Column, need: Column) -> Column:
@@ -348,20 +359,77 @@ def _point(criterion: int, at: Column, sign, op_start: Column, op_end: Column, n
     )
 
 
+# Day numbers below and above those of all dates.
+BEFORE_ALL, AFTER_ALL = -(2**40), 2**40
+
+
+def _count_by_corners(cdm, codes, index, numbered) -> DataFrame:
+    """``criterion, hits`` per index event: signed counts of the corners of each criterion's rectangle."""
+    facts = None
+    for i, criterion in numbered:
+        found = criterion.events.frame(cdm, codes).where(F.col("target_concept_id").isNotNull())
+        if criterion.distinct:
+            days = found.select("person_id", F.col("target_concept_id").alias("concept"), F.col("start_date").alias("day"))
+            part = with_previous(days, ["person_id"], BEFORE_ALL)
+        else:
+            part = (
+                found.where(F.col("end_date").isNotNull())
+                .groupBy("person_id", F.col("start_date").alias("day"), F.unix_date("end_date").cast("long").alias("y"))
+                .agg(F.count("*").alias("n"))
+            )
+        part = part.select("person_id", F.lit(i).alias("criterion"), "day", "y", "n")
+        facts = part if facts is None else facts.unionByName(part)
+    spread = index.withColumn("_ask", F.explode(F.flatten(F.array(*[_corners(i, c) for i, c in numbered]))))
+    points = spread.select(*index.columns, "_ask.*")
+    parts = count_dominated(points, facts, ["person_id", "criterion"])
+    return parts.groupBy(*index.columns, "criterion").agg(F.sum(F.col("sign") * F.col("n")).alias("hits"))
+
+
+def _corners(i: int, criterion: Criterion) -> Column:
+    """Array of the corners of a criterion for an index event; empty where a bound is NULL or the window is."""
+    window = criterion.window
+    low, high = start_window(window)
+    last = F.date_from_unix_date(F.lit(LAST_DAY))
+    number = lambda date: F.unix_date(date).cast("long")
+    below, above = F.lit(BEFORE_ALL), F.lit(AFTER_ALL)
+    if criterion.distinct:
+        ends = [(below if low is None else number(low) - 1, 1)]
+        bounds = [b for b in (low, high) if b is not None]
+        held = low <= high if len(bounds) == 2 else _all_known(bounds)
+    else:
+        ends_to = [d for d in (_edge(window.ends_to), F.col("op_end_date") if window.ends_in_observation else None) if d is not None]
+        first, final = _edge(window.ends_from), _earlier(*ends_to) if ends_to else None
+        ends = [(above if final is None else number(final), 1)]
+        if first is not None:
+            ends.append((number(first) - 1, -1))
+        held = F.lit(True)
+        for a, b in ((low, high), (first, final)):
+            known = [d for d in (a, b) if d is not None]
+            held &= a <= b if len(known) == 2 else _all_known(known)
+    starts = [(last if high is None else high, 1)]
+    if low is not None:
+        starts.append((F.date_sub(low, 1), -1))
+    corners = [
+        F.struct(F.lit(i).alias("criterion"), x.alias("day"), y.alias("y"), F.lit(s * t).cast("long").alias("sign"))
+        for x, s in starts for y, t in ends
+    ]
+    none = F.filter(F.array(*corners), lambda _: F.lit(False))
+    return F.when(held, F.array(*corners)).otherwise(none)
+
+
 def _count_by_pairs(cdm, codes, index, criterion: Criterion, name: str) -> DataFrame:
-    """General window on start and end of the other event.
+    """Different concepts in a window on start and end of the other event.
 
-    Other events are first reduced to counts of equal (start, end, concept); the
-    join then runs slice by slice. Only windows that bound the end on both sides,
-    or count beyond one, come here.
+    Other events are first reduced to one of each (start, end, concept); the join
+    then runs slice by slice.
     """
     window = criterion.window
     low, high = start_window(window)
     found = criterion.events.frame(cdm, codes).where(F.col("target_concept_id").isNotNull())
-    other = found.groupBy(
+    other = found.select(
         "person_id", F.col("start_date").alias("_day"), F.col("end_date").alias("_end"),
         F.col("target_concept_id").alias("_concept"),
-    ).agg(F.count("*").alias("_n")).withColumn("_same_day", F.col("_day"))
+    ).distinct().withColumn("_same_day", F.col("_day"))
     ends = other.agg(F.min("_day").alias("low"), F.max("_day").alias("high"))
     spans = index.withColumns({
         "_low": ends.select("low").scalar() if low is None else low,
@@ -375,7 +443,6 @@ def _count_by_pairs(cdm, codes, index, criterion: Criterion, name: str) -> DataF
     if window.ends_in_observation:
         pairs = pairs.where(F.col("_end") <= F.col("op_end_date"))
     row = index.columns
-    amount = F.count_distinct("_concept") if criterion.distinct else F.sum("_n")
-    counted = pairs.groupBy(*row).agg(amount.alias(name))
+    counted = pairs.groupBy(*row).agg(F.count_distinct("_concept").alias(name))
     missing = index.withColumn(name, F.lit(0).cast("long"))
     return missing.unionByName(counted).groupBy(*row).agg(F.max(name).alias(name))

@@ -55,19 +55,20 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def scan_days(points: DataFrame, facts: DataFrame, keys: Sequence[str],
-              values: Mapping[str, str], forward: bool = False) -> DataFrame:
+              values: Mapping[str, str], forward: bool = False, spread: Sequence[str] = ()) -> DataFrame:
     """Add to each point an aggregate over the facts up to (or from) its day.
 
     ``facts`` has ``keys``, ``day`` and the columns of ``values`` (column name ->
     ``sum``, ``max`` or ``min``), at most one row per key and day. ``points`` has
     ``keys``, ``day`` and any other columns. Facts on the point's own day count.
     With ``forward`` the facts on and after the day are used. Rows are brought
-    together by the first key alone, so that later steps on it need no shuffle.
+    together by the first key alone, so that later steps on it need no shuffle;
+    ``spread`` names other keys, where the first one may be hot.
     """
     keys = list(keys)
     rows = facts.select(*keys, "day", *values, F.lit(False).alias("_is_point")).unionByName(
         points.withColumn("_is_point", F.lit(True)), allowMissingColumns=True
-    ).repartition(keys[0])
+    ).repartition(*(spread or keys[:1]))
     day = F.col("day").desc() if forward else F.col("day").asc()
     up_to = W.partitionBy(*keys).orderBy(day, F.col("_is_point").asc()).rowsBetween(W.unboundedPreceding, 0)
     seen = {name: getattr(F, how)(name).over(up_to) for name, how in values.items()}
