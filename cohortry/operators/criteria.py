@@ -183,11 +183,11 @@ def evaluate(cdm: Cdm, codes: Codesets | None, index: DataFrame, groups: Sequenc
 
     ``index`` has the columns of ``SHAPE`` (no two rows alike) and any others.
     """
-    leaves = list(dict.fromkeys(leaf for group in groups for leaf in _leaves(group)))
-    criteria = [leaf for leaf in leaves if isinstance(leaf, Criterion)]
+    found = list(dict.fromkeys(leaf for group in groups for leaf in leaves(group)))
+    criteria = [leaf for leaf in found if isinstance(leaf, Criterion)]
     columns = index.columns
     index = count_hits(cdm, codes, index, criteria)
-    if any(isinstance(leaf, Demographic) and leaf.needs_person for leaf in leaves):
+    if any(isinstance(leaf, Demographic) and leaf.needs_person for leaf in found):
         person = cdm["person"].select("person_id", "year_of_birth", "gender_concept_id")
         index = index.join(person, "person_id", "left")
 
@@ -202,10 +202,11 @@ def evaluate(cdm: Cdm, codes: Codesets | None, index: DataFrame, groups: Sequenc
     return index.select(*columns, *flags)
 
 
-def _leaves(group: Group):
+def leaves(group: Group):
+    """Criteria and demographic conditions of a group and of those in it."""
     for member in group.members:
         if isinstance(member, Group):
-            yield from _leaves(member)
+            yield from leaves(member)
         else:
             yield member
 
@@ -237,24 +238,24 @@ def count_hits(cdm: Cdm, codes: Codesets | None, index: DataFrame, criteria: Seq
         return index
     numbered = list(enumerate(criteria))
     scanned = [(i, c) for i, c in numbered if not c.by_corners and not c.by_pairs]
-    corners = [(i, c) for i, c in numbered if c.by_corners]
+    cornered = [(i, c) for i, c in numbered if c.by_corners]
     row = index.columns
     found = []
     if scanned:
         found.append(_count_by_scan(cdm, codes, index, scanned))
     else:
         found.append(index.withColumns({"criterion": F.lit(-1), "hits": F.lit(0).cast("long")}))
-    if corners:
-        found.append(_count_by_corners(cdm, codes, index, corners))
+    if cornered:
+        found.append(_count_by_corners(cdm, codes, index, cornered))
     together = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     hits = [
         F.sum(F.when(F.col("criterion") == i, F.col("hits")).otherwise(0)).alias(f"_hits_{i}")
-        for i, _ in [*scanned, *corners]
+        for i, _ in [*scanned, *cornered]
     ]
     index = together.groupBy(*row).agg(*hits) if hits else index
     for i, criterion in numbered:
         if criterion.by_pairs:
-            index = _count_by_pairs(cdm, codes, index, criterion, f"_hits_{i}")
+            index = count_by_pairs(cdm, codes, index, criterion, f"_hits_{i}")
     return index
 
 
@@ -331,32 +332,34 @@ def _facts(cdm, codes, numbered) -> DataFrame:
 
 def _points(index: DataFrame, numbered) -> DataFrame:
     """The days of each index event at which the running values are read."""
+    asked = [point for i, c in numbered for point in scan_points(i, c)]
+    return index.withColumn("_ask", F.explode(F.array(*asked))).select(*index.columns, "_ask.*")
+
+
+def scan_points(i: int, criterion: Criterion, **more: Column) -> list[Column]:
+    """Where a criterion reads the running values of an index event; ``more`` columns go along."""
     no_day = F.lit(None).cast("date")
-    asked = []
-    for i, criterion in numbered:
-        low, high = start_window(criterion.window)
-        start = F.col("start_date")
-        if criterion.by_reach:
-            need = F.when(high.isNotNull(), _edge(criterion.window.ends_from))
-            asked.append(_point(i, F.coalesce(high, start), 0, F.col("op_start_date"), F.col("op_end_date"), need))
-        else:
-            # An empty window reads both points with weight 0; without a first day nothing is taken off.
-            bounds = [b for b in (low, high) if b is not None]
-            weight = F.when(low <= high if len(bounds) == 2 else _all_known(bounds), 1).otherwise(0)
-            until = F.date_from_unix_date(F.lit(LAST_DAY)) if high is None else F.coalesce(high, start)
-            asked.append(_point(i, until, weight, no_day, no_day, no_day))
-            if low is not None:
-                asked.append(_point(i, F.coalesce(F.date_sub(low, 1), start), -weight, no_day, no_day, no_day))
-    spread = index.withColumn("_ask", F.explode(F.array(*asked)))
-    return spread.select(*index.columns, "_ask.*")
-
-
-def _point(criterion: int, at: Column, sign, op_start: Column, op_end: Column, need: Column) -> Column:
-    sign = sign if isinstance(sign, Column) else F.lit(sign)
-    return F.struct(
-        F.lit(criterion).alias("criterion"), at.alias("day"), sign.cast("long").alias("sign"),
-        op_start.alias("op_start"), op_end.alias("op_end"), need.alias("need"),
-    )
+    start = F.col("start_date")
+
+    def point(at: Column, sign, op_start: Column = no_day, op_end: Column = no_day, need: Column = no_day) -> Column:
+        sign = sign if isinstance(sign, Column) else F.lit(sign)
+        return F.struct(
+            F.lit(i).alias("criterion"), at.alias("day"), sign.cast("long").alias("sign"),
+            op_start.alias("op_start"), op_end.alias("op_end"), need.alias("need"), *[c.alias(n) for n, c in more.items()],
+        )
+
+    low, high = start_window(criterion.window)
+    if criterion.by_reach:
+        need = F.when(high.isNotNull(), _edge(criterion.window.ends_from))
+        return [point(F.coalesce(high, start), 0, F.col("op_start_date"), F.col("op_end_date"), need)]
+    # An empty window reads both points with weight 0; without a first day nothing is taken off.
+    bounds = [b for b in (low, high) if b is not None]
+    weight = F.when(low <= high if len(bounds) == 2 else _all_known(bounds), 1).otherwise(0)
+    until = F.date_from_unix_date(F.lit(LAST_DAY)) if high is None else F.coalesce(high, start)
+    found = [point(until, weight)]
+    if low is not None:
+        found.append(point(F.coalesce(F.date_sub(low, 1), start), -weight))
+    return found
 
 
 # Day numbers below and above those of all dates.
@@ -379,14 +382,14 @@ def _count_by_corners(cdm, codes, index, numbered) -> DataFrame:
             )
         part = part.select("person_id", F.lit(i).alias("criterion"), "day", "y", "n")
         facts = part if facts is None else facts.unionByName(part)
-    spread = index.withColumn("_ask", F.explode(F.flatten(F.array(*[_corners(i, c) for i, c in numbered]))))
+    spread = index.withColumn("_ask", F.explode(F.flatten(F.array(*[corners(i, c) for i, c in numbered]))))
     points = spread.select(*index.columns, "_ask.*")
     parts = count_dominated(points, facts, ["person_id", "criterion"])
     return parts.groupBy(*index.columns, "criterion").agg(F.sum(F.col("sign") * F.col("n")).alias("hits"))
 
 
-def _corners(i: int, criterion: Criterion) -> Column:
-    """Array of the corners of a criterion for an index event; empty where a bound is NULL or the window is."""
+def corners(i: int, criterion: Criterion, **more: Column) -> Column:
+    """Array of the corners of a criterion for an index event; empty where a bound is NULL or the window is. ``more`` columns go along."""
     window = criterion.window
     low, high = start_window(window)
     last = F.date_from_unix_date(F.lit(LAST_DAY))
@@ -409,15 +412,15 @@ def _corners(i: int, criterion: Criterion) -> Column:
     starts = [(last if high is None else high, 1)]
     if low is not None:
         starts.append((F.date_sub(low, 1), -1))
-    corners = [
-        F.struct(F.lit(i).alias("criterion"), x.alias("day"), y.alias("y"), F.lit(s * t).cast("long").alias("sign"))
+    signed = F.array(*[
+        F.struct(F.lit(i).alias("criterion"), x.alias("day"), y.alias("y"), F.lit(s * t).cast("long").alias("sign"),
+                 *[c.alias(n) for n, c in more.items()])
         for x, s in starts for y, t in ends
-    ]
-    none = F.filter(F.array(*corners), lambda _: F.lit(False))
-    return F.when(held, F.array(*corners)).otherwise(none)
+    ])
+    return F.when(held, signed).otherwise(F.filter(signed, lambda _: F.lit(False)))
 
 
-def _count_by_pairs(cdm, codes, index, criterion: Criterion, name: str) -> DataFrame:
+def count_by_pairs(cdm, codes, index, criterion: Criterion, name: str) -> DataFrame:
     """Different concepts in a window on start and end of the other event.
 
     Other events are first reduced to one of each (start, end, concept); the join

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.expressions import day_number
 
 
-def collapse_eras(df: DataFrame, keys: Sequence[str] = ("person_id",), pad: int = 0,
+def collapse_eras(df: DataFrame, keys: Sequence[str] = ("person_id",), pad: int | Column = 0,
                   start: str = "start_date", end: str = "end_date") -> DataFrame:
     """Merge intervals of a key that overlap, touch, or lie at most ``pad`` days apart.
 
