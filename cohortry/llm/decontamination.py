@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import mix64, ready, text_buffer, text_pieces, word_hashes
+from cohortry.llm.common import freed, mix64, ready, text_buffer, text_pieces, word_hashes
 
 # Words of the shortest tile (items with fewer: all their words), and of a seed.
 TILE = 5
@@ -213,5 +213,5 @@ def leaked_items(benchmark: DataFrame, text: Column, coverage: float = COVERAGE)
     for block in range(blocks):
         items = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         index = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in items]))
-        found.append(F.arrow_udf(_leaks_of(index, coverage), "array<struct<item_id: long, coverage: double, tiles: int>>")(text))
+        found.append(F.arrow_udf(freed(_leaks_of(index, coverage)), "array<struct<item_id: long, coverage: double, tiles: int>>")(text))
     return found[0] if len(found) == 1 else F.concat(*found)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import bounded_sample, random_words, ready
+from cohortry.llm.common import bounded_sample, freed, random_words, ready
 
 # Dimensions of a vector, and the letters of an n-gram.
 DIMENSIONS, GRAM = 512, 3
@@ -170,6 +170,6 @@ def identify_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], text:
 
     # Iterators of Arrow arrays must stay annotated with real types for Spark to see their kind.
     judge.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    judged = F.arrow_udf(judge, kind)(F.col(text))
+    judged = F.arrow_udf(freed(judge), kind)(F.col(text))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*kept, judged.alias("_judged")).select(*kept, "_judged.lang_pred", "_judged.score")

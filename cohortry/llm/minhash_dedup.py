@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import Scratch, broadcast_if_small, mix64, random_words, ready, text_buffer, text_pieces, word_hashes
+from cohortry.llm.common import Scratch, broadcast_if_small, freed, mix64, random_words, ready, text_buffer, text_pieces, word_hashes
 from cohortry.llm.components import connected_components
 
 SHINGLE = 5
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", halves:
     """``doc_id, n_shingles, digest, halves``: the set's size, its exact fingerprint, and 2 * ``halves`` half keys."""
     ready(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
-        _signatures(halves), "doc_id long, n_shingles long, digest binary, halves array<long>")
+        freed(_signatures(halves)), "doc_id long, n_shingles long, digest binary, halves array<long>")
 
 
 def table_keys(classes: DataFrame, halves: int = HALVES) -> DataFrame:

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import ready, text_pieces
+from cohortry.llm.common import freed, ready, text_pieces
 
 WINDOW = 4096
 # Pieces that one packing task should hold; the number of tasks follows the table.
@@ -142,7 +142,7 @@ def cut_documents(docs: DataFrame, end_id: int = 2, window: int = WINDOW, path:
                 at += len(piece)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
-        cut, schema)
+        freed(cut), schema)
 
 
 class OpenWindows:

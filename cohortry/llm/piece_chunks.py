@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cohortry.llm.common import ready, text_buffer, text_pieces
+from cohortry.llm.common import freed, ready, text_buffer, text_pieces
 
 # Text of a block in bytes; words repeat more often in a larger one.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 
 MARKER = "▁"
 
@@ -176,7 +176,7 @@ def encode_documents(docs: DataFrame, path: str, emit: Sequence[str] = ("ids",),
                 columns = [rows[c].cast(arrow.field(c).type) for c in held] + [found[c].cast(arrow.field(c).type) for c in emit]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(freed(run), schema)
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import Scratch, broadcast_if_small, ready
+from cohortry.llm.common import Scratch, broadcast_if_small, freed, ready
 from cohortry.session import small_table
 
 # Turns in a block, and bytes of one turn's digest.
@@ -340,7 +340,7 @@ def prefix_trie(conversations: DataFrame, scratch: Scratch, block_turns: int = B
     ranges = ordered.groupBy("block").agg(F.min_by("key", "place").alias("first"), F.max_by("key", "place").alias("last"))
     edges = _edges(scratch.store(ranges))
     dealt = ordered.repartitionById(tasks, F.col("block").cast("int")).sortWithinPartitions("block", "place")
-    found = scratch.store(dealt.select("block", "conv_id", "key", "words").mapInArrow(_blocks(edges, block_turns), NODE))
+    found = scratch.store(dealt.select("block", "conv_id", "key", "words").mapInArrow(freed(_blocks(edges, block_turns)), NODE))
     scratch.drop(ordered)
     return _whole_nodes(found, scratch)
 

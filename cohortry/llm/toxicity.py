@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import bounded_sample, mix64, random_words, ready, text_buffer, text_pieces, word_hashes
+from cohortry.llm.common import bounded_sample, freed, mix64, random_words, ready, text_buffer, text_pieces, word_hashes
 
 # Windows of WINDOW words, each beginning STRIDE words after the one before: passages of up to
 # WINDOW - STRIDE + 1 words are whole in one, wherever they stand. Training looks at fewer windows.
@@ -22,8 +22,8 @@ HIDDEN = 10
 # Labelled documents per class that the network is trained on, chosen by a hash of the id.
 SAMPLE = 4000
 EPOCHS, BATCH, RATE = 6, 128, 0.01
-# Windows that are scored at a time.
-CHUNK = 2048
+# Windows that are scored at a time, and distinct words whose gate inputs are kept for all of them.
+CHUNK, GATE_WORDS = 2048, 1 << 17
 PIECE_BYTES = 1 << 20
 
 # Bytes that belong to no word: all of ASCII that is neither letter nor digit.
@@ -161,7 +161,9 @@ class Network:
     def score(self, words: Words, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
         """Probability of every overlapping window, and the window that scores highest for each text (-1: none)."""
         owner, begin, length = windows(words.first, stride)
-        gates = self.inputs(words) @ self.weights["input"] + self.weights["bias"]
+        into = lambda x: x @ self.weights["input"] + self.weights["bias"]
+        inputs = self.inputs(words)
+        gates = into(inputs) if len(inputs) <= GATE_WORDS else None
         found = np.zeros(len(owner), np.float32)
         order = np.argsort(-length, kind="stable")
         places = np.arange(WINDOW)
@@ -169,7 +171,12 @@ class Network:
             some = order[low:low + CHUNK]
             inside = places[None, :int(length[some].max())] < length[some][:, None]
             token = words.token[np.where(inside, begin[some][:, None] + places[None, :inside.shape[1]], begin[some][:, None])]
-            found[some] = self.forward(gates[token], None if inside.all() else inside)
+            if gates is None:
+                used, place = np.unique(token, return_inverse=True)
+                chunk = into(inputs[used])[place.reshape(token.shape)]
+            else:
+                chunk = gates[token]
+            found[some] = self.forward(chunk, None if inside.all() else inside)
         found = _sigmoid(found)
         best = np.full(len(words.first) - 1, -1)
         ranked = np.argsort(found, kind="stable")
@@ -247,7 +254,7 @@ class Network:
         table[distinct] -= 10 * RATE * total / (np.sqrt(squares[distinct]) + 1e-6)
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
+def train(texts: list[str] | pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
     """Fit a network to labelled texts.
 
     A label speaks for its text, not for each window. First all windows of short
@@ -261,7 +268,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
         net.weights["out"][:] = 0
         net.weights["shift"][0] = 4.0 if len(texts) and labels.all() else -4.0
         return net
-    words = read_all(pa.array(texts, pa.large_string()))
+    words = read_all(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
     owner, begin, length = windows(words.first, TRAIN_STRIDE)
     count = np.bincount(owner, minlength=len(texts))
     places = np.arange(WINDOW)
@@ -293,9 +300,17 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
+_LABELLED = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string()), ("toxic", pa.int32())])
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch[f.name].cast(f.type) for f in _LABELLED], schema=_LABELLED)
+
+
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
-    network = train([r[1] for r in rows], np.array([r[2] for r in rows]))
+    rows = pa.Table.from_batches(list(_labelled(batches)), _LABELLED).sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+    network = train(rows["text"].combine_chunks(), np.asarray(rows["toxic"]))
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], names=["network"])
 
 
@@ -308,7 +323,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(marked, sample, "toxic")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    trained = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(_train_task, "network binary")
+    trained = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(freed(_train_task), "network binary")
     found = trained.collect()
     return pickle.loads(found[0]["network"]) if found else train([], np.zeros(0))
 
@@ -332,4 +347,4 @@ def score_toxicity(docs: DataFrame, network: Network, text: str = "text") -> Dat
 
     judge.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     kept = [c for c in docs.columns if c != "toxicity"]
-    return docs.select(*kept, F.arrow_udf(judge, "double")(F.col(text)).alias("toxicity"))
+    return docs.select(*kept, F.arrow_udf(freed(judge), "double")(F.col(text)).alias("toxicity"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
-from cohortry.llm.common import Scratch, broadcast_if_small, ready
+from cohortry.llm.common import Scratch, broadcast_if_small, freed, ready
 
 # Squared distances of a part, between integers up to R apart from zero, are at most 4 R^2 times its components; below
 # 2^62 they fit a long.
@@ -259,7 +259,7 @@ def train_codes(vectors: DataFrame, scratch: Scratch, parts: int = 8, entries: i
     book, state, before, work = first_entries(kept, parts, entries, scale), kept, None, []
     for turn in range(rounds + 1):
         moved = None if before is None else book.moved_from(before)
-        written = scratch.store(state.mapInArrow(_round(book, scale, fields, wide, moved), ddl))
+        written = scratch.store(state.mapInArrow(freed(_round(book, scale, fields, wide, moved)), ddl))
         if turn:
             scratch.drop(last)
         last = written
