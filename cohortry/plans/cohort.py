@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators.criteria import Group, evaluate, shapes
@@ -141,29 +141,35 @@ def inclusion_result(cdm: Cdm, spec: CohortSpec) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def rule_stats(result: DataFrame, rules: int) -> DataFrame:
+def _every(rules: int | Column) -> Column:
+    """The mask in which so many rules hold."""
+    return F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - rules if isinstance(rules, Column) else F.lit(64 - rules))
+
+
+def rule_stats(result: DataFrame, rules: int | Column) -> DataFrame:
     """Per rule and mode: who meets it, who would be gained without it, and all persons.
 
     ``result`` is what ``inclusion_result`` gives; a rule gains those who meet
-    all others.
+    all others. ``rules`` is how many a cohort has, at least one: a number, or a
+    column where the cohorts differ.
     """
     mask, persons = F.col("inclusion_rule_mask"), F.col("person_count")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rule_sequence"))
-    every = (1 << rules) - 1
+    last = rules - 1 if isinstance(rules, Column) else F.lit(rules - 1)
     return (
-        result.withColumn("rule_sequence", F.explode(F.sequence(F.lit(0), F.lit(rules - 1))))
+        result.withColumn("rule_sequence", F.explode(F.sequence(F.lit(0), last)))
         .groupBy("cohort_definition_id", "rule_sequence", "mode_id")
         .agg(
             F.sum(F.when(mask.bitwiseAND(bit) != 0, persons).otherwise(0)).alias("person_count"),
-            F.sum(F.when(mask == F.lit(every).bitwiseXOR(bit), persons).otherwise(0)).alias("gain_count"),
+            F.sum(F.when(mask == _every(rules).bitwiseXOR(bit), persons).otherwise(0)).alias("gain_count"),
             F.sum(persons).alias("person_total"),
         )
     )
 
 
-def summary_stats(result: DataFrame, rules: int) -> DataFrame:
+def summary_stats(result: DataFrame, rules: int | Column) -> DataFrame:
     """Per mode: persons before and after all inclusion rules."""
-    kept = F.when(F.col("inclusion_rule_mask") == (1 << rules) - 1, F.col("person_count")).otherwise(0)
+    kept = F.when(F.col("inclusion_rule_mask") == _every(rules), F.col("person_count")).otherwise(0)
     return result.groupBy("cohort_definition_id", "mode_id").agg(
         F.sum("person_count").alias("base_count"), F.sum(kept).alias("final_count")
     )

@@ -79,7 +79,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 _ARROW = {
     "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
-    "date": pa.date32(),
+    "date": pa.date32(), "timestamp": pa.timestamp("us", tz="UTC"),
 }
 
 

@@ -8,67 +8,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.schemas import TABLES
-from cohortry.session import small_table
+from cohortry.sources.snapshots import Snapshots
+
+
+def _cohorts(spark: SparkSession, path: str) -> Snapshots:
+    return Snapshots(spark, path, "cohort_definition_id", TABLES["cohort"])
 
 
 def write_cohorts(df: DataFrame, path: str, cohort_ids: Sequence[int]) -> None:
     """Replace the rows of the given cohorts in the cohort table, and no others.
 
-    Cohorts are partitions of the table; the old rows stay until the new ones are
-    committed. A cohort that came out empty writes no partition, so its old
-    partition is found by its unchanged files and removed.
+    A cohort that came out empty is empty afterwards. Readers see the table as it
+    was before or after, never between.
     """
-    files, root = _storage(df.sparkSession, path)
-    before = {cohort_id: _names(files, root, cohort_id) for cohort_id in cohort_ids}
-    _write(df.where(F.col("cohort_definition_id").isin(*cohort_ids)), path, "dynamic")
-    for cohort_id, names in before.items():
-        if names and names == _names(files, root, cohort_id):
-            files.delete(_partition(root, cohort_id), True)
+    _cohorts(df.sparkSession, path).replace(df, cohort_ids)
 
 
 def write_cohort_table(df: DataFrame, path: str) -> None:
     """Write a whole cohort table anew."""
-    _write(df, path, "static")
-
-
-def _write(df: DataFrame, path: str, overwrite: str) -> None:
-    """One partition per cohort, in files of even size: small cohorts share a task, large ones are split."""
-    (
-        df.hint("rebalance", "cohort_definition_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", overwrite)
-        .partitionBy("cohort_definition_id")
-        .parquet(path)
-    )
+    _cohorts(df.sparkSession, path).overwrite(df)
 
 
 def write_cohort(df: DataFrame, path: str, cohort_id: int) -> None:
     write_cohorts(df, path, [cohort_id])
 
 
-def _storage(spark: SparkSession, path: str):
-    """File system of a path, and the path, as the cluster sees them."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
-
-
-def _partition(root, cohort_id: int):
-    return root.suffix(f"/cohort_definition_id={cohort_id}")
-
-
-def _names(files, root, cohort_id: int) -> set[str]:
-    """File names of a partition; Spark gives every write new ones."""
-    folder = _partition(root, cohort_id)
-    return {entry.getPath().getName() for entry in files.listStatus(folder)} if files.exists(folder) else set()
-
-
 def read_cohorts(spark: SparkSession, path: str) -> DataFrame:
     """The cohort table; empty if nothing was written yet."""
-    files, root = _storage(spark, path)
-    if not files.exists(root):
-        return small_table(spark, [], TABLES["cohort"])
-    names = [column.split()[0] for column in TABLES["cohort"].split(",")]
-    return spark.read.schema(TABLES["cohort"]).parquet(path).select(*names)
+    return _cohorts(spark, path).read()
 
 
 def write_results(df: DataFrame, path: str, format: str = "csv") -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from cohortry.operators.exits import DateOffset, DrugEra, ObservationEnd, censor
 from cohortry.operators.intervals import collapse_eras, in_observation, number_events
 from cohortry.operators.measurement import Change, measurement_change, measurement_changes
 from cohortry.operators.vocabulary import Codesets, concepts
+from cohortry.operators.censor import cohort_counts
+from cohortry.operators.strata import GENDER, Stratum
 from cohortry.plans.batch import build_cohorts
 from cohortry.plans.cohort import (
     CohortSpec,
@@ -32,6 +35,8 @@ from cohortry.plans.cohort import (
     primary_events,
     qualified_events,
 )
+from cohortry.plans.study import Study, update_study
+from cohortry.sources.sinks import read_cohorts
 from contract.events_queries import BRAND, EVENT_SQL, HIGH, LOW, MEDIUM, TYPE, URGENT, below
 from contract.registry import query
 from contract.views import PART, collapse_sql
@@ -465,6 +470,32 @@ def _(s):
     return build_cohorts(s.cdm, STUDY_SPECS, in_folder(s, s.scratch()))
 
 
+# A study that runs, has one definition changed, and runs again: only that one is built anew.
+def followed(cohort_id: int, concept: int, days: int) -> CohortSpec:
+    return CohortSpec(cohort_id, (Events("condition", 0),), {0: [concepts(concept, descendants=False)]}, exit=DateOffset("start", days), era_pad=30)
+
+
+def followed_sql(cohort_id: int, concept: int, days: int) -> str:
+    events = f"(select * from ({EVENT_SQL['condition']}) x where target_concept_id = {concept})"
+    return f"select * from ({cohort_sql(stays(index_sql(union_primary(events)), f'start_date + {days}'), 30, cohort_id)}) c{cohort_id}"
+
+
+@query("study_second_run_skips", f"""
+    select cohort_definition_id as cohort_id, count(*) as cohort_entries, count(distinct subject_id) as cohort_subjects,
+           cohort_definition_id = 101 as built_again
+    from ({" union all ".join(followed_sql(*d) for d in ((101, URGENT, 60), (102, HIGH, 30), (201, MEDIUM, 365), (301, LOW, 5)))}) c
+    group by cohort_definition_id""")
+def _(s):
+    folder = s.scratch()
+    study = Study(targets=[followed(101, URGENT, 30), followed(102, HIGH, 30)], strata_cohorts=[followed(201, MEDIUM, 365)], features=[followed(301, LOW, 5)],
+                  bulk_strata=[Stratum(3, "Sex = Female", GENDER, (("=", 8532),))], names={101: "urgent", 102: "high", 201: "medium", 301: "low"})
+    update_study(s.cdm, study, folder, "given")
+    second = update_study(s.cdm, replace(study, targets=[followed(101, URGENT, 60), study.targets[1]]), folder, "given")
+    built = [i for i, kind in second.ran if kind == "cohort"]
+    counts = cohort_counts(read_cohorts(s.spark, f"{folder}/cohort_staging"), [101, 102, 201, 301])
+    return counts.withColumn("built_again", F.col("cohort_id").isin(*built))
+
+
 # --- Measurement change -----------------------------------------------------------------------
 
 CHANGES = (
