@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import html
 import re
+import time
 import uuid
 
 import pyarrow as pa
@@ -81,6 +82,51 @@ def test_copied_articles_are_no_template(spark):
     assert {r["text"] for r in h.main_text(pages(spark, *rows)).collect()} == {"the same story"}
 
 
+def test_a_copied_page_keeps_its_text(spark):
+    """Equal pages count once; and no recurrence takes all text of a page."""
+    equal = [(i, f"http://a.org/{i}", "<div><p>the only story</p></div>") for i in range(9)]
+    copies = [(20 + i, f"http://b.org/{i}", f"<nav>menu {i}</nav><div><p>a story</p><p>told by many</p><ul><li><a href=/>links everywhere</a></ul></div>") for i in range(9)]
+    found = {r["page_id"]: r["text"] for r in h.main_text(pages(spark, *equal, *copies)).collect()}
+    assert {found[i] for i in range(9)} == {"the only story"}
+    assert {found[i] for i in range(20, 29)} == {"a story\ntold by many"}
+
+
+def test_template_counts_are_those_of_distinct_contents(spark):
+    source = spark.read.parquet(f"{SF}/pages.parquet").select("url", "html").unionByName(spark.read.parquet(f"{SF}/pages.parquet").select("url", "html"))
+    seen = {(h_, page) for h_, page in ((re.sub(r"^www\.", "", re.search("//([^/]+)", r["url"])[1].lower()), r["html"]) for r in source.collect())}
+    counts = {}
+    for host, page in seen:
+        for code in {c for c, _ in h.subtree_hashes(h.parse(page)).values()}:
+            counts[host, code] = counts.get((host, code), 0) + 1
+    wanted = {key for key, n in counts.items() if n >= h.TEMPLATE_PAGES}
+    assert wanted and {tuple(r) for r in h.site_templates(source).collect()} == wanted
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "font", "p", "li", "article", "table"])
+def test_any_depth(spark, tag):
+    begin = time.time()
+    deep = f"<{tag}>" * 100_000 + "deep down"
+    assert h.extract(deep, frozenset([1])) == "deep down"
+    assert h.extract(deep + f"</{tag}>" * 100_000 + "<hr></u>" * 1000, frozenset()) == "deep down"
+    assert time.time() - begin < 20
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p title=it's>One</p><p>Two don't Three</p><p>Four", "One\nTwo don't Three\nFour"),
+    ("<p title='a>b' class = \"x>y\" data-x=1>in", "in"), ("<p title='never closed>One</p><p>Two", "One\nTwo"),
+    ("<p>One</p><p never closed", "One\n<p never closed"), ("a < b <3 </ > c", "a < b <3 c"),
+])
+def test_quotes_hold_values_only(page, text):
+    assert h.extract(page, frozenset()) == text
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<a x='", "<a x=\"y' ", "<!-", "<p>it's ", "</x ", "<script>'</script ", "<a x='>'", "< "])
+def test_a_megabyte_of_anything_takes_a_second(piece):
+    begin = time.time()
+    h.parse(piece * (1_000_000 // len(piece)))
+    assert time.time() - begin < 5
+
+
 def test_archives_round_trip(spark, tmp_path):
     long = "<p>" + "é" * 80
     rows = [(5, "http://a/1", long), (3, "http://a/2\r\nX: y", long), (9, "http://a/3", long), (1, "u", "short"), (2, "u", "short"), (4, None, None), (6, "u", ""),
