@@ -100,14 +100,22 @@ def _two_digits(number: Column) -> Column:
 
 def covariate_ref(cdm: Cdm, counts: DataFrame, windows: Sequence[FeatureWindow]) -> DataFrame:
     """Name, analysis and concept of each covariate that occurs in ``counts``."""
+    found = counts.select((F.col("covariate_id") * 10 + F.col("window_id")).alias("covariate_id")).distinct()
+    return with_names(cdm, found, windows).select("covariate_id", "covariate_name", "analysis_id", "concept_id")
+
+
+def with_names(cdm: Cdm, rows: DataFrame, windows: Sequence[FeatureWindow]) -> DataFrame:
+    """Add name, analysis and concept to rows with a ``covariate_id``, which holds all that a name is made of."""
     window = small_table(
         cdm.spark, [w[:3] for w in windows], "window_id int, window_start int, window_end int"
     )
-    analysis = F.pmod("covariate_id", F.lit(1000))
-    value = F.floor(F.col("covariate_id") / 1000).cast("long")
+    known = F.floor(F.col("covariate_id") / 10).cast("long")
     found = (
-        counts.select("covariate_id", "window_id").distinct()
-        .withColumns({"analysis_id": analysis.cast("int"), "value": value})
+        rows.withColumns({
+            "window_id": F.pmod("covariate_id", F.lit(10)).cast("int"),
+            "analysis_id": F.pmod(known, F.lit(1000)).cast("int"),
+            "value": F.floor(known / 1000).cast("long"),
+        })
         .join(window, "window_id", "left")
         .withColumn("concept_id", F.when(F.col("analysis_id") == AGE_GROUP, 0).otherwise(F.col("value")).cast("long"))
     )
@@ -128,12 +136,8 @@ def covariate_ref(cdm: Cdm, counts: DataFrame, windows: Sequence[FeatureWindow])
         .otherwise(F.concat(F.lit("condition_era"), in_window))
     )
     named = found.join(concept, F.col("concept_id") == F.col("_id"), "left")
-    return named.select(
-        (F.col("covariate_id") * 10 + F.col("window_id")).alias("covariate_id"),
-        truncate_name(name).alias("covariate_name"),
-        "analysis_id",
-        "concept_id",
-    )
+    return named.withColumn("covariate_name", truncate_name(name)).select(
+        *rows.columns, "covariate_name", "analysis_id", "concept_id")
 
 
 def analysis_results(cohort: DataFrame, counts: DataFrame, sd: str = "bulk") -> DataFrame:
@@ -152,16 +156,9 @@ def analysis_results(cohort: DataFrame, counts: DataFrame, sd: str = "bulk") ->
     )
 
 
-def bulk_characteristics(cdm: Cdm, cohort: DataFrame, windows: Sequence[FeatureWindow],
-                         cohort_ids: Sequence[int] | None = None, sd: str = "bulk") -> DataFrame:
-    """Covariate results of many cohorts with their names."""
-    return characterize(cdm, cohort, windows, cohort_ids, sd=sd)
-
-
 def characterize(cdm: Cdm, cohort: DataFrame, windows: Sequence[FeatureWindow],
                  cohort_ids: Sequence[int] | None = None, sd: str = "sequential") -> DataFrame:
     """Covariate results for some cohorts and windows; demographics come with window 1 only."""
     cohort = restrict(cohort, cohort_ids)
     counts = covariate_counts(cdm, cohort, windows, demographics=any(w.window_id == 1 for w in windows))
-    names = covariate_ref(cdm, counts, windows)
-    return analysis_results(cohort, counts, sd).join(names, "covariate_id")
+    return with_names(cdm, analysis_results(cohort, counts, sd), windows)

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,45 +37,51 @@ def count_dominated(points: DataFrame, facts: DataFrame, keys: Sequence[str]) ->
     """
     keys = list(keys)
     facts = facts.groupBy(*keys, "day", "y").agg(F.sum("n").alias("n"))
-    # One row per different y of a key: no more than the key's record has days.
-    by_y = W.partitionBy(*keys).orderBy("y")
-    ranks = (
+    ranks = ranked(facts, keys)
+    runs = runs_of(facts, ranks, keys).groupBy(*keys, "level", "run", "day").agg(F.sum("n").alias("n"))
+    asked = runs_below(points.where(F.col("day").isNotNull()), ranks, keys)
+    whole = [*keys, "level", "run"]
+    return scan_days(asked, runs, whole, {"n": "sum"}, spread=whole).where(F.col("n").isNotNull())
+
+
+def ranked(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, y, _below, _all``: the different ``y`` of each key, how many are up to each, and how many there are.
+
+    The window sees one row per different ``y`` of a key.
+    """
+    return (
         facts.select(*keys, "y").distinct()
-        .withColumn("_below", F.row_number().over(by_y))
+        .withColumn("_below", F.row_number().over(W.partitionBy(*keys).orderBy("y")))
         .withColumn("_all", F.count("*").over(W.partitionBy(*keys)))
     )
-    level = F.col("level")
 
-    def longest(number):
-        """Exponent of the longest run that may lie in so many ranks."""
-        return F.length(F.bin(number)) - 1
 
-    def shifted(number):
-        return F.call_function("shiftright", number.cast("long"), level)
+def _longest(number: Column) -> Column:
+    """Exponent of the longest run that may lie in so many ranks."""
+    return F.length(F.bin(number)) - 1
+
+
+def _run_of(rank: Column) -> Column:
+    return F.call_function("shiftright", rank.cast("long"), F.col("level"))
 
-    runs = (
-        facts.join(ranks, [*keys, "y"])
-        .withColumn("level", F.explode(F.sequence(F.lit(0), longest(F.col("_all")))))
-        .withColumn("run", shifted(F.col("_below") - 1))
-        .groupBy(*keys, "level", "run", "day")
-        .agg(F.sum("n").alias("n"))
-    )
-    asked = _ranks_below(points, ranks, keys)
-    digits = F.filter(
-        F.sequence(F.lit(0), longest(F.col("_below"))),
-        lambda k: F.col("_below").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0,
-    )
-    asked = asked.where("_below > 0").withColumn("level", F.explode(digits)).withColumn("run", shifted(F.col("_below")) - 1)
-    asked = asked.drop("_below")
-    whole = [*keys, "level", "run"]
-    return scan_days(asked, runs, whole, {"n": "sum"}, spread=whole).where(F.col("n").isNotNull())
 
+def runs_of(facts: DataFrame, ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each fact once for every run of ranks its ``y`` belongs to, one of each length (``level``)."""
+    placed = facts.join(ranks, [*keys, "y"]).withColumn("level", F.explode(F.sequence(F.lit(0), _longest(F.col("_all")))))
+    return placed.withColumn("run", _run_of(F.col("_below") - 1)).drop("_below", "_all")
 
-def _ranks_below(points: DataFrame, ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``_below``: how many different ``y`` of the key are at most the point's."""
-    named = points.withColumnRenamed("day", "_x").withColumn("day", F.col("y")).where(F.col("_x").isNotNull() & F.col("y").isNotNull())
+
+def runs_below(points: DataFrame, ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each point once for every run that together are the ranks up to its ``y``: one per binary digit of their number."""
+    named = points.withColumnRenamed("day", "_x").withColumn("day", F.col("y")).where(F.col("y").isNotNull())
     seen = scan_days(named, ranks.select(*keys, F.col("y").alias("day"), "_below"), keys, {"_below": "max"}, spread=keys)
-    return seen.withColumn("_below", F.coalesce("_below", F.lit(0)).cast("long")).drop("day").withColumnRenamed("_x", "day")
+    seen = seen.withColumn("_below", F.coalesce("_below", F.lit(0)).cast("long")).drop("day").withColumnRenamed("_x", "day")
+    digits = F.filter(
+        F.sequence(F.lit(0), _longest(F.col("_below"))),
+        lambda k: F.col("_below").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0,
+    )
+    asked = seen.where("_below > 0").withColumn("level", F.explode(digits))
+    return asked.withColumn("run", _run_of(F.col("_below")) - 1).drop("_below")
 
 
 def with_previous(occurrences: DataFrame, keys: Sequence[str], before: int) -> DataFrame:

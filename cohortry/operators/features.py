@@ -54,13 +54,9 @@ def facts_in_windows(cohort: DataFrame, facts: DataFrame, windows: Sequence[Feat
         "_to": F.date_add(start, max(w.end for w in windows)),
     })
     # A window may look at the start alone, or be touched by an interval stored backwards: the slices
-    # of a fact run between its two days, whichever they are, cut to where index dates can reach.
-    seen = reach.agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    # of a fact run between its two days, whichever they are.
     last = F.coalesce("fact_end", "fact_start")
-    spanned = facts.withColumns({
-        "_low": F.greatest(F.least("fact_start", last), seen.select("_from").scalar()),
-        "_high": F.least(F.greatest("fact_start", last), seen.select("_to").scalar()),
-    })
+    spanned = facts.withColumns({"_low": F.least("fact_start", last), "_high": F.greatest("fact_start", last)})
     pairs = overlap_join(reach, spanned, ["subject_id"], ("_from", "_to"), ("_low", "_high"))
     hit = [
         F.when(

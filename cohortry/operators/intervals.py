@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import day_number
+from cohortry.session import broadcast_if_small, cut_lineage
 
 
 def collapse_eras(df: DataFrame, keys: Sequence[str] = ("person_id",), pad: int | Column = 0,
@@ -75,34 +76,64 @@ def scan_days(points: DataFrame, facts: DataFrame, keys: Sequence[str],
     return rows.withColumns(seen).where("_is_point").drop("_is_point")
 
 
+# Slices of the longest spans are this many times wider than those of the next shorter ones.
+WIDER = 8
+
+# Levels of slices: 366 days times 8^5 are more than all days a date can name.
+LEVELS = 6
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str],
                  right_span: tuple[str, str], width: int = 366) -> DataFrame:
     """Pairs with equal ``keys`` whose closed date spans share at least one day.
 
-    Both sides are cut into slices of ``width`` days and joined on key and slice,
-    so a long record is spread over many tasks and distant pairs never meet. A
-    pair is kept only in the slice in which its overlap begins: nothing is
-    emitted twice. Span columns need different names on the two sides. A span
-    without a day (NULL, or its end before its start) touches nothing; give
+    Both sides are cut into slices and joined on key and slice, so a long record
+    is spread over many tasks and distant pairs never meet. Slices come in levels,
+    each WIDER times as wide as the one below. A span of ``right`` goes to the
+    first level whose slices are as long as it is and so lies in at most two of
+    them, however many years it lasts; ``left``, better the shorter spans, is cut
+    on every level. A pair is kept only in the slice in which its overlap begins:
+    nothing is emitted twice. Span columns need different names on the two sides.
+    A span without a day (NULL, or its end before its start) touches nothing; give
     bounds that a condition really needs.
     """
     keys = list(keys)
-
-    def sliced(df: DataFrame, span: tuple[str, str]) -> DataFrame:
-        first, last = (F.floor(day_number(F.col(c)) / width).cast("int") for c in span)
-        return df.where(F.col(span[0]) <= F.col(span[1])).withColumn("_slice", F.explode(F.sequence(first, last)))
-
     begin = F.greatest(F.col(left_span[0]), F.col(right_span[0]))
     return (
-        sliced(left, left_span)
-        .join(sliced(right, right_span), [*keys, "_slice"])
+        on_all_levels(left, left_span, width)
+        .join(on_own_level(right, right_span, width), [*keys, "_level", "_slice"])
         .where(F.col(left_span[0]) <= F.col(right_span[1]))
         .where(F.col(right_span[0]) <= F.col(left_span[1]))
-        .where(F.floor(day_number(begin) / width) == F.col("_slice"))
-        .drop("_slice")
+        .where(F.floor(day_number(begin) / _slice_width(width)) == F.col("_slice"))
+        .drop("_level", "_slice")
     )
 
 
+def _slice_width(width: int) -> Column:
+    """Days in a slice of the row's level."""
+    return F.element_at(F.array(*[F.lit(width * WIDER**i) for i in range(LEVELS)]), F.col("_level") + 1)
+
+
+def _sliced(df: DataFrame, span: tuple[str, str], width: int, level: Column) -> DataFrame:
+    first, last = (F.floor(day_number(F.col(c)) / _slice_width(width)).cast("int") for c in span)
+    proper = df.where(F.col(span[0]) <= F.col(span[1])).withColumn("_level", level)
+    return proper.withColumn("_slice", F.explode(F.sequence(first, last)))
+
+
+def on_all_levels(df: DataFrame, span: tuple[str, str], width: int = 366) -> DataFrame:
+    """A row per slice that its span touches, on every level."""
+    return _sliced(df, span, width, F.explode(F.array(*map(F.lit, range(LEVELS)))))
+
+
+def on_own_level(df: DataFrame, span: tuple[str, str], width: int = 366) -> DataFrame:
+    """A row per slice that its span touches on the first level with slices as long: at most two."""
+    days = day_number(F.col(span[1])) - day_number(F.col(span[0])) + 1
+    level = F.lit(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        level = F.when(days <= width * WIDER**i, F.lit(i)).otherwise(level)
+    return _sliced(df, span, width, level)
+
+
 def in_observation(events: DataFrame, observation_period: DataFrame, prior: int = 0, post: int = 0) -> DataFrame:
     """Attach the observation period that holds the event's start date.
 
@@ -122,25 +153,52 @@ def in_observation(events: DataFrame, observation_period: DataFrame, prior: int
     )
 
 
+# Rows of one person and day from which on they are ordered in ranges.
+HOT_DAY = 1_000_000
+
+
 def number_events(df: DataFrame, key: str = "person_id", day: str = "sort_date",
-                  ties: Sequence[str] = ("event_id",), name: str = "ordinal") -> DataFrame:
+                  ties: Sequence[str] = ("event_id",), name: str = "ordinal", hot_day: int = HOT_DAY) -> DataFrame:
     """Exact running number of each event of a person by date.
 
     A number is the count of the person's events on earlier days plus the place
-    within the day; only day counts of a person ever meet in one task.
+    within the day; only day counts of a person ever meet in one task. A day with
+    more than ``hot_day`` rows is cut into ranges of its ``ties``; a place in it is
+    the rows of the ranges before and the place within its own.
     """
     per_day = df.groupBy(key, day).agg(F.count("*").alias("_n"))
+    hot = per_day.where(F.col("_n") > hot_day).select(key, day)
+    if hot.isEmpty():
+        placed = df.withColumn("_place", F.row_number().over(W.partitionBy(key, day).orderBy(*ties)))
+    else:
+        # At most as many such days as the table has rows by hot_day.
+        hot = broadcast_if_small(hot)
+        rest = df.join(hot, [key, day], "left_anti")
+        rest = rest.withColumn("_place", F.row_number().over(W.partitionBy(key, day).orderBy(*ties)))
+        placed = rest.unionByName(_places_by_range(df.join(hot, [key, day], "left_semi"), [key, day], ties).select(*rest.columns))
     earlier = F.sum("_n").over(W.partitionBy(key).orderBy(day).rowsBetween(W.unboundedPreceding, -1))
     offsets = per_day.select(key, day, F.coalesce(earlier, F.lit(0)).alias("_offset"))
-    place = F.row_number().over(W.partitionBy(key, day).orderBy(*ties))
     return (
-        df.withColumn("_place", place)
-        .join(offsets, [key, day])
+        placed.join(offsets, [key, day])
         .withColumn(name, (F.col("_offset") + F.col("_place")).cast("long"))
         .drop("_offset", "_place")
     )
 
 
+def _places_by_range(df: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    """Add ``_place``, the row's number within its ``keys`` by ``ties``, of which no task sees all.
+
+    Rows are dealt by ranges of the whole order, which split a large group; the
+    ranges are kept (a checkpoint), since counts and places must see the same ones.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*keys, *ties).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
+    earlier = F.sum("_rows").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    before = sizes.select(*keys, "_range", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*ties))
+    return dealt.withColumn("_within", within).join(F.broadcast(before), [*keys, "_range"]).withColumn("_place", F.col("_before") + F.col("_within"))
+
+
 def all_of(conditions: Sequence[Column]) -> Column:
     """Conjunction of a list of conditions; true for an empty list."""
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

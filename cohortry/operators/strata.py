@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import age_at, compare
 from cohortry.operators.intervals import scan_days
+from cohortry.session import small_table
 from cohortry.sources.cdm import Cdm
 
 AGE, GENDER, RACE, INDEX_DATE, FOLLOW_UP = "age", "gender", "race", "index_date", "follow_up"
@@ -167,14 +168,20 @@ def stratify_by_cohorts(cohort: DataFrame, xref: DataFrame) -> DataFrame:
     """Targets with (TwS) and without (TwoS) another cohort at their index date.
 
     A row "with" is repeated for every interval of the stratum cohort that holds
-    its index date; a row "without" has none.
+    its index date; a row "without" has none. The counters of all strata are
+    looked up once per index date; only then a row is spread over its pairs.
     """
-    pairs = xref.select("target_id", "strata_id", "cohort_id", "cohort_type")
-    rows = cohort.withColumnRenamed("cohort_definition_id", "target_id").join(pairs, "target_id")
-    open_intervals = F.coalesce("n", F.lit(0).cast("long"))
+    strata = [row["strata_id"] for row in xref.select("strata_id").distinct().orderBy("strata_id").collect()]
+    if not strata:
+        return cohort.select(*COHORT).limit(0)
+    place = small_table(cohort.sparkSession, [(s, i + 1) for i, s in enumerate(strata)], "strata_id long, _place int")
+    pairs = xref.select("target_id", "strata_id", "cohort_id", "cohort_type").join(place, "strata_id")
+    targets = cohort.withColumnRenamed("cohort_definition_id", "target_id").join(pairs.select("target_id").distinct(), "target_id", "left_semi")
+    open_intervals = F.coalesce(F.element_at("_open", F.col("_place")), F.lit(0).cast("long"))
     copies = F.when(F.col("cohort_type") == "TwS", open_intervals).otherwise(F.when(open_intervals == 0, 1).otherwise(0))
     return (
-        rows.join(_covered(cohort, xref), ["subject_id", "cohort_start_date", "strata_id"], "left")
+        targets.join(_open_strata(cohort, targets, strata), ["subject_id", "cohort_start_date"], "left")
+        .join(pairs, "target_id")
         .withColumn("_copies", copies)
         .where("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
@@ -198,27 +205,19 @@ def replace_strata(staging: DataFrame, xref: DataFrame, split: DataFrame) -> Dat
     return staging.join(replaced, "cohort_definition_id", "left_anti").unionByName(split)
 
 
-def _covered(cohort: DataFrame, xref: DataFrame) -> DataFrame:
-    """How many intervals of each stratum cohort hold a subject's index dates.
+def _open_strata(cohort: DataFrame, targets: DataFrame, strata: Sequence[int]) -> DataFrame:
+    """``_open``: per subject and index date the open intervals of every stratum cohort, as one array of counters.
 
     Starts count up, days after ends count down; the running sum at a day is the
     number of intervals open on it.
     """
-    strata = xref.select("strata_id").distinct()
-    intervals = cohort.withColumnRenamed("cohort_definition_id", "strata_id").join(strata, "strata_id", "left_semi")
-    steps = intervals.select(
-        "subject_id",
-        "strata_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("cohort_start_date").alias("day"), F.lit(1).cast("long").alias("n")),
-                F.struct(F.date_add("cohort_end_date", 1).alias("day"), F.lit(-1).cast("long").alias("n")),
-            )
-        ).alias("step"),
-    )
-    facts = steps.groupBy("subject_id", "strata_id", F.col("step.day").alias("day")).agg(F.sum("step.n").alias("n"))
-    targets = xref.select(F.col("target_id").alias("cohort_definition_id")).distinct()
-    dates = cohort.join(targets, "cohort_definition_id", "left_semi").select("subject_id", "cohort_start_date")
-    known = intervals.select("subject_id", "strata_id").distinct()
-    points = dates.distinct().join(known, "subject_id").withColumn("day", F.col("cohort_start_date"))
-    return scan_days(points, facts, ["subject_id", "strata_id"], {"n": "sum"}).drop("day")
+    step = F.explode(F.array(
+        F.struct(F.col("cohort_start_date").alias("day"), F.lit(1).cast("long").alias("n")),
+        F.struct(F.date_add("cohort_end_date", 1).alias("day"), F.lit(-1).cast("long").alias("n")),
+    ))
+    steps = cohort.where(F.col("cohort_definition_id").isin(*strata)).select("subject_id", "cohort_definition_id", step.alias("step"))
+    changes = [F.coalesce(F.sum(F.when(F.col("cohort_definition_id") == s, F.col("step.n"))), F.lit(0)).alias(f"_n{s}") for s in strata]
+    facts = steps.groupBy("subject_id", F.col("step.day").alias("day")).agg(*changes)
+    points = targets.select("subject_id", "cohort_start_date").distinct().withColumn("day", F.col("cohort_start_date"))
+    seen = scan_days(points, facts, ["subject_id"], {f"_n{s}": "sum" for s in strata})
+    return seen.select("subject_id", "cohort_start_date", F.array(*[F.col(f"_n{s}") for s in strata]).alias("_open"))

@@ -530,14 +530,12 @@ def _(s):
 
 
 @query("b22_report_earlier", f"""
-    select person_id, start_date, event_id from (
-        select n.person_id, n.measurement_date as start_date, m.measurement_id as event_id, row_number() over
-            (partition by n.measurement_id order by m.value_as_number, m.measurement_id) as place
+        select n.person_id, n.measurement_date as start_date, m.measurement_id as event_id
         from measurement m join measurement n on n.person_id = m.person_id
             and n.measurement_date between m.measurement_date and m.measurement_date + 2
         where m.measurement_concept_id in {MEASURED_SQL[0]} and n.measurement_concept_id in {MEASURED_SQL[0]}
           and m.value_as_number > 0 and n.value_as_number > 0 and m.unit_concept_id = 1 and n.unit_concept_id = 1
-          and n.value_as_number - m.value_as_number > 40) x where place = 1""")
+          and n.value_as_number - m.value_as_number > 40""")
 def _(s):
     change = Change(0, 2, diff=40.0, units=(1,), report_earlier=True)
     return measurement_change(s.measured, Codesets(s.measured, MEASURED), change).select(

@@ -209,6 +209,10 @@ _FACT = f"""
                'condition_era group: ' || o_orderpriority
         from ({_MEMBER}) m join {{orders}} on o_custkey = m.subject_id
         union all
+        select m.cohort_id, m.subject_id, m.database_id, ((4000000 + o_orderkey % 6) * 1000 + 412) * 10 + o_custkey % 4 + 1,
+               cast(412 as bigint), 'drug_era group: type ' || cast(o_orderkey % 6 as string)
+        from ({_MEMBER}) m join {{orders}} on o_custkey = m.subject_id where o_orderstatus = 'P'
+        union all
         select m.cohort_id, m.subject_id, m.database_id, 301000 + o_orderkey % 4 + 1, cast(10000 as bigint),
                'Cohort during window: partial'
         from ({_MEMBER}) m join {{orders}} on o_custkey = m.subject_id where o_orderstatus = 'P'"""

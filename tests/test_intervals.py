@@ -6,8 +6,20 @@ import datetime as dt
 import random
 
 import pytest
-
-from cohortry.operators.intervals import collapse_eras, first_per, in_observation, number_events, overlap_join, scan_days
+from pyspark.sql import functions as F
+
+from cohortry.operators.intervals import (
+    LEVELS,
+    _places_by_range,
+    collapse_eras,
+    first_per,
+    in_observation,
+    number_events,
+    on_all_levels,
+    on_own_level,
+    overlap_join,
+    scan_days,
+)
 from tests.conftest import d, rows
 
 INTERVAL = "person_id long, start_date date, end_date date"
@@ -86,6 +98,24 @@ def test_overlap_join_matches_brute_force_and_emits_once(frame):
         wanted, key=lambda r: [(False, str(v)) for v in r])
 
 
+def test_a_span_of_any_length_lies_in_two_slices(frame):
+    spans = [(1, day(3), day(3)), (2, day(0), day(366 * 9)), (3, dt.date(1, 1, 1), dt.date(9999, 12, 31)), (4, day(5), day(2)), (5, day(5), None)]
+    df = frame("id long, f date, t date", *spans)
+    found = {r["id"]: r["n"] for r in on_own_level(df, ("f", "t")).groupBy("id").count().withColumnRenamed("count", "n").collect()}
+    assert set(found) == {1, 2, 3} and max(found.values()) <= 2
+    # A date with its windows is cut once or twice a level.
+    assert on_all_levels(frame("id long, f date, t date", (1, day(0), day(395))), ("f", "t")).count() <= 3 + 2 * (LEVELS - 1)
+
+
+def test_long_spans_meet_all_they_overlap_once(frame):
+    left = intervals(11, 3, 60, 20_000)
+    right = [(p, s, s + dt.timedelta(days=(e - s).days * 400)) for p, s, e in intervals(12, 3, 60, 20_000)] + [(0, dt.date(1, 1, 1), dt.date(9999, 12, 31))]
+    a, b = frame("person_id long, a_from date, a_to date", *left), frame("person_id long, b_from date, b_to date", *right)
+    found = overlap_join(a, b, ["person_id"], ("a_from", "a_to"), ("b_from", "b_to"))
+    wanted = [(x[0], x[1], x[2], y[1], y[2]) for x in left for y in right if x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2]]
+    assert rows(found, "person_id", "a_from", "a_to", "b_from", "b_to") == sorted(wanted, key=lambda r: [(False, str(v)) for v in r])
+
+
 def test_number_events_matches_window(frame):
     data = [(r[0], i, r[1]) for i, r in enumerate(intervals(3, 6, 400, 50, hot=True))]
     numbered = number_events(frame("person_id long, event_id long, sort_date date", *data))
@@ -96,6 +126,24 @@ def test_number_events_matches_window(frame):
     assert sorted(rows(numbered, "person_id", "event_id", "ordinal")) == sorted(wanted)
 
 
+def test_a_hot_day_is_numbered_in_ranges(frame, spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        data = [(1, i * 7919 % 3001, day(5), i % 3) for i in range(1500)] + [(1, 5000 + i, day(i), 0) for i in range(9)] + [(2, 9000 + i, day(5), 1) for i in range(20)]
+        df = frame("person_id long, event_id long, sort_date date, rank int", *data).repartition(5)
+        numbered = number_events(df, ties=("rank", "event_id"), hot_day=100)
+        place, wanted = {}, []
+        for person, event, date, rank in sorted(data, key=lambda r: (r[0], r[2], r[3], r[1])):
+            place[person] = place.get(person, 0) + 1
+            wanted.append((person, event, place[person]))
+        assert sorted(rows(numbered, "person_id", "event_id", "ordinal")) == sorted(wanted)
+        hot = df.where("person_id = 1").where(F.col("sort_date") == F.lit(day(5)))
+        shares = [r["n"] for r in _places_by_range(hot, ["person_id", "sort_date"], ["rank", "event_id"]).groupBy("_range").agg(F.count("*").alias("n")).collect()]
+        assert sum(shares) == 1501 and len(shares) >= 3 and max(shares) < 1501 / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_scan_days_reads_up_to_and_from_a_day(frame):
     facts = frame("person_id long, day date, n long", (1, day(1), 2), (1, day(3), 5), (2, day(1), 7))
     points = frame("person_id long, day date, tag string", (1, day(0), "a"), (1, day(1), "b"), (1, day(9), "c"),
