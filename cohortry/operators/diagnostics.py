@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.expressions import age_at
 from cohortry.operators.events import DOMAINS, Events, events
 from cohortry.operators.vocabulary import Codesets
+from cohortry.session import small_table
 from cohortry.sources.cdm import Cdm
 
 DAYS_PER_YEAR = 365.25
@@ -111,18 +112,53 @@ def included_source_concepts(cdm: Cdm, codeset: DataFrame, domain: str) -> DataF
     )
 
 
+# Characters of the pieces of names that are looked up.
+GRAM = 3
+
+
+def _grams(text, length: int):
+    """The different pieces of so many characters of a text."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - length + 1, F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(places, lambda i: F.substr(text, i, F.lit(length))), lambda g: F.length(g) == length))
+
+
+def names_with_terms(names: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Rows of ``names(concept_id, concept_name)`` whose name holds one of the terms, whatever its case.
+
+    A name that holds a term holds all the term's pieces of GRAM characters (of
+    fewer where the term is shorter). Each term is looked up by its rarest piece
+    in an inverted index of the names, and only the names found there are
+    searched; thousands of terms so read the names once and not once each. A
+    missing name holds nothing, the empty term is in every name.
+    """
+    wanted = sorted({t.lower() for t in terms})
+    named = names.where(F.col("concept_name").isNotNull()).withColumn("_name", F.lower("concept_name"))
+    if "" in wanted or not wanted:
+        return named.drop("_name") if wanted else named.drop("_name").limit(0)
+    lengths = sorted({min(GRAM, len(t)) for t in wanted})
+    listed = small_table(names.sparkSession, [(t, min(GRAM, len(t))) for t in wanted], "term string, size int")
+    index = asked = None
+    for length in lengths:
+        held = named.select("concept_id", "_name", F.explode(_grams(F.col("_name"), length)).alias("gram"))
+        parts = listed.where(F.col("size") == length).withColumn("gram", F.explode(_grams(F.col("term"), length)))
+        index, asked = (held, parts) if index is None else (index.unionByName(held), asked.unionByName(parts))
+    # How often the pieces of the terms occur: pieces that no term has are not counted.
+    counts = index.join(F.broadcast(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    known = asked.join(counts, "gram", "left").select("term", "gram", F.coalesce("n", F.lit(0)).alias("n"))
+    rarest = known.groupBy("term").agg(F.min(F.struct("n", "gram")).alias("least")).where("least.n > 0").select("term", "least.gram")
+    # As many rows as there are terms, a settings list.
+    found = index.join(F.broadcast(rarest), "gram").where(F.col("_name").contains(F.col("term"))).select("concept_id").distinct()
+    return named.drop("_name").join(found, "concept_id", "left_semi")
+
+
 def orphan_concepts(cdm: Cdm, codeset: DataFrame, terms: Sequence[str], domain: str) -> DataFrame:
     """Concepts outside a codeset that are in use and whose name holds one of its search terms."""
     where = DOMAINS[domain]
-    name = F.lower("concept_name")
-    alike = F.lit(False)
-    for term in terms:
-        alike |= name.contains(term.lower())
     used = cdm[where.table].groupBy(F.col(where.concept).alias("concept_id")).agg(
         F.count("*").alias("concept_count"), F.count_distinct("person_id").alias("concept_subjects")
     )
     return (
-        cdm["concept"].where(alike).select("concept_id", "concept_name")
+        names_with_terms(cdm["concept"].select("concept_id", "concept_name"), terms)
         .join(codeset, "concept_id", "left_anti")
         .join(used, "concept_id")
     )

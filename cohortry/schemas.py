@@ -37,6 +37,7 @@ CLINICAL = {
 STUDY = {
     "cohort": "cohort_definition_id long, subject_id long, cohort_start_date date, cohort_end_date date",
     "cohort_settings": "name string, full_name string, tool_id long, cohort_id long",
+    "cohort_groups": "cohort_group string, file_name string, user_can_select boolean",
     "feature_windows": "window_id int, window_start int, window_end int, window_type string",
     "bulk_strata": "generation_script string, name string, lb_operator string, lb_strata_value string, "
     "ub_operator string, ub_strata_value string, cohort_id long",

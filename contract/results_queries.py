@@ -18,7 +18,9 @@ from cohortry.operators.vocabulary import Codesets, concept_set, concepts
 from cohortry.plans.cohort import inclusion_result, rule_stats, summary_stats
 from cohortry.session import small_table
 from cohortry.sources.cdm import Cdm
+from cohortry.plans.settings import study_from_settings
 from cohortry.sources.merge import database_info, merge_sites, remap_database
+from cohortry.sources.network import merge_chain
 from cohortry.sources.settings import inclusion_stats, read_settings
 from cohortry.sources.sinks import (
     checksum,
@@ -31,7 +33,7 @@ from cohortry.sources.sinks import (
     write_cohorts,
     write_results,
 )
-from contract.cohort_queries import ALL_INDEX, MASK_SQL, RULES, SET_SQL, SETS, spec
+from contract.cohort_queries import ALL_INDEX, MASK_SQL, RULES, SET_SQL, SETS, in_folder, spec
 from contract.events_queries import EVENT_SQL
 from contract.registry import query
 from contract.strata_queries import (
@@ -330,6 +332,78 @@ query("r13_typed_cohort_xref", "select * from site_xref")(
     lambda s: results.typed_cohort_xref(s.view("site_xref").select(
         *[F.col(c).cast("string").alias(c) for c in ("cohort_id", "target_id", "strata_id")],
         "target_name", "strata_name", "cohort_type")))
+# Five sites deliver: one has every count twice, one a column too many; the other three are merged and named.
+def deliveries(s) -> dict:
+    # Deliveries are files.
+    keep, found = in_folder(s, s.scratch()), {}
+    counts, covariates, values_ = (keep(name, s.view(name)) for name in ("site_count", "site_covariate", "site_value"))
+    for site in SITES:
+        mine = F.col("database_id") == site
+        region = s.table("region").where(F.col("r_name") == site)
+        tables = {
+            "database": region.select(F.col("r_name").alias("database_id"), F.col("r_name").alias("database_name"), F.lit("").alias("description"),
+                                      F.lit("v1").alias("vocabulary_version"), F.lit(0).alias("is_meta_analysis")),
+            "cohort_count": counts.where(mine), "covariate": covariates, "covariate_value": values_.where(mine),
+        }
+        if site == "ASIA":
+            tables["cohort_count"] = tables["cohort_count"].unionByName(tables["cohort_count"])
+        if site == "EUROPE":
+            tables["covariate_value"] = tables["covariate_value"].withColumn("note", F.lit("x"))
+        found[site] = tables
+    return found
+
+
+@query("merge_chain", """
+    select v.cohort_id, v.covariate_id, n.covariate_name, n.time_window_id, v.mean, v.database_id, c.cohort_subjects
+    from site_value v join site_count c on c.cohort_id = v.cohort_id and c.database_id = v.database_id
+    join (select covariate_id, cast(right(cast(covariate_id as string), 1) as int) as time_window_id,
+                 min(case when covariate_id between 200031 and 380031 and (covariate_id - 200031) % 10000 = 0
+                     then 'age group: ' || (5 * (covariate_id - 31) // 10000) || '-' || (5 * (covariate_id - 31) // 10000 + 4)
+                     else lower(covariate_name) end) as covariate_name
+          from site_covariate group by covariate_id) n on n.covariate_id = v.covariate_id
+    where v.database_id not in ('ASIA', 'EUROPE')""")
+def _(s):
+    merged = merge_chain(s.spark, deliveries(s))
+    named = merged["covariate_value"].join(merged["covariate"], "covariate_id")
+    counted = named.join(merged["cohort_count"].select("cohort_id", "database_id", "cohort_subjects"), ["cohort_id", "database_id"])
+    return counted.select("cohort_id", "covariate_id", "covariate_name", "time_window_id", "mean", "database_id", "cohort_subjects")
+
+
+query("merge_chain_quarantine", """
+    select 'ASIA' as site, 'cohort_count' as table_name, count(*) || ' keys (cohort_id, database_id) stand more than once' as reason
+    from site_count where database_id = 'ASIA'
+    union all select r_name, 'covariate_value', 'columns differ: note' from region where r_name = 'EUROPE'""")(
+    lambda s: merge_chain(s.spark, deliveries(s))["quarantine"])
+
+
+# A settings folder made of the nations: two target groups by region, strata and features; one cohort is left out.
+@query("study_from_settings", """
+    select case n_regionkey when 0 then 'target' when 2 then 'strata' else 'feature' end as role, 100 + n_nationkey as cohort_id, n_name as name
+    from nation where n_regionkey in (0, 2, 3) and n_nationkey <> 5
+    union all select 'bulk', cast(3 as bigint), 'Sex = Female' from region where r_regionkey = 0
+    union all select 'window', cast(1 as bigint), '-365 to -1 overlap' from region where r_regionkey = 0""")
+def _(s):
+    folder, nation = s.scratch(), s.table("nation")
+    groups = {0: "covid", 1: "influenza", 2: "strata", 3: "feature"}
+    listed = [(name, f"settings/{name}.csv", key < 2) for key, name in groups.items()]
+
+    def write(df, name):
+        df.coalesce(1).write.csv(f"{folder}/{name}", header=True, nullValue="NA")
+
+    write(small_table(s.spark, listed, "cohortGroup string, fileName string, userCanSelect boolean"), "CohortGroups.csv")
+    for key, name in groups.items():
+        rows = nation.where(F.col("n_regionkey") == key)
+        write(rows.select(F.col("n_name").alias("name"), F.col("n_name").alias("atlasName"), F.col("n_nationkey").alias("atlasId"), (F.col("n_nationkey") + 100).alias("cohortId")), f"{name}.csv")
+    write(small_table(s.spark, [("strata/StratifyByGender.sql", "Sex = Female", "=", "8532", None, None, 3)],
+                      "generationScript string, name string, lbOperator string, lbStrataValue string, ubOperator string, ubStrataValue string, cohortId long"), "BulkStrata.csv")
+    write(small_table(s.spark, [(1, -365, -1, "overlap")], "windowId int, windowStart int, windowEnd int, windowType string"), "featureTimeWindows.csv")
+    study = study_from_settings(s.spark, folder, {i: spec(cohort_id=i) for i in range(100, 200)}, groups={"covid"}, exclude={105})
+    roles = [("target", study.targets), ("strata", study.strata_cohorts), ("feature", study.features)]
+    found = [(role, c.cohort_id, study.names[c.cohort_id]) for role, specs in roles for c in specs]
+    found += [("bulk", b.strata_id, b.name) for b in study.bulk_strata] + [("window", w.window_id, f"{w.start} to {w.end} {w.kind}") for w in study.windows]
+    return small_table(s.spark, found, "role string, cohort_id long, name string")
+
+
 # All five result tables by their keys, and the covariates by the key they need once sites are merged.
 KEYED = [
     ("cohort", "site_xref", "cohort_id"), ("cohort_count", "site_count", "cohort_id, database_id"),
@@ -521,6 +595,13 @@ query("g5_orphan_concepts", f"""
       and c.concept_id not in ({PART + 1}, {PART + 2}, {PART + 3}) group by all""")(
     lambda s: orphan_concepts(
         s.cdm, concept_set(s.cdm, concepts(PART + 1, PART + 2, PART + 3, descendants=False)), ["ring", "Blue"], "drug"))
+# As many terms as there are orders' clerks and customers' names end in: each a few characters of some part's name.
+TERMS = [a + b for a in "abcdefghijklmnopqrstuvwxyz " for b in "abcdefghijklmnopqrstuvwxyz_#"] + [f"rt#{i}" for i in range(0, 3000, 7)] + ["blue", "GREEN", "m r", "q"]
+query("g5_many_terms", f"""
+    select c.concept_id, c.concept_name, count(*) as concept_count, count(distinct d.person_id) as concept_subjects
+    from concept c join drug_exposure d on d.drug_concept_id = c.concept_id
+    where ({" or ".join(f"contains(lower(c.concept_name), '{t.lower()}')" for t in TERMS)}) and c.concept_id <> {PART + 1} group by all""")(
+    lambda s: orphan_concepts(s.cdm, concept_set(s.cdm, concepts(PART + 1, descendants=False)), TERMS, "drug"))
 query("g6_censored_breakdown", f"""
     select source, case when n < 1000 and n <> 0 then -1000 else n end as n from (
         select drug_source_concept_id as source, count(*) as n from drug_exposure group by all) x""")(
