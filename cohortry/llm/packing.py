@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from itertools import chain
@@ -17,8 +18,13 @@ from cohortry.llm.common import freed, ready, text_pieces
 WINDOW = 4096
 # Pieces that one packing task should hold; the number of tasks follows the table.
 GROUP_PIECES = 20_000
-# Words whose ids a worker remembers, and texts tokenized at a time.
-WORDS, PIECE_BYTES = 200_000, 1 << 20
+# Words a worker meets before it forgets those not met since as many ago, and texts tokenized at a time.
+WORDS, PIECE_BYTES = 150_000, 1 << 20
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit words."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordTokenizer:
@@ -34,7 +40,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # Byte-level models read every byte as a visible character: printable ones as themselves, the others from 256 on.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         others = [b for b in range(256) if b not in plain]
@@ -47,8 +55,8 @@ class WordTokenizer:
         """Ids of a word of letters, which is one piece for the model, perhaps with a mark after it; None for others."""
         text = word.decode("latin-1")
         if text.isalpha():
-            shown = text if text.isascii() else "".join([self.visible[b] for b in text.encode("utf-8")])
-            return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+            shown = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(self.visible)
+            return _packed([t.id for t in self.tokenize(shown)])
         if len(text) > 1 and text[:-1].isalpha() and text[-1] in ".,;:!?":
             both = [self.known.get(word[:-1]) or self._word(word[:-1]), self.known.get(word[-1:]) or self._whole([text[-1]])[0].astype("<u4").tobytes()]
             self.known[word[:-1]], self.known[word[-1:]] = both
@@ -69,11 +77,11 @@ class WordTokenizer:
             else:
                 split.append((i, words))
         if len(self.known) > WORDS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = list(set(chain.from_iterable(w for _, w in split)) - self.known.keys())
         rest = []
         for word in new:
-            found = self._word(word)
+            found = self.older.get(word) or self._word(word)
             if found is None:
                 rest.append(word)
             else:
