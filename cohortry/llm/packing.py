@@ -9,11 +9,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from cohortry.llm.common import freed, ready, text_pieces
+from cohortry.llm.common import Scratch, freed, ready, text_pieces
 
 WINDOW = 4096
 # Pieces that one packing task should hold; the number of tasks follows the table.
@@ -210,21 +212,32 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return place, offset
 
 
-def pack_pieces(pieces: DataFrame, rows: int, window: int = WINDOW) -> DataFrame:
+def pack_pieces(pieces: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` (gapless from 0 in each sequence).
 
-    Pieces go to groups by a hash, and every group packs its own; ``rows``, the
-    number of source rows, sets the number of groups, so that a group stays at
-    about GROUP_PIECES pieces at every size and wastes at most a part of its last
-    windows. A sequence id is the group's number and the window's.
+    Equal pieces are counted first, and each copy then goes to a group by a hash
+    of all it holds and its number among the copies: neither an id that many rows
+    share or lack nor a text that stands often makes a group larger. The pieces
+    set the number of groups, so that a group stays at about GROUP_PIECES at every
+    size and wastes at most a part of its last windows. A sequence id is the
+    group's number and the window's. The pieces are stored once, not cut twice.
     """
-    groups = max(1, -(-rows // GROUP_PIECES))
+    columns = pieces.columns
+    counted = scratch.store(pieces.groupBy(*columns).agg(F.count("*").alias("_copies")))
+    total = counted.agg(F.sum("_copies")).first()[0] or 0
+    groups = max(1, -(-total // GROUP_PIECES))
+    # In two steps, so that no array is as long as a text is frequent.
+    step = F.lit(GROUP_PIECES).cast("long")
+    chunk = counted.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"), step)))
+    copies = chunk.withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_copies"), F.col("_from") + step - 1))))
+    dealt = copies.select(*columns, "_copy", F.xxhash64(*columns).alias("_tie")).withColumn("_group", F.pmod(F.xxhash64(*columns, "_copy"), F.lit(groups)))
     schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    keys = [(c, "ascending") for c in [*(c for c in columns if not isinstance(pieces.schema[c].dataType, ArrayType)), "_tie", "_copy"]]
 
-    def pack(key, group):
-        group = group.sort_values(["doc_id", "start", "length"], kind="stable")
-        place, offset = best_fit_decreasing(group["length"].to_numpy(), window)
-        return group.drop(columns="_group").assign(sequence_id=(int(key[0]) << 32) + place, offset=offset)
+    def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, sort_keys=keys))
+        place, offset = best_fit_decreasing(np.asarray(group["length"]), window)
+        packed = group.select(columns).append_column("sequence_id", pa.array((key[0].as_py() << 32) + place))
+        return packed.append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(pack, schema)
+    return dealt.groupBy("_group").applyInArrow(pack, schema)

@@ -155,7 +155,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token sequences of at most 4096 ids; only lengths and checksums are shuffled."""
     docs = table(spark, sf_dir, "documents")
     pieces = packing.cut_documents(docs, emit=["ids_crc32"])
-    packed = packing.pack_pieces(pieces, docs.count())
+    packed = packing.pack_pieces(pieces, Scratch(spark))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -49,7 +49,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, placed in sequences."""
     pieces = packing.cut_documents(docs, emit=["ids_crc32"])
-    packed = packing.pack_pieces(pieces, docs.count())
+    packed = packing.pack_pieces(pieces, Scratch(spark))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

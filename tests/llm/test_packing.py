@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from cohortry.llm import packing
+from cohortry.llm.common import Scratch
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,10 +70,21 @@ def test_best_fit_decreasing(lengths):
         assert plain_best_fit(lengths.tolist(), 64) == (len(used), sorted(64 - sum(n for _, n in p) for p in used.values()))
 
 
-def test_documents_round_trip(documents, tokenizer):
+def test_no_id_or_text_makes_a_large_group(spark, documents, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    rows = [(1, f"text number {i}") for i in range(400)] + [(None, f"no id {i}") for i in range(300)] + [(7, "the same row")] * 300 + [(2**60 + 1, "large id")]
+    pieces = packing.cut_documents(documents(*rows), emit=["ids_crc32"])
+    packed = packing.pack_pieces(pieces, Scratch(spark)).collect()
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in packed) == Counter((r["doc_id"], r["ids_crc32"]) for r in pieces.collect())
+    groups = Counter(r["sequence_id"] >> 32 for r in packed)
+    assert len(groups) == -(-1001 // 50) and max(groups.values()) < 100
+    assert sorted(map(tuple, packed), key=str) == sorted(map(tuple, packing.pack_pieces(pieces.repartition(7), Scratch(spark)).collect()), key=str)
+
+
+def test_documents_round_trip(spark, documents, tokenizer):
     long = "word by word " * 4000
     docs = documents((1, "a short text"), (2, None), (3, ""), (4, long), (1, "a short text"), (None, "no id"), (5, "x"))
-    packed = packing.pack_pieces(packing.cut_documents(docs, emit=["ids", "ids_crc32"]), 7).collect()
+    packed = packing.pack_pieces(packing.cut_documents(docs, emit=["ids", "ids_crc32"]), Scratch(spark)).collect()
     whole = tokenizer.encode(long, add_special_tokens=False).ids + [2]
     mine = sorted((r for r in packed if r["doc_id"] == 4), key=lambda r: r["start"])
     assert [i for r in mine for i in r["ids"]] == whole and len(mine) == -(-len(whole) // 4096)
@@ -85,4 +97,4 @@ def test_documents_round_trip(documents, tokenizer):
     for places in ends.values():
         places.sort()
         assert [o for o, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 4096
-    assert packing.pack_pieces(packing.cut_documents(docs.limit(0)), 0).collect() == []
+    assert packing.pack_pieces(packing.cut_documents(docs.limit(0)), Scratch(spark)).collect() == []
