@@ -44,10 +44,11 @@ def _day(number) -> F.Column:
 
 
 def list_changes(pages: DataFrame) -> DataFrame:
-    """Dated changes of four lists over the hosts and paths of the pages.
+    """Dated changes of six lists over the hosts and paths of the pages.
 
-    Two of three hosts are listed twice for a time; every page's address stands on a
-    takedown list for 45 days.
+    Two of three hosts are listed twice for a time, and some parents of hosts once; every
+    page's address stands on a takedown list for 45 days, and the directory of every fifth
+    page on a section list for 120.
     """
     seen = pages.select("page_id", url_filters.url_host(F.col("url")).alias("host"), url_filters.url_path(F.col("url")).alias("path"))
     hosts = seen.where("host is not null").groupBy(F.col("host").alias("key")).agg(F.min("page_id").alias("n")).where("n % 3 <> 0 or key like 'blog.%'")
@@ -58,7 +59,15 @@ def list_changes(pages: DataFrame) -> DataFrame:
     by_page = seen.where("host is not null").select(
         F.lit("takedown").alias("list"), F.concat("host", "path").alias("key"),
         F.inline(F.array(*[F.struct(_day(d).alias("at"), F.lit(on).alias("listed")) for d, on in spans])))
-    return by_host.unionByName(by_page)
+    directory = F.concat("host", F.regexp_extract("path", "^(.*/)", 1))
+    by_directory = seen.where("host is not null and page_id % 5 = 0").select(
+        F.lit("section").alias("list"), directory.alias("key"),
+        F.inline(F.array(*[F.struct(_day(d).alias("at"), F.lit(on).alias("listed"))
+                           for d, on in ((F.col("page_id") * 29 % _DAYS, True), (F.col("page_id") * 29 % _DAYS + 120, False))])))
+    parent = F.array_join(F.slice(F.split("key", r"\."), -2, 2), ".")
+    by_parent = hosts.where("n % 4 = 1 and size(split(key, '[.]')) > 2").select(
+        F.lit("network").alias("list"), parent.alias("key"), _day(F.col("n") * 11 % _DAYS).alias("at"), F.lit(True).alias("listed"))
+    return by_host.unionByName(by_page).unionByName(by_directory).unionByName(by_parent)
 
 
 _OP2_SQL = r"""
@@ -79,13 +88,19 @@ changes as (
   union all
   select 'takedown', host || path, date '2024-01-01' + cast(page_id * 13 % 730 as integer), true from seen where host is not null
   union all
-  select 'takedown', host || path, date '2024-01-01' + cast(page_id * 13 % 730 + 45 as integer), false from seen where host is not null),
+  select 'takedown', host || path, date '2024-01-01' + cast(page_id * 13 % 730 + 45 as integer), false from seen where host is not null
+  union all
+  select 'section', host || regexp_extract(path, '^(.*/)', 1), date '2024-01-01' + cast(page_id * 29 % 730 as integer), true from seen where host is not null and page_id % 5 = 0
+  union all
+  select 'section', host || regexp_extract(path, '^(.*/)', 1), date '2024-01-01' + cast(page_id * 29 % 730 + 120 as integer), false from seen where host is not null and page_id % 5 = 0
+  union all
+  select 'network', array_to_string(string_split(host, '.')[-2:], '.'), date '2024-01-01' + cast(n * 11 % 730 as integer), true from hosts where n % 4 = 1 and len(string_split(host, '.')) > 2),
 daily as (select kind, entry, since, bool_or(listed) as listed from changes group by kind, entry, since),
 keyed as (
   select distinct page_id, fetched, unnest(
-    list_transform(range(1, least(len(string_split(host, '.')), 8) + 1), lambda i: array_to_string(string_split(host, '.')[len(string_split(host, '.')) - i + 1:], '.'))
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[len(string_split(host, '.')) - i + 1:], '.'))
     || [host]
-    || list_transform(range(1, least(len(string_split(path, '/')) - 1, 8) + 1), lambda i: host || array_to_string(string_split(path, '/')[1:i], '/') || '/')
+    || list_transform(range(1, len(string_split(path, '/'))), lambda i: host || array_to_string(string_split(path, '/')[1:i], '/') || '/')
     || [host || path]) as entry
   from seen where host is not null),
 latest as (
