@@ -41,12 +41,14 @@ def test_a_change_reaches_what_depends_on_it():
 
 
 def test_second_run_skips_and_a_changed_one_agrees_with_a_fresh_one(spark, tmp_path):
+    # Strata by cohort and their order are in the contract query of the same name.
+    small = replace(STUDY, strata_cohorts=[])
     cdm = views.cdm(spark, SF_DIR)
-    first = update_study(cdm, STUDY, str(tmp_path / "a"), "given")
-    assert set(first.ran) == set(study_tasks(STUDY, "given"))
-    again = update_study(cdm, STUDY, str(tmp_path / "a"), "given")
+    first = update_study(cdm, small, str(tmp_path / "a"), "given")
+    assert set(first.ran) == set(study_tasks(small, "given"))
+    again = update_study(cdm, small, str(tmp_path / "a"), "given")
     assert again.ran == () and {n: rows(t) for n, t in again.tables.items()} == {n: rows(t) for n, t in first.tables.items()}
-    other = replace(STUDY, targets=[definition(101, 1, 60), STUDY.targets[1]])
+    other = replace(small, targets=[definition(101, 1, 60), small.targets[1]])
     third = update_study(cdm, other, str(tmp_path / "a"), "given")
     assert {t for t in third.ran if t[1] == COHORT} == {(101, COHORT)} and (102, STRATA) not in third.ran
     fresh = run_study(cdm, other, str(tmp_path / "b"), "given")
