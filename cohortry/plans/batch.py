@@ -40,6 +40,13 @@ INDEX = ("owner", "person_id", "start_date", "end_date", "op_start_date", "op_en
 _SETTINGS = ("owner int, cohort_id long, prior_days int, post_days int, exit_field string, exit_days int, "
              "era int, era_pad int, every long")
 
+# Answers of so many criteria are the bits of one long.
+_WORD = 62
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
 
 class Batch:
     """Some definitions over one event store; ``keep`` stores the tables between the steps."""
@@ -202,16 +209,20 @@ class Batch:
         criteria = list({c: None for own in wanted.values() for c in own})
         number = {c: i for i, c in enumerate(criteria)}
         if criteria:
-            hits = self._hits(index, wanted, criteria, number)
-            bare = [o for o, own in wanted.items() if not own]
+            hits = self._hits(index, wanted, criteria, number, name)
+            # Corners that meet no event have no part: these events have a row all the same.
+            bare = [o for o, own in wanted.items() if all(c.by_corners for c in own)]
             if bare:
                 hits = hits.unionByName(index.where(F.col("owner").isin(*bare)).withColumns({"criterion": F.lit(-1), "hits": F.lit(0).cast("long")}))
+            # Dealt by the index event once, for the sum of each criterion and for the answers of all.
+            hits = hits.repartition(*columns).groupBy(*columns, "criterion").agg(F.sum("hits").alias("hits"))
             least = F.element_at(F.create_map(*[F.lit(x) for c in criteria for x in (number[c], c.at_least if c.exactly is None else c.exactly)]), F.col("criterion"))
             exact = F.col("criterion").isin(*[number[c] for c in criteria if c.exactly is not None])
             held = F.when(exact, F.col("hits") == least).otherwise(F.col("hits") >= least)
-            index = hits.groupBy(*columns).agg(F.collect_set(F.when(held, F.col("criterion"))).alias("_held"))
-        else:
-            index = index.withColumn("_held", F.array().cast("array<int>"))
+            index = hits.groupBy(*columns).agg(*[
+                F.bit_or(F.when(held & F.col("criterion").isin(*range(k, k + _WORD)), _bit(F.col("criterion") - k)).otherwise(0)).alias(f"_held_{k // _WORD}")
+                for k in range(0, len(criteria), _WORD)
+            ])
         found = [leaf for own in groups.values() for g in own for leaf in leaves(g)]
         if any(isinstance(leaf, Demographic) and leaf.needs_person for leaf in found):
             index = index.join(self.store.cdm["person"].select("person_id", "year_of_birth", "gender_concept_id"), "person_id", "left")
@@ -219,7 +230,10 @@ class Batch:
         def answer(member) -> Column:
             if isinstance(member, Group):
                 return member.satisfied(answer)
-            return member.satisfied() if isinstance(member, Demographic) else F.array_contains("_held", number[member])
+            if isinstance(member, Demographic):
+                return member.satisfied()
+            word, place = divmod(number[member], _WORD)
+            return F.col(f"_held_{word}").bitwiseAND(F.lit(1 << place)) != 0
 
         mask = F.lit(0).cast("long")
         for owner, own in groups.items():
@@ -229,11 +243,10 @@ class Batch:
             mask = F.when(F.col("owner") == owner, bits).otherwise(mask)
         return index.select(*columns, mask.alias("mask"))
 
-    def _hits(self, index: DataFrame, wanted: Mapping[int, Sequence[Criterion]], criteria: Sequence[Criterion], number: Mapping[Criterion, int]) -> DataFrame:
-        """``criterion, hits`` of every index event and criterion of its owner."""
+    def _hits(self, index: DataFrame, wanted: Mapping[int, Sequence[Criterion]], criteria: Sequence[Criterion], number: Mapping[Criterion, int], name: str) -> DataFrame:
+        """``criterion, hits`` of the index events: parts whose sums are the hits; a criterion that no event meets may have none."""
         sources = list({_source(c): None for c in criteria})
         place = {c: F.lit(sources.index(_source(c))) for c in criteria}
-        matched, queries = self._matched([query for query, _ in sources])
         columns, found = index.columns, []
 
         def asked(kind: Callable[[Criterion], bool], points: Callable[[list[Criterion]], Column]) -> DataFrame:
@@ -249,24 +262,28 @@ class Batch:
         if any(map(_by_scan, criteria)):
             points = asked(_by_scan, lambda own: F.array(*[p for c in own for p in scan_points(number[c], c, source=place[c])]))
             keys = ["person_id", "source", "op_start", "op_end"]
-            seen = scan_days(points, self._scan_facts(matched, queries, sources), keys, {"n": "sum", "reach": "max"}, spread=keys)
-            reached = F.max(F.coalesce(F.col("reach") >= F.col("need"), F.lit(False)).cast("long"))
-            counted = seen.groupBy(*columns, "criterion").agg(F.sum(F.col("sign") * F.coalesce("n", F.lit(0))).alias("n"), reached.alias("r"))
+            seen = scan_days(points, self._scan_facts(sources), keys, {"n": "sum", "reach": "max"}, spread=keys)
+            # A criterion by reach has one point: whether it is reached.
+            reached = F.coalesce(F.col("reach") >= F.col("need"), F.lit(False)).cast("long")
             by_reach = F.col("criterion").isin(*[number[c] for c in criteria if c.by_reach])
-            found.append(counted.select(*columns, "criterion", F.when(by_reach, F.col("r")).otherwise(F.col("n")).alias("hits")))
+            counted = F.col("sign") * F.coalesce("n", F.lit(0))
+            found.append(seen.select(*columns, "criterion", F.when(by_reach, reached).otherwise(counted).alias("hits")))
         if any(c.by_corners for c in criteria):
             cornered = lambda c: c.by_corners
-            # A criterion that meets no event has no part below; it counts zero.
+            # A criterion that meets no event has no part below; where zero is asked for, it counts zero.
             zero = F.lit(0).cast("long").alias("hits")
-            zeros = asked(cornered, lambda own: F.array(*[F.struct(F.lit(number[c]).alias("criterion"), zero) for c in own]))
+            meant = lambda c: c.by_corners and c.satisfied_by_none
+            if any(map(meant, criteria)):
+                found.append(asked(meant, lambda own: F.array(*[F.struct(F.lit(number[c]).alias("criterion"), zero) for c in own])))
             points = asked(cornered, lambda own: F.flatten(F.array(*[corners(number[c], c, source=place[c]) for c in own])))
-            parts = count_dominated(points, self._corner_facts(matched, queries, sources), ["person_id", "source"])
-            both = zeros.unionByName(parts.select(*columns, "criterion", (F.col("sign") * F.col("n")).alias("hits")))
-            found.append(both.groupBy(*columns, "criterion").agg(F.sum("hits").alias("hits")))
+            # Ranks, runs and points all read the facts: they are found once.
+            facts = self.keep(f"criteria/{name}-corners", self._corner_facts(sources))
+            parts = count_dominated(points, facts, ["person_id", "source"])
+            found.append(parts.select(*columns, "criterion", (F.col("sign") * F.col("n")).alias("hits")))
         for c in criteria:
             if c.by_pairs:
                 owners = [o for o, own in wanted.items() if c in own]
-                given = replace(c, events=_Matched(matched.where(F.col("query") == queries.index(c.events))))
+                given = replace(c, events=_Matched(self._of_sources([_source(c)], ["pairs"])))
                 counted = count_by_pairs(self.store.cdm, None, index.where(F.col("owner").isin(*owners)), given, "hits")
                 found.append(counted.withColumn("criterion", F.lit(number[c])).select(*columns, "criterion", "hits"))
         together = found[0]
@@ -274,22 +291,24 @@ class Batch:
             together = together.unionByName(part)
         return together
 
-    def _matched(self, queries: Sequence) -> tuple[DataFrame, list]:
-        """Events that count for criteria, of the distinct queries; those without a concept do not."""
-        distinct = list({q: None for q in queries})
-        return self.store.matched(distinct, self.judge).where(F.col("target_concept_id").isNotNull()), distinct
+    def _of_sources(self, sources: Sequence[tuple], kinds: Sequence[str]) -> DataFrame:
+        """Events that count for the sources of some kinds, with the number of the source; those without a concept do not.
 
-    def _of_sources(self, matched: DataFrame, queries: Sequence, sources: Sequence[tuple], kinds: Sequence[str]) -> DataFrame:
-        rows = [(queries.index(query), i) for i, (query, kind) in enumerate(sources) if kind in kinds]
-        return matched.join(small_table(self.store.cdm.spark, rows, "query int, source int"), "query")
+        Only what these kinds ask is read, and only their nested queries are judged.
+        """
+        chosen = [(i, query) for i, (query, kind) in enumerate(sources) if kind in kinds]
+        queries = list({query: None for _, query in chosen})
+        found = self.store.matched(queries, self.judge).where(F.col("target_concept_id").isNotNull())
+        return found.join(small_table(self.store.cdm.spark, [(queries.index(q), i) for i, q in chosen], "query int, source int"), "query")
 
-    def _scan_facts(self, matched: DataFrame, queries: Sequence, sources: Sequence[tuple]) -> DataFrame:
+    def _scan_facts(self, sources: Sequence[tuple]) -> DataFrame:
         """Counts and latest ends per source, person and day."""
         columns = ["person_id", "source", "op_start", "op_end", F.col("start_date").alias("day"), "end_date"]
-        none = F.lit(None).cast("date")
-        parts = [self._of_sources(matched, queries, sources, ["count"]).withColumns({"op_start": none, "op_end": none}).select(*columns)]
-        if any(kind.startswith("reach") for _, kind in sources):
-            seen = self._of_sources(matched, queries, sources, ["reach", "reach observed"]).select("person_id", "source", "start_date", "end_date")
+        none, kinds, parts = F.lit(None).cast("date"), {kind for _, kind in sources}, []
+        if "count" in kinds:
+            parts.append(self._of_sources(sources, ["count"]).withColumns({"op_start": none, "op_end": none}).select(*columns))
+        if kinds & {"reach", "reach observed"}:
+            seen = self._of_sources(sources, ["reach", "reach observed"]).select("person_id", "source", "start_date", "end_date")
             seen = in_observation(seen, self.store.cdm["observation_period"])
             within = [i for i, (_, kind) in enumerate(sources) if kind == "reach observed"]
             seen = seen.where(~F.col("source").isin(*within) | (F.col("end_date") <= F.col("op_end_date")))
@@ -297,15 +316,17 @@ class Batch:
         together = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return together.groupBy("person_id", "source", "op_start", "op_end", "day").agg(F.count("*").alias("n"), F.max("end_date").alias("reach"))
 
-    def _corner_facts(self, matched: DataFrame, queries: Sequence, sources: Sequence[tuple]) -> DataFrame:
+    def _corner_facts(self, sources: Sequence[tuple]) -> DataFrame:
         """Starts by ends, and occurrences by the previous ones of their concept."""
-        spans = self._of_sources(matched, queries, sources, ["ends"]).where(F.col("end_date").isNotNull())
-        spans = spans.groupBy("person_id", "source", F.col("start_date").alias("day"), F.unix_date("end_date").cast("long").alias("y")).agg(F.count("*").alias("n"))
-        if not any(kind == "concepts" for _, kind in sources):
-            return spans
-        seen = self._of_sources(matched, queries, sources, ["concepts"])
-        seen = seen.select("person_id", "source", F.col("target_concept_id").alias("concept"), F.col("start_date").alias("day"))
-        return spans.unionByName(with_previous(seen, ["person_id", "source"], BEFORE_ALL))
+        kinds, parts = {kind for _, kind in sources}, []
+        if "ends" in kinds:
+            spans = self._of_sources(sources, ["ends"]).where(F.col("end_date").isNotNull())
+            parts.append(spans.groupBy("person_id", "source", F.col("start_date").alias("day"), F.unix_date("end_date").cast("long").alias("y")).agg(F.count("*").alias("n")))
+        if "concepts" in kinds:
+            seen = self._of_sources(sources, ["concepts"])
+            seen = seen.select("person_id", "source", F.col("target_concept_id").alias("concept"), F.col("start_date").alias("day"))
+            parts.append(with_previous(seen, ["person_id", "source"], BEFORE_ALL))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _by_scan(c: Criterion) -> bool:

@@ -104,3 +104,26 @@ def test_hot_person_and_no_events(spark, keep, bundle):
     found = rows(build_cohorts(cdm, specs, keep))
     assert found == sorted((r for s in specs for r in rows(build_cohort(cdm, s))), key=lambda r: [(v is None, str(v)) for v in r])
     assert {r[0] for r in found} == {1, 2, 3}
+
+
+def test_facts_of_corners_are_found_once_and_answers_need_no_sets(spark, keep):
+    stored = {}
+
+    def seen(name, df):
+        stored[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(name, df)
+
+    cdm = views.cdm(spark, SF_DIR)
+    specs = [known.spec(cohort_id=5, primary=(Events("condition", 1),), additional=any_in(*[c for c, _ in known.END_WINDOWS], known.TESTED_VISIT))]
+    assert rows(build_cohorts(cdm, specs, seen)) == rows(build_cohort(cdm, specs[0]))
+    assert "criteria/additional-corners" in stored and "criteria/nested/2" not in stored
+    assert "collect_set" not in stored["index/passed"]
+
+
+def test_more_criteria_than_a_word_has_bits(spark, keep):
+    cdm = views.cdm(spark, SF_DIR)
+    never = [Criterion(Events("device", 7), Window(ends_to=day(-5000 - i), ignore_observation=True)) for i in range(70)]
+    held = [Criterion(Events("device", 7), Window(ends_to=day(400), ignore_observation=True)), Criterion(Events("drug", 5), Window(starts_to=day(0)), exactly=0, distinct=True)]
+    specs = [known.spec(cohort_id=1, additional=any_in(*never, *held)), known.spec(cohort_id=2, additional=any_in(*never))]
+    found = rows(build_cohorts(cdm, specs, keep))
+    assert found and found == rows(build_cohort(cdm, known.spec(cohort_id=1, additional=any_in(*held))))
