@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import bulk_sd, proportion
@@ -40,12 +40,36 @@ def windows_from_settings(rows: Sequence) -> list[FeatureWindow]:
     return [FeatureWindow(r["window_id"], r["window_start"], r["window_end"], r["window_type"]) for r in rows]
 
 
+# Windows of so many ids are the bits of one long.
+_WORD = 62
+
+
 def facts_in_windows(cohort: DataFrame, facts: DataFrame, windows: Sequence[FeatureWindow]) -> DataFrame:
     """``(subject_id, cohort_start_date, window_id, fact_id)`` of the facts that match.
 
-    ``facts`` has ``subject_id, fact_id, fact_start, fact_end``. Cohorts share
-    most of their index dates, so each date of a subject is looked at once, with
-    all windows at a time. A fact id with several intervals may repeat.
+    ``facts`` has ``subject_id, fact_id, fact_start, fact_end``. A fact id with
+    several intervals may repeat.
+    """
+    words = [(ids, facts_met(cohort, facts, windows, ids)) for ids in window_words(windows)]
+    return _union([
+        met.select("subject_id", "cohort_start_date", "fact_id", F.explode(F.array_compact(F.array(*[
+            F.when(_has(k), F.lit(i)) for k, i in enumerate(ids)
+        ]))).alias("window_id"))
+        for ids, met in words
+    ])
+
+
+def window_words(windows: Sequence[FeatureWindow]) -> list[list[int]]:
+    """Distinct ids of some windows, as many at a time as one long has room for."""
+    ids = list(dict.fromkeys(w.window_id for w in windows))
+    return [ids[k:k + _WORD] for k in range(0, len(ids), _WORD)]
+
+
+def facts_met(cohort: DataFrame, facts: DataFrame, windows: Sequence[FeatureWindow], ids: Sequence[int]) -> DataFrame:
+    """``(subject_id, cohort_start_date, fact_id, met)``: bit ``k`` is set where a window with the ``k``-th id matches.
+
+    Cohorts share most of their index dates, so each date of a subject is looked at
+    once, with all windows at a time.
     """
     dates = cohort.select("subject_id", "cohort_start_date").distinct()
     start = F.col("cohort_start_date")
@@ -57,34 +81,54 @@ def facts_in_windows(cohort: DataFrame, facts: DataFrame, windows: Sequence[Feat
     # of a fact run between its two days, whichever they are.
     last = F.coalesce("fact_end", "fact_start")
     spanned = facts.withColumns({"_low": F.least("fact_start", last), "_high": F.greatest("fact_start", last)})
-    pairs = overlap_join(reach, spanned, ["subject_id"], ("_from", "_to"), ("_low", "_high"))
-    hit = [
-        F.when(
-            (F.col("fact_start") <= F.date_add(start, w.end))
-            & (F.col("fact_start" if w.kind == "start" else "fact_end") >= F.date_add(start, w.start)),
-            F.lit(w.window_id),
-        )
-        for w in windows
-    ]
-    return pairs.select(
-        "subject_id", "cohort_start_date", "fact_id", F.explode(F.array_compact(F.array(*hit))).alias("window_id")
-    )
+    pairs = overlap_join(reach, spanned, ["subject_id"], ("_from", "_to"), ("_low", "_high"), clip=True)
+    met = F.lit(0).cast("long")
+    for w in windows:
+        if w.window_id in ids:
+            hit = (F.col("fact_start") <= F.date_add(start, w.end)) & (
+                F.col("fact_start" if w.kind == "start" else "fact_end") >= F.date_add(start, w.start))
+            met = met.bitwiseOR(F.when(hit, F.lit(1 << ids.index(w.window_id))).otherwise(0).cast("long"))
+    return pairs.select("subject_id", "cohort_start_date", "fact_id", met.alias("met")).where("met <> 0")
+
+
+def by_index_date(met: DataFrame) -> DataFrame:
+    """Rows dealt by subject and index date, as ``subjects_per_fact`` wants them."""
+    return met.repartition("subject_id", "cohort_start_date")
 
 
-def subjects_per_fact(cohort: DataFrame, matched: DataFrame) -> DataFrame:
+def subjects_per_fact(cohort: DataFrame, met: DataFrame, ids: Sequence[int]) -> DataFrame:
     """Distinct subjects per cohort, fact and window.
 
-    ``matched`` comes without duplicates: it is smallest before the cohorts that
-    share an index date are spread out.
+    ``met`` comes dealt by index date: its repetitions are dropped, and the cohorts
+    that share the date are spread out, where it lies. It is smallest before.
     """
+    once = met.groupBy("subject_id", "cohort_start_date", "fact_id").agg(F.bit_or("met").alias("met"))
     return (
         cohort.select("cohort_definition_id", "subject_id", "cohort_start_date")
-        .join(matched, ["subject_id", "cohort_start_date"])
-        .groupBy("cohort_definition_id", "fact_id", "window_id")
-        .agg(F.count_distinct("subject_id").alias("sum_value"))
+        .join(once, ["subject_id", "cohort_start_date"])
+        .groupBy("cohort_definition_id", "fact_id", "subject_id")
+        .agg(F.bit_or("met").alias("met"))
+        .groupBy("cohort_definition_id", "fact_id")
+        .agg(*[F.count_if(_has(k)).alias(f"_{k}") for k in range(len(ids))])
+        .select("cohort_definition_id", "fact_id", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("window_id"), F.col(f"_{k}").alias("sum_value")) for k, i in enumerate(ids)
+        ])).alias("_counted"))
+        .select("cohort_definition_id", "fact_id", "_counted.*")
+        .where("sum_value > 0")
     )
 
 
+def _has(bit: int) -> Column:
+    return F.col("met").bitwiseAND(F.lit(1 << bit)) != 0
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part)
+    return together
+
+
 def feature_counts(cohort: DataFrame, staging: DataFrame, windows: Sequence[FeatureWindow],
                    feature_ids: Sequence[int]) -> DataFrame:
     """Subjects of each cohort with each feature cohort in each window."""
@@ -94,7 +138,10 @@ def feature_counts(cohort: DataFrame, staging: DataFrame, windows: Sequence[Feat
         F.col("cohort_start_date").alias("fact_start"),
         F.col("cohort_end_date").alias("fact_end"),
     )
-    counted = subjects_per_fact(cohort, facts_in_windows(cohort, facts, windows).distinct())
+    counted = _union([
+        subjects_per_fact(cohort, by_index_date(facts_met(cohort, facts, windows, ids)), ids)
+        for ids in window_words(windows)
+    ])
     return counted.select(
         "cohort_definition_id",
         F.col("fact_id").alias("feature_cohort_definition_id"),

@@ -116,6 +116,16 @@ def test_long_spans_meet_all_they_overlap_once(frame):
     assert rows(found, "person_id", "a_from", "a_to", "b_from", "b_to") == sorted(wanted, key=lambda r: [(False, str(v)) for v in r])
 
 
+def test_clipped_spans_meet_all_they_overlap_once(frame):
+    left = [*intervals(13, 3, 60, 2_000), (0, None, None), (1, day(9), day(3))]
+    right = [*intervals(14, 3, 60, 20_000), (0, dt.date(1, 1, 1), dt.date(9999, 12, 31)), (1, dt.date(1, 1, 1), day(0)), (2, day(5), None)]
+    a, b = frame("person_id long, a_from date, a_to date", *left), frame("person_id long, b_from date, b_to date", *right)
+    spans = (["person_id"], ("a_from", "a_to"), ("b_from", "b_to"))
+    found = rows(overlap_join(a, b, *spans, clip=True), "person_id", "a_from", "a_to", "b_from", "b_to")
+    assert found and found == rows(overlap_join(a, b, *spans), "person_id", "a_from", "a_to", "b_from", "b_to")
+    assert overlap_join(a.limit(0), b, *spans, clip=True).count() == 0
+
+
 def test_number_events_matches_window(frame):
     data = [(r[0], i, r[1]) for i, r in enumerate(intervals(3, 6, 400, 50, hot=True))]
     numbered = number_events(frame("person_id long, event_id long, sort_date date", *data))

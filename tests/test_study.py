@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from cohortry.operators.events import Events
 from cohortry.operators.exits import DateOffset
-from cohortry.operators.features import WINDOWS, facts_in_windows
+from cohortry.operators.covariates import drug_group_covariates
+from cohortry.operators.features import WINDOWS, FeatureWindow, facts_in_windows, feature_counts
 from cohortry.operators.strata import AGE, GENDER, Stratum
 from cohortry.operators.vocabulary import concepts
 from cohortry.plans.cohort import CohortSpec
@@ -68,6 +69,39 @@ def test_features_of_a_hot_person(frame):
     assert set(rows(found, "subject_id", "cohort_start_date", "window_id", "fact_id")) == wanted
 
 
+def test_facts_are_shuffled_to_their_index_date_once(frame):
+    cohort = frame("cohort", (1, 7, at(0), at(9)), (2, 7, at(0), at(5)), (1, 8, at(400), at(401)), (1, 8, at(400), at(409)))
+    facts = frame("cohort", (5, 7, at(-3), at(-2)), (5, 7, at(-9), at(0)), (6, 7, at(0), at(0)), (6, 8, at(420), None), (5, 9, at(0), at(0)))
+    # More windows than one long has bits.
+    windows = [*WINDOWS, *[FeatureWindow(k, -k, -k, "overlap") for k in range(10, 80)]]
+    wanted = {(1, 5, w.window_id, 1) for w in windows if w.kind == "overlap" and w.start <= 0 and w.end >= -9} | {
+        (1, 6, 3, 1), (1, 6, 4, 2)}
+    wanted |= {(2, *r[1:3], 1) for r in wanted}
+    assert set(rows(feature_counts(cohort, facts, windows, [5, 6]))) == wanted
+    plan = feature_counts(cohort, facts, WINDOWS, [5, 6])._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(subject_id" in line and "met" not in line]
+    assert not any("cohort_start_date" in line and "fact_id" in line for line in dealt)
+
+
+def test_groups_that_are_not_broadcast_count_the_same(bundle, frame, monkeypatch):
+    cdm = bundle(
+        concept=[(i, f"c{i}", "Drug", "ATC", "ATC 2nd", "C", code, None) for i, code in ((1, "A01"), (2, "B01"))],
+        concept_ancestor=[(1, 10, 1), (2, 10, 1), (1, 11, 1)],
+        drug_era=[(1, 7, 10, at(-5), at(-2)), (2, 7, 11, at(-400), at(-20)), (3, 8, 10, at(1), at(2))],
+    )
+    cohort = frame("cohort", (1, 7, at(0), at(9)), (2, 7, at(0), at(9)), (1, 8, at(0), at(9)))
+    joined = rows(drug_group_covariates(cdm, cohort, WINDOWS))
+    assert joined == sorted([(c, w, g, 1) for c in (1, 2) for w in (1, 2) for g in (1412, 2412)] + [(1, 4, g, 1) for g in (1412, 2412)],
+                            key=lambda r: [(False, str(v)) for v in r])
+    monkeypatch.setattr("cohortry.operators.covariates.BROADCAST_ROWS", 0)
+    assert rows(drug_group_covariates(cdm, cohort, WINDOWS)) == joined
+
+
+def test_eras_are_shuffled_once(spark):
+    plan = views.era_view(views.cdm(spark, SF_DIR), "drug_era")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(person_id") == 1
+
+
 def test_hot_person_is_bounded_by_days_before_any_window(frame):
     """However many rows a person has, the window of the era collapse sees one per day."""
     from cohortry.operators.intervals import collapse_eras
