@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import age_at, bulk_sd, proportion, sequential_sd, truncate_name
-from cohortry.operators.features import FeatureWindow, by_index_date, facts_met, subjects_per_fact, window_words
+from cohortry.operators.features import FeatureWindow, subjects_per_fact
 from cohortry.operators.vocabulary import condition_groups, drug_groups
 from cohortry.session import BROADCAST_ROWS, small_table
 from cohortry.sources.cdm import Cdm
@@ -70,23 +70,18 @@ def _group_covariates(cohort, eras, groups, windows, analysis: int) -> DataFrame
     above = groups.groupBy("descendant_concept_id").agg(F.collect_set("ancestor_concept_id").alias("groups"))
     # A row takes about six longs besides its groups.
     longs = above.agg(F.sum(F.size("groups") + 6)).first()[0] or 0
-    small = longs <= 6 * BROADCAST_ROWS
-    parts = []
-    for ids in window_words(touching):
-        met, same = facts_met(cohort, eras, touching, ids), F.col("fact_id") == F.col("descendant_concept_id")
-        # Facts are fewer than their groups: they are dealt first, unless the groups have to be shuffled to them.
-        held = by_index_date(met).join(F.broadcast(above), same) if small else by_index_date(met.join(above, same))
-        grouped = held.select("subject_id", "cohort_start_date", F.explode("groups").alias("fact_id"), "met")
-        parts.append(subjects_per_fact(cohort, grouped, ids).select(
-            "cohort_definition_id",
-            "window_id",
-            (F.col("fact_id").cast("long") * 1000 + analysis).alias("covariate_id"),
-            "sum_value",
-        ))
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
-    return together
+    listed = F.broadcast(above) if longs <= 6 * BROADCAST_ROWS else above
+
+    def grouped(met: DataFrame) -> DataFrame:
+        held = met.join(listed, F.col("fact_id") == F.col("descendant_concept_id"))
+        return held.select("subject_id", "_word", F.explode("groups").alias("fact_id"), "met")
+
+    return subjects_per_fact(cohort, eras, touching, grouped).select(
+        "cohort_definition_id",
+        "window_id",
+        (F.col("fact_id").cast("long") * 1000 + analysis).alias("covariate_id"),
+        "sum_value",
+    )
 
 
 def covariate_counts(cdm: Cdm, cohort: DataFrame, windows: Sequence[FeatureWindow],

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import bulk_sd, proportion
@@ -40,7 +41,7 @@ def windows_from_settings(rows: Sequence) -> list[FeatureWindow]:
     return [FeatureWindow(r["window_id"], r["window_start"], r["window_end"], r["window_type"]) for r in rows]
 
 
-# Windows of so many ids are the bits of one long.
+# So many bits of one long are used, for windows and cohorts.
 _WORD = 62
 
 
@@ -50,12 +51,13 @@ def facts_in_windows(cohort: DataFrame, facts: DataFrame, windows: Sequence[Feat
     ``facts`` has ``subject_id, fact_id, fact_start, fact_end``. A fact id with
     several intervals may repeat.
     """
-    words = [(ids, facts_met(cohort, facts, windows, ids)) for ids in window_words(windows)]
+    dates = cohort.select("subject_id", "cohort_start_date").distinct().withColumns({"_word": F.lit(0), "_cohorts": F.lit(1).cast("long")})
     return _union([
-        met.select("subject_id", "cohort_start_date", "fact_id", F.explode(F.array_compact(F.array(*[
-            F.when(_has(k), F.lit(i)) for k, i in enumerate(ids)
-        ]))).alias("window_id"))
-        for ids, met in words
+        facts_met(dates, cohort, facts, windows, ids).select(
+            "subject_id", "cohort_start_date", "fact_id", F.explode(F.array_compact(F.array(*[
+                F.when(_has(k), F.lit(i)) for k, i in enumerate(ids)
+            ]))).alias("window_id"))
+        for ids in window_words(windows)
     ])
 
 
@@ -65,57 +67,83 @@ def window_words(windows: Sequence[FeatureWindow]) -> list[list[int]]:
     return [ids[k:k + _WORD] for k in range(0, len(ids), _WORD)]
 
 
-def facts_met(cohort: DataFrame, facts: DataFrame, windows: Sequence[FeatureWindow], ids: Sequence[int]) -> DataFrame:
-    """``(subject_id, cohort_start_date, fact_id, met)``: bit ``k`` is set where a window with the ``k``-th id matches.
+def cohort_bits(cohort: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """``(cohort_definition_id, _word, _bit)``: a place for each cohort, as many to a word as fit with so many windows.
+
+    One row per cohort of a study.
+    """
+    place = F.row_number().over(W.orderBy("cohort_definition_id")) - 1
+    per = _per_word(ids)
+    return cohort.select("cohort_definition_id").distinct().select(
+        "cohort_definition_id", F.floor(place / per).cast("int").alias("_word"), (place % per).cast("int").alias("_bit"))
+
+
+def index_dates(cohort: DataFrame, places: DataFrame) -> DataFrame:
+    """``(subject_id, cohort_start_date, _word, _cohorts)``: the cohorts that share an index date, as bits."""
+    place = places.withColumnRenamed("cohort_definition_id", "_id")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))
+    return (
+        cohort.join(F.broadcast(place), F.col("cohort_definition_id").eqNullSafe(F.col("_id")))
+        .groupBy("subject_id", "cohort_start_date", "_word")
+        .agg(F.bit_or(bit).alias("_cohorts"))
+    )
+
+
+def facts_met(dates: DataFrame, cohort: DataFrame, facts: DataFrame, windows: Sequence[FeatureWindow], ids: Sequence[int],
+              per: int = 1) -> DataFrame:
+    """``(subject_id, cohort_start_date, fact_id, _word, met)``: the bits of ``_cohorts``, ``k * per`` places up, where a window with the ``k``-th id matches.
 
     Cohorts share most of their index dates, so each date of a subject is looked at
-    once, with all windows at a time.
+    once for all cohorts of a word, with all windows at a time. ``dates`` are those of ``cohort``.
     """
-    dates = cohort.select("subject_id", "cohort_start_date").distinct()
     start = F.col("cohort_start_date")
-    reach = dates.withColumns({
+    span = {
         "_from": F.date_add(start, min(w.start for w in windows)),
         "_to": F.date_add(start, max(w.end for w in windows)),
-    })
+    }
     # A window may look at the start alone, or be touched by an interval stored backwards: the slices
     # of a fact run between its two days, whichever they are.
     last = F.coalesce("fact_end", "fact_start")
     spanned = facts.withColumns({"_low": F.least("fact_start", last), "_high": F.greatest("fact_start", last)})
-    pairs = overlap_join(reach, spanned, ["subject_id"], ("_from", "_to"), ("_low", "_high"), clip=True)
+    pairs = overlap_join(dates.withColumns(span), spanned, ["subject_id"], ("_from", "_to"), ("_low", "_high"), clip=cohort.withColumns(span))
     met = F.lit(0).cast("long")
     for w in windows:
         if w.window_id in ids:
             hit = (F.col("fact_start") <= F.date_add(start, w.end)) & (
                 F.col("fact_start" if w.kind == "start" else "fact_end") >= F.date_add(start, w.start))
-            met = met.bitwiseOR(F.when(hit, F.lit(1 << ids.index(w.window_id))).otherwise(0).cast("long"))
-    return pairs.select("subject_id", "cohort_start_date", "fact_id", met.alias("met")).where("met <> 0")
-
+            met = met.bitwiseOR(F.when(hit, F.shiftleft("_cohorts", ids.index(w.window_id) * per)).otherwise(0).cast("long"))
+    return pairs.select("subject_id", "cohort_start_date", "fact_id", "_word", met.alias("met")).where("met <> 0")
 
-def by_index_date(met: DataFrame) -> DataFrame:
-    """Rows dealt by subject and index date, as ``subjects_per_fact`` wants them."""
-    return met.repartition("subject_id", "cohort_start_date")
 
-
-def subjects_per_fact(cohort: DataFrame, met: DataFrame, ids: Sequence[int]) -> DataFrame:
+def subjects_per_fact(cohort: DataFrame, facts: DataFrame, windows: Sequence[FeatureWindow],
+                      counted_as: Callable[[DataFrame], DataFrame] = lambda met: met) -> DataFrame:
     """Distinct subjects per cohort, fact and window.
 
-    ``met`` comes dealt by index date: its repetitions are dropped, and the cohorts
-    that share the date are spread out, where it lies. It is smallest before.
+    Matches are shuffled once, by subject and fact, as bits of all windows and cohorts: a subject
+    with many facts is spread out, and a row is never repeated for the cohorts of its index date.
+    Subjects with equal bits are counted together, and only their counts are spread over cohorts
+    and windows. ``counted_as`` may put other ``fact_id`` in place of those met.
     """
-    once = met.groupBy("subject_id", "cohort_start_date", "fact_id").agg(F.bit_or("met").alias("met"))
-    return (
-        cohort.select("cohort_definition_id", "subject_id", "cohort_start_date")
-        .join(once, ["subject_id", "cohort_start_date"])
-        .groupBy("cohort_definition_id", "fact_id", "subject_id")
-        .agg(F.bit_or("met").alias("met"))
-        .groupBy("cohort_definition_id", "fact_id")
-        .agg(*[F.count_if(_has(k)).alias(f"_{k}") for k in range(len(ids))])
-        .select("cohort_definition_id", "fact_id", F.explode(F.array(*[
-            F.struct(F.lit(i).alias("window_id"), F.col(f"_{k}").alias("sum_value")) for k, i in enumerate(ids)
-        ])).alias("_counted"))
-        .select("cohort_definition_id", "fact_id", "_counted.*")
-        .where("sum_value > 0")
-    )
+    parts = []
+    for ids in window_words(windows):
+        per, places = _per_word(ids), cohort_bits(cohort, ids)
+        met = facts_met(index_dates(cohort, places), cohort, facts, windows, ids, per)
+        alike = (
+            counted_as(met).groupBy("subject_id", "fact_id", "_word").agg(F.bit_or("met").alias("met"))
+            .groupBy("fact_id", "_word", "met").agg(F.count("*").alias("_n"))
+        )
+        own = alike.join(F.broadcast(places), "_word").withColumn("met", F.call_function("shiftright", F.col("met"), F.col("_bit")))
+        found = F.explode(F.array_compact(F.array(*[F.when(_has(k * per), F.lit(i)) for k, i in enumerate(ids)])))
+        parts.append(
+            own.select("cohort_definition_id", "fact_id", found.alias("window_id"), "_n")
+            .groupBy("cohort_definition_id", "fact_id", "window_id").agg(F.sum("_n").alias("sum_value"))
+        )
+    return _union(parts)
+
+
+def _per_word(ids: Sequence[int]) -> int:
+    """Cohorts whose bits for so many windows fit one long."""
+    return _WORD // len(ids)
 
 
 def _has(bit: int) -> Column:
@@ -138,11 +166,7 @@ def feature_counts(cohort: DataFrame, staging: DataFrame, windows: Sequence[Feat
         F.col("cohort_start_date").alias("fact_start"),
         F.col("cohort_end_date").alias("fact_end"),
     )
-    counted = _union([
-        subjects_per_fact(cohort, by_index_date(facts_met(cohort, facts, windows, ids)), ids)
-        for ids in window_words(windows)
-    ])
-    return counted.select(
+    return subjects_per_fact(cohort, facts, windows).select(
         "cohort_definition_id",
         F.col("fact_id").alias("feature_cohort_definition_id"),
         "window_id",

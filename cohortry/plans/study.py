@@ -33,7 +33,7 @@ from cohortry.plans.batch import Batch
 from cohortry.plans.cohort import CohortSpec, rule_stats, summary_stats
 from cohortry.plans.incremental import COHORT, COVARIATES, FEATURES, RESULTS, STRATA, WHOLE, Ledger, Task, study_tasks
 from cohortry.schemas import TABLES
-from cohortry.session import broadcast_if_small, small_table
+from cohortry.session import small_table
 from cohortry.sources.cdm import Cdm
 from cohortry.sources.merge import database_info
 from cohortry.sources.sinks import exclude_cohorts, read_cohorts, write_cohorts, write_results
@@ -174,7 +174,8 @@ class _StudyFolder:
     def _covariates(self, ids: Sequence[int]) -> None:
         cohort = self._of_targets(read_cohorts(self.spark, self.cohort_path), ids)
         large = with_min_subjects(cohort_counts(cohort), self.study.min_subjects).select(F.col("cohort_id").alias("cohort_definition_id"))
-        described = cohort.join(broadcast_if_small(large), "cohort_definition_id", "left_semi")
+        # At most as many ids as the study has cohorts. Each kind of covariate reads the rows several times.
+        described = self._stored("work/described", cohort.join(F.broadcast(large), "cohort_definition_id", "left_semi"))
         found = characterize(self.cdm, described, self.study.windows, sd=self.study.sd).withColumn("analysis_id", F.col("analysis_id").cast("long"))
         self.covariates.replace(found.join(F.broadcast(self.members), "cohort_id"), ids)
 

@@ -39,7 +39,7 @@ from cohortry.plans.study import Study, update_study
 from cohortry.sources.sinks import read_cohorts
 from contract.events_queries import BRAND, EVENT_SQL, HIGH, LOW, MEDIUM, TYPE, URGENT, below
 from contract.registry import query
-from contract.views import PART, collapse_sql
+from contract.views import PART, collapse_sql, stored_eras
 
 INDEX = ("person_id", "start_date", "end_date", "op_start_date", "op_end_date")
 
@@ -489,8 +489,9 @@ def _(s):
     folder = s.scratch()
     study = Study(targets=[followed(101, URGENT, 30), followed(102, HIGH, 30)], strata_cohorts=[followed(201, MEDIUM, 365)], features=[followed(301, LOW, 5)],
                   bulk_strata=[Stratum(3, "Sex = Female", GENDER, (("=", 8532),))], names={101: "urgent", 102: "high", 201: "medium", 301: "low"})
-    update_study(s.cdm, study, folder, "given")
-    second = update_study(s.cdm, replace(study, targets=[followed(101, URGENT, 60), study.targets[1]]), folder, "given")
+    cdm = stored_eras(s.cdm, f"{folder}/eras")
+    update_study(cdm, study, folder, "given")
+    second = update_study(cdm, replace(study, targets=[followed(101, URGENT, 60), study.targets[1]]), folder, "given")
     built = [i for i, kind in second.ran if kind == "cohort"]
     counts = cohort_counts(read_cohorts(s.spark, f"{folder}/cohort_staging"), [101, 102, 201, 301])
     return counts.withColumn("built_again", F.col("cohort_id").isin(*built))

@@ -83,6 +83,32 @@ def test_facts_are_shuffled_to_their_index_date_once(frame):
     assert not any("cohort_start_date" in line and "fact_id" in line for line in dealt)
 
 
+def test_cohorts_that_share_an_index_date_share_its_matches(frame):
+    # More cohorts than one long has bits for, one of them without an id; subject 8 is in the even ones only.
+    ids = [None, *range(100, 140)]
+    cohort = frame("cohort", *[(c, 7, at(k % 2), at(9)) for k, c in enumerate(ids)], *[(c, 7, at(0), at(9)) for c in ids],
+                   *[(c, 8, at(0), at(9)) for c in ids[1::2]], (100, None, at(0), at(9)))
+    facts = frame("cohort", (5, 7, at(-3), at(-2)), (5, 7, at(1), at(1)), (5, 8, at(0), at(0)), (6, 8, at(-400), at(0)), (6, None, at(0), at(0)))
+    wanted = {(c, 5, w, n) for k, c in enumerate(ids) for w, n in ((1, 1), (2, 1), (4, 1 + k % 2))}
+    wanted |= {(c, 5, 3, k % 2 + k % 2) for k, c in enumerate(ids) if k % 2} | {(c, 6, w, 1) for c in ids[1::2] for w in (1, 2)}
+    wanted |= {(c, 5, 1, 1) for c in ids}
+    counted = feature_counts(cohort, facts, WINDOWS, [5, 6])
+    assert set(rows(counted)) == wanted and counted.count() == len(wanted)
+    # Matches go to their subject and fact; no row goes to a cohort before subjects are counted.
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not any("cohort_definition_id" in line and "subject_id" in line for line in dealt)
+
+
+def test_stored_eras_are_built_once(spark, bundle, tmp_path):
+    given = bundle(drug_exposure=[(1, 7, 10, 10, at(0), at(5), 5, None), (2, 7, 10, 10, at(20), None, 5, None), (3, 8, 10, 10, at(90), None, 5, None)])
+    built = []
+    cdm = given.with_tables(drug_era=lambda: built.append(1) or views.era_view(given, "drug_era"))
+    stored = views.stored_eras(cdm, str(tmp_path / "eras"))
+    assert not built and rows(stored["drug_era"]) == rows(views.era_view(given, "drug_era")) and len(rows(stored["drug_era"])) == 2
+    assert "Window" not in stored["drug_era"]._jdf.queryExecution().executedPlan().toString() and built == [1]
+
+
 def test_groups_that_are_not_broadcast_count_the_same(bundle, frame, monkeypatch):
     cdm = bundle(
         concept=[(i, f"c{i}", "Drug", "ATC", "ATC 2nd", "C", code, None) for i, code in ((1, "A01"), (2, "B01"))],
