@@ -93,18 +93,25 @@ class Batch:
         first = first_per(index.where(chosen), ["owner", "person_id"], EARLIEST)
         return first if len(some) == len(self.specs) else index.where(~chosen).unionByName(first)
 
+    def _limits(self, name: str) -> bool:
+        return bool(self._owners(lambda s: getattr(s, name) == "first"))
+
     def qualified(self) -> DataFrame:
-        """Index events that are limited and pass the additional criteria."""
-        index = self.limited(self.keep("index/primary", self.primary()), "primary_limit")
+        """Index events that are limited and pass the additional criteria; stored between steps that read them more than once."""
+        index = self.primary()
         groups = {i: [s.additional] for i, s in enumerate(self.specs) if s.additional is not None}
+        if groups or self._limits("primary_limit"):
+            index = self.limited(self.keep("index/primary", index), "primary_limit")
         if groups:
             chosen = F.col("owner").isin(*groups)
             judged = self.evaluate(index.where(chosen), groups, "additional")
             index = index.where(~chosen).unionByName(judged.where(F.col("mask") == 1).drop("mask"))
-        return self.limited(self.keep("index/passed", index), "qualified_limit")
+        if groups or self._limits("qualified_limit"):
+            index = self.limited(self.keep("index/passed", index), "qualified_limit")
+        return index
 
     def masked(self) -> DataFrame:
-        """Qualified events with ``inclusion_rule_mask``; stored, since cohorts and statistics both read it."""
+        """Qualified events with ``inclusion_rule_mask``; read from what is stored, since cohorts and statistics both read it."""
         if self._masked is None:
             self._masked = self._mask()
         return self._masked
@@ -113,16 +120,19 @@ class Batch:
         index = self.keep("index/qualified", self.qualified())
         groups = {i: list(s.inclusion_rules) for i, s in enumerate(self.specs) if s.inclusion_rules}
         none = index.withColumn("mask", F.lit(0).cast("long"))
-        if groups:
-            chosen = F.col("owner").isin(*groups)
-            none = none.where(~chosen).unionByName(self.evaluate(index.where(chosen), groups, "rules"))
+        if not groups:
+            return none.withColumnRenamed("mask", "inclusion_rule_mask")
+        chosen = F.col("owner").isin(*groups)
+        none = none.where(~chosen).unionByName(self.evaluate(index.where(chosen), groups, "rules"))
         return self.keep("index/masked", none.withColumnRenamed("mask", "inclusion_rule_mask"))
 
     def cohorts(self) -> DataFrame:
         """Rows of all cohorts."""
         masked = self.masked().join(self.settings.select("owner", "every"), "owner")
         included = masked.where(F.col("inclusion_rule_mask") == F.col("every")).select(*INDEX)
-        rows = self._exits(self.keep("index/included", self.limited(included, "expression_limit")))
+        if self.store.eras or self._limits("expression_limit") or self._owners(lambda s: bool(s.censors)):
+            included = self.keep("index/included", self.limited(included, "expression_limit"))
+        rows = self._exits(included)
         pads = self.settings.select("owner", "cohort_id", "era_pad")
         stays = rows.where(F.col("exit_date") >= F.col("start_date")).select("owner", "person_id", "start_date", F.col("exit_date").alias("end_date")).join(pads, "owner")
         eras = collapse_eras(stays, ["cohort_id", "person_id", "era_pad"], F.col("era_pad"))

@@ -127,3 +127,15 @@ def test_more_criteria_than_a_word_has_bits(spark, keep):
     specs = [known.spec(cohort_id=1, additional=any_in(*never, *held)), known.spec(cohort_id=2, additional=any_in(*never))]
     found = rows(build_cohorts(cdm, specs, keep))
     assert found and found == rows(build_cohort(cdm, known.spec(cohort_id=1, additional=any_in(*held))))
+
+
+def test_definitions_without_criteria_and_limits_are_stored_once(spark, keep):
+    stored = []
+
+    def seen(name, df):
+        stored.append(name)
+        return keep(name, df)
+
+    specs = [CohortSpec(i, (Events("condition", 0),), {0: [concepts(5000000 + i, descendants=False)]}, exit=DateOffset("start", 30)) for i in (1, 2)]
+    assert rows(build_cohorts(views.cdm(spark, SF_DIR), specs, seen))
+    assert [name for name in stored if name.startswith("index/")] == ["index/qualified"]
