@@ -6,15 +6,21 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortry.llm.common import Scratch, ready
+from cohortry.llm.common import Scratch, freed, ready
 from cohortry.llm.components import connected_components
-
-# Vectors of one graph at most, about; shards at least; queries of one task.
-SHARD_ROWS, SHARDS, BLOCK_ROWS = 100_000, 8, 8192
+from cohortry.session import small_table
+
+# Vectors of one graph at most, about, and bytes of them in double precision; shards at least; queries that are audited together.
+SHARD_ROWS, SHARD_BYTES, SHARDS, BLOCK_ROWS = 100_000, 64 << 20, 8, 8192
+# Tables smaller than a shard are asked in so many slots of at least so many queries; others in slots of the size of a shard.
+SLOTS, SLOT_ROWS = 4, 16_384
+# Bytes of one piece of a stored graph; tasks of one exchange at most.
+PIECE_BYTES, TASKS = 1 << 20, 4096
 # Neighbours of a node in the lowest layer (half of it above), and the beam of construction.
 DEGREE, BUILD_BEAM = 24, 48
 # The first beam of a search; queries audited per task, near copies planted for its audit; the recall they must reach.
@@ -109,6 +115,13 @@ class Graph:
         for k in range(len(counts) - 1, -1, -1):
             self.layers.insert(0, self._build(counts[k], DEGREE if k == 0 else DEGREE // 2))
 
+    @classmethod
+    def of(cls, vectors: np.ndarray, order: np.ndarray, layers: list[np.ndarray]) -> Graph:
+        """The graph that was built over these vectors, from what was stored of it."""
+        graph = cls.__new__(cls)
+        graph.vectors, graph.order, graph.layers = vectors[order], order, layers
+        return graph
+
     def entries(self, queries: np.ndarray, layers: list[np.ndarray], width: int = 4) -> np.ndarray:
         """Entry points for the layer below ``layers``, by walking down from the top."""
         entry = np.zeros((len(queries), 1), np.int32)
@@ -258,78 +271,186 @@ def neighbours(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: floa
     return enumerate(_exact(exact, queries, least))
 
 
-def _matrix(column) -> np.ndarray:
-    exact = np.stack([np.asarray(v, np.float64) for v in column])
-    return exact / np.linalg.norm(exact, axis=1, keepdims=True)
-
-
-def _build_shard(key, shard):
-    """The graph of a shard with its ids, copies and unit vectors, as bytes."""
-    shard = shard.sort_values("rep", kind="stable")
-    exact = _matrix(shard["embedding"])
-    graph = Graph(exact.astype(np.float32))
-    whole = pickle.dumps((shard["rep"].to_numpy(), shard["copies"].to_numpy(), exact, graph), protocol=5)
-    return pd.DataFrame({"dimension": [key[0]], "shard": [key[1]], "graph": [whole]})
-
-
-def _search_shard(least: float):
-    def search(key, shard, queries):
-        columns = ["a", "b", "n"]
-        if not len(shard) or not len(queries):
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
-        ids, weight, exact, graph = pickle.loads(shard["graph"].iloc[0])
-        asked = queries["rep"].to_numpy()
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        rows: list[tuple[int, int, int]] = []
-        for q, near in neighbours(graph, exact, _matrix(queries["embedding"]), least):
-            others = near[ids[near] != asked[q]]
-            if len(others):
-                rows.append((int(asked[q]), int(asked[q]), int(weight[others].sum())))
-                for other in ids[others].tolist():
-                    one, two = find(int(asked[q])), find(other)
-                    if one != two:
-                        root[max(one, two)] = min(one, two)
-                        rows.append((int(asked[q]), other, 0))
-        return pd.DataFrame(rows, columns=columns).astype("int64")
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    exact = vectors.astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    return exact
+
+
+def _matrix(batches: list[pa.RecordBatch]) -> np.ndarray:
+    """The vectors of some rows, all of one length, in the precision they are given in."""
+    return np.concatenate([b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in batches])
+
+
+def _longs(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([b.column(name).to_numpy() for b in batches])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Each cell of rows that are sorted by ``cell``, with its rows as they come: no more than a batch is held."""
+    slices = _slices(batches)
+    ahead = next(slices, None)
+    while ahead is not None:
+        cell = ahead[0]
+
+        def own() -> Iterator[pa.RecordBatch]:
+            nonlocal ahead
+            while ahead is not None and ahead[0] == cell:
+                yield ahead[1]
+                ahead = next(slices, None)
+
+        rows = own()
+        yield cell, rows
+        for _ in rows:
+            pass
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        cell = batch.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        for low, high in zip(cuts, cuts[1:]):
+            if high > low:
+                yield int(cell[low]), batch.slice(low, high - low)
+
+
+_PIECES = "cell long, part int, piece binary"
+_PIECES_ARROW = pa.schema([("cell", pa.int64()), ("part", pa.int32()), ("piece", pa.binary())])
+_LINKS = "a long, b long, n long"
+_LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
+@freed
+def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The graphs of shards with their ids, copies and vectors, as pieces of bounded size."""
+    for cell, rows in _cells(batches):
+        shard = list(rows)
+        given = _matrix(shard)
+        graph = Graph(_unit(given).astype(np.float32))
+        whole = pickle.dumps((_longs(shard, "rep"), _longs(shard, "copies"), given, graph.order, graph.layers), protocol=5)
+        del shard, given, graph
+        for part, low in enumerate(range(0, len(whole), PIECE_BYTES)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([cell], [part], [whole[low:low + PIECE_BYTES]]), _PIECES_ARROW)], schema=_PIECES_ARROW)
+
+
+def _search_cells(least: float):
+    """Each cell is the pieces of one graph, in order, and then the queries of a slot; a block of these is held at a time."""
+
+    @freed
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _cells(batches):
+            shard, pieces, root, waiting = None, [], {}, []
+            for some in rows:
+                stored = some.num_rows - some.column("piece").null_count
+                pieces += some.column("piece").slice(0, stored).to_pylist()
+                if stored == some.num_rows:
+                    continue
+                if shard is None:
+                    # A shard that no vector fell to has no graph.
+                    if not pieces:
+                        break
+                    ids, weight, given, order, layers = pickle.loads(b"".join(pieces))
+                    pieces, exact = [], _unit(given)
+                    shard = (Graph.of(exact.astype(np.float32), order, layers), exact, ids, weight)
+                    del given
+                waiting.append(some.slice(stored))
+                while sum(b.num_rows for b in waiting) >= BLOCK_ROWS:
+                    over = sum(b.num_rows for b in waiting) - BLOCK_ROWS
+                    last = waiting.pop()
+                    yield _links_of(shard, [*waiting, last.slice(0, last.num_rows - over)], root, least)
+                    waiting = [last.slice(last.num_rows - over)] if over else []
+            if waiting:
+                yield _links_of(shard, waiting, root, least)
 
     return search
 
 
+def _links_of(shard: tuple, batches: list[pa.RecordBatch], root: dict[int, int], least: float) -> pa.RecordBatch:
+    """``a, a, n`` of every query with ``n`` links, and ``a, b, 0`` where a link joins two parts of the forest in ``root``."""
+    graph, exact, ids, weight = shard
+    asked = _longs(batches, "rep")
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    rows: list[tuple[int, int, int]] = []
+    for q, near in neighbours(graph, exact, _unit(_matrix(batches)), least):
+        others = near[ids[near] != asked[q]]
+        if len(others):
+            rows.append((int(asked[q]), int(asked[q]), int(weight[others].sum())))
+            for other in ids[others].tolist():
+                one, two = find(int(asked[q])), find(other)
+                if one != two:
+                    root[max(one, two)] = min(one, two)
+                    rows.append((int(asked[q]), other, 0))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ([], [], []))], schema=_LINKS_ARROW)
+
+
+def layout(sizes: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """For each dimension with so many classes: it, its shards and slots, and the numbers of its first shard and its first cell.
+
+    A graph is held by one task and copied once per slot, so shards are bounded in
+    rows and bytes, and a slot has about as many queries as a shard has vectors.
+    """
+    found, shard, cell = [], 0, 0
+    for dimension, n in sorted(sizes.items()):
+        most = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * dimension)))
+        shards, slots = max(SHARDS, -(-n // most)), max(-(-n // most), min(SLOTS, -(-n // SLOT_ROWS)))
+        found.append((dimension, shards, slots, shard, cell))
+        shard, cell = shard + shards, cell + shards * slots
+    return found
+
+
+def _dealt(df: DataFrame, cells: int, *order) -> DataFrame:
+    """Rows of a cell in one task, sorted; a task has one cell, or few where there are very many."""
+    tasks = max(1, min(cells, TASKS))
+    return df.repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell", *order)
+
+
 def embedding_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row.
 
     Equal vectors are one class. Classes are dealt to shards by a hash; each
-    shard is indexed once by a graph, which is stored, and every block of
-    classes is searched in every shard. A task returns per class the number of vectors it found linked in its shard, and a
+    shard is indexed once by a graph, which is stored in pieces, and every slot of
+    classes is searched in every shard. A task reads the pieces of one graph, then its
+    queries block by block. It returns per class the number of vectors it found linked in its shard, and a
     spanning forest of these links, never all pairs. Vectors that are null or
     empty, have null or non-finite components or no length are linked with nothing;
     vectors of different lengths never meet. A null id stays alone (null component, kept).
     """
     spark = ready(vectors.sparkSession)
     scratch = Scratch(spark)
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    # Floats are moved as they are; every cosine is of doubles.
+    given = vectors.schema[embedding].dataType
+    kind = "array<float>" if given in (T.ArrayType(T.FloatType(), True), T.ArrayType(T.FloatType(), False)) else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = fine & F.exists("embedding", lambda x: x != 0.0) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("embedding", F.when(F.coalesce(fine, F.lit(False)), F.col("embedding")))
     classes = scratch.store(rows.where("embedding is not null").groupBy("embedding")
                             .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
                             .withColumn("dimension", F.size("embedding")))
-    n = classes.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK_ROWS))
+    laid = layout({r["dimension"]: r["count"] for r in classes.groupBy("dimension").count().collect()})
+    shards, cells = sum(x[1] for x in laid), sum(x[1] * x[2] for x in laid)
+    # A row per length of vectors.
+    sizes = F.broadcast(small_table(spark, laid, "dimension int, shards long, slots long, first_shard long, first_cell long"))
     hashed = F.xxhash64("rep", "dimension")
-    placed = classes.withColumn("shard", F.pmod(hashed, F.lit(shards))).withColumn("block", F.pmod(F.xxhash64(hashed), F.lit(blocks)))
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    graphs = scratch.store(placed.groupBy("dimension", "shard").applyInPandas(_build_shard, "dimension int, shard long, graph binary"))
-    stores = graphs.withColumn("block", every(blocks)).groupBy("dimension", "shard", "block")
-    asks = placed.drop("shard").withColumn("shard", every(shards)).groupBy("dimension", "shard", "block")
-    found = scratch.store(stores.cogroup(asks).applyInPandas(_search_shard(least), "a long, b long, n long"))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    placed = classes.join(sizes, "dimension").withColumns({"shard": F.pmod(hashed, "shards"), "slot": F.pmod(F.xxhash64(hashed), "slots")})
+    built = _dealt(placed.select((F.col("first_shard") + F.col("shard")).alias("cell"), "rep", "copies", "embedding"), shards, "rep")
+    graphs = scratch.store(built.mapInArrow(_build_shards, _PIECES))
+    cell = F.col("first_cell") + F.col("shard") * F.col("slots") + F.col("slot")
+    of_shard = sizes.withColumn("shard", every("shards")).withColumn("_of", F.col("first_shard") + F.col("shard"))
+    stores = graphs.withColumnRenamed("cell", "_of").join(F.broadcast(of_shard), "_of").withColumn("slot", every("slots")).select(
+        cell.alias("cell"), "part", "piece", F.lit(None).cast("long").alias("rep"), F.lit(None).cast(kind).alias("embedding"))
+    asks = placed.drop("shard").withColumn("shard", every("shards")).select(
+        cell.alias("cell"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("piece"), "rep", "embedding")
+    dealt = _dealt(stores.unionByName(asks), cells, F.col("part").asc_nulls_last(), "rep")
+    found = scratch.store(dealt.mapInArrow(_search_cells(least), _LINKS))
+    scratch.drop(graphs)
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     named = connected_components(found.where("a <> b").select("a", "b"), scratch).withColumnRenamed("node", "rep")
     judged = classes.join(counts, "rep", "left").join(named, "rep", "left").select(

@@ -177,3 +177,35 @@ def test_an_audit_without_links_proves_nothing():
     assert not hnsw_dedup.audit_passes([none], [none])
     many = np.arange(1000)
     assert not hnsw_dedup.audit_passes([many] * 20 + [none], [many] * 20 + [one])
+
+
+def test_graphs_are_moved_in_pieces(spark, monkeypatch):
+    # Long vectors: a shard's graph has more than a megabyte, which no row may hold as a whole.
+    rng = np.random.default_rng(8)
+    exact = rng.standard_normal((1200, 768))
+    exact[1000:] = exact[:200] + 0.2 * rng.standard_normal((200, 768))
+    table = [(i, v.tolist()) for i, v in enumerate(exact)] + [(2000 + i, v) for i, v in enumerate(([1.0, 0.0], [3.0, 0.0], [0.0, 1.0]))]
+    cells = []
+
+    def store(self, df, kept=Scratch.store):
+        stored = kept(self, df)
+        cells.extend(r[0] for name, kind in stored.dtypes if kind == "binary" for r in stored.selectExpr(f"length({name})").collect())
+        return stored
+
+    monkeypatch.setattr(Scratch, "store", store)
+    monkeypatch.setattr(hnsw_dedup, "SLOT_ROWS", 500, raising=False)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw_dedup.embedding_duplicates(vectors(spark, table)).collect()}
+    exact = exact.astype(np.float32).astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    near = exact @ exact.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() == 400 and len(cells) > 8 and max(cells) <= 1 << 20
+    wanted = {i: (int(n.sum()), min(i, *np.flatnonzero(n))) if n.any() else (0, i) for i, n in enumerate(near)}
+    assert found == wanted | {2000: (1, 2000), 2001: (1, 2000), 2002: (0, 2002)}
+
+
+def test_shards_are_bounded_in_bytes():
+    laid = hnsw_dedup.layout({64: 700_000, 4096: 50_000, 2: 5})
+    assert [(d, shards) for d, shards, *_ in laid] == [(2, 8), (64, 8), (4096, 25)]
+    # No shard and no cell has the number of another.
+    assert [x[3:] for x in laid] == [(0, 0), (8, 8), (16, 8 + 8 * 7)] and laid[2][2] == 25
