@@ -90,22 +90,34 @@ def queries_of(specs: Iterable) -> list:
     return list(found)
 
 
+def domains_of(specs: Iterable) -> set[str]:
+    """Domains whose tables some definitions read."""
+    specs = list(specs)
+    era = any(isinstance(s.exit, DrugEra) for s in specs)
+    return {q.domain for q in queries_of(specs) if isinstance(q, Events)} | ({"drug"} if era else set())
+
+
+def resolved(cdm: Cdm, definitions: Mapping[int, tuple], keep: Callable[[str, DataFrame], DataFrame]) -> DataFrame | None:
+    """``concept_id, tags``: one row per concept of any codeset, stored once and broadcast if a count allows it; None without codesets."""
+    if not definitions:
+        return None
+    rows = codesets(cdm, definitions).groupBy("concept_id").agg(F.sort_array(F.collect_set("codeset_id")).alias("tags"))
+    return broadcast_if_small(keep("concept_tags", rows))
+
+
 class EventStore:
-    """Tagged events of some definitions; ``keep(name, df)`` stores a table and returns it as read back."""
+    """Tagged events of some definitions; ``keep(name, df)`` stores a table and returns it as read back.
+
+    ``tags`` are those of ``resolved`` for the same definitions, where they are known.
+    """
 
-    def __init__(self, cdm: Cdm, specs: Sequence, keep: Callable[[str, DataFrame], DataFrame]):
+    def __init__(self, cdm: Cdm, specs: Sequence, keep: Callable[[str, DataFrame], DataFrame], tags: DataFrame | None = None):
         self.cdm, self.keep = cdm, keep
         self.specs, self.definitions = share_codesets(specs)
         self.queries = queries_of(self.specs)
         self.eras = list({s.exit: None for s in self.specs if isinstance(s.exit, DrugEra)})
-        domains = {q.domain for q in self.queries if isinstance(q, Events)} | ({"drug"} if self.eras else set())
-        self._tags = self._resolved() if self.definitions else None
-        self.tables = {domain: keep(f"events/{domain}", self.tagged(domain)) for domain in sorted(domains)}
-
-    def _resolved(self) -> DataFrame:
-        """``concept_id, tags``: one row per concept of any codeset, stored once and broadcast if a count allows it."""
-        rows = codesets(self.cdm, self.definitions).groupBy("concept_id").agg(F.sort_array(F.collect_set("codeset_id")).alias("tags"))
-        return broadcast_if_small(self.keep("concept_tags", rows))
+        self._tags = tags if tags is not None else resolved(cdm, self.definitions, keep)
+        self.tables = {domain: keep(f"events/{domain}", self.tagged(domain)) for domain in sorted(domains_of(self.specs))}
 
     def tagged(self, name: str) -> DataFrame:
         """One domain: its clinical table, read once, with the codesets of every row's concepts."""

@@ -26,12 +26,13 @@ from cohortry.operators.criteria import (
     scan_points,
 )
 from cohortry.operators.dominance import count_dominated, with_previous
-from cohortry.operators.event_store import EventStore, criteria_of
+from cohortry.operators.event_store import EventStore, criteria_of, domains_of, queries_of, resolved, share_codesets
+from cohortry.operators.events import DOMAINS, Events
 from cohortry.operators.exits import DateOffset, DrugEra
 from cohortry.operators.intervals import collapse_eras, first_per, in_observation, scan_days
 from cohortry.plans.cohort import EARLIEST, MAX_RULES, CohortSpec
 from cohortry.schemas import TABLES
-from cohortry.session import small_table
+from cohortry.session import scanned_bytes, small_table
 from cohortry.sources.cdm import Cdm
 
 # Index events of all definitions.
@@ -40,6 +41,9 @@ INDEX = ("owner", "person_id", "start_date", "end_date", "op_start_date", "op_en
 _SETTINGS = ("owner int, cohort_id long, prior_days int, post_days int, exit_field string, exit_days int, "
              "era int, era_pad int, every long")
 
+# Bytes of the clinical tables whose persons are taken in one round, about; slices of persons that rounds are made of.
+ROUND_BYTES, SLICES = 3 << 30, 256
+
 # Answers of so many criteria are the bits of one long.
 _WORD = 62
 
@@ -367,9 +371,47 @@ def build_cohorts(cdm: Cdm, specs: Sequence[CohortSpec], keep: Callable[[str, Da
 
     The rows are those of ``build_cohort`` for every definition. Their numbers
     must differ. No definition gives no row.
+
+    Whatever a step asks stays within a person. Large tables are therefore stored
+    once by slices of persons, and slices are taken in rounds, so that the steps of
+    one round are on disk at a time. ``keep.drop(name)``, if there is one, removes
+    the tables of a round when its cohorts are stored.
     """
     if len({s.cohort_id for s in specs}) < len(specs):
         raise ValueError("two definitions share a cohort id")
     if not specs:
         return small_table(cdm.spark, [], TABLES["cohort"])
-    return Batch(EventStore(cdm, specs, keep)).cohorts()
+    rounds = _rounds(cdm, specs)
+    return Batch(EventStore(cdm, specs, keep)).cohorts() if rounds == 1 else _in_rounds(cdm, specs, keep, rounds)
+
+
+def _rounds(cdm: Cdm, specs: Sequence[CohortSpec]) -> int:
+    """One where the tables are small, or where definitions read events that no domain holds."""
+    if not all(isinstance(q, Events) for q in queries_of(specs)):
+        return 1
+    held = sum(scanned_bytes(cdm[DOMAINS[name].table]) for name in domains_of(specs))
+    return max(1, min(SLICES, -(-held // ROUND_BYTES)))
+
+
+def _in_rounds(cdm: Cdm, specs: Sequence[CohortSpec], keep: Callable[[str, DataFrame], DataFrame], rounds: int) -> DataFrame:
+    drop = getattr(keep, "drop", lambda name: None)
+    tags = resolved(cdm, share_codesets(specs)[1], keep)
+    events = {DOMAINS[name].table: DOMAINS[name].event_id for name in domains_of(specs)}
+    sliced = {}
+    for name in sorted({*events, "observation_period", "person"}):
+        rows = cdm[name] if events.get(name) == "visit_occurrence_id" else cdm[name].drop("visit_occurrence_id")
+        # Sorted, so that a round reads its pages of a file and no others.
+        rows = rows.withColumn("_slice", F.pmod(F.xxhash64("person_id"), F.lit(SLICES)).cast("int")).sortWithinPartitions("_slice")
+        sliced[name] = keep(f"slices/{name}", rows)
+    parts = []
+    for k in range(rounds):
+        low, high = k * SLICES // rounds, (k + 1) * SLICES // rounds - 1
+        own = {name: rows.where(F.col("_slice").between(low, high)).drop("_slice") for name, rows in sliced.items()}
+        store = EventStore(cdm.with_tables(**own), specs, lambda name, df, k=k: keep(f"round-{k}/{name}", df), tags)
+        parts.append(keep(f"cohorts/{k}", Batch(store).cohorts()))
+        drop(f"round-{k}")
+    drop("slices")
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part)
+    return together

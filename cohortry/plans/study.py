@@ -38,6 +38,7 @@ from cohortry.sources.cdm import Cdm
 from cohortry.sources.merge import database_info
 from cohortry.sources.sinks import exclude_cohorts, read_cohorts, write_cohorts, write_results
 from cohortry.sources.snapshots import Snapshots
+from cohortry.sources.steps import Steps
 
 
 @dataclass(frozen=True)
@@ -132,17 +133,11 @@ class _StudyFolder:
     def _cohorts(self, ids: Sequence[int]) -> None:
         """All pending definitions side by side, and how many persons meet their inclusion rules."""
         specs = [s for s in (*self.study.targets, *self.study.strata_cohorts, *self.study.features) if s.cohort_id in set(ids)]
-        place = f"{self.folder}/work/build-{uuid.uuid4().hex}"
-
-        def keep(name: str, df: DataFrame) -> DataFrame:
-            df.write.parquet(f"{place}/{name}")
-            return self.spark.read.schema(df.schema).parquet(f"{place}/{name}")
-
-        batch = Batch(EventStore(self.cdm, specs, keep))
+        steps, place = Steps(self.spark, f"{self.folder}/work"), f"build-{uuid.uuid4().hex}"
+        batch = Batch(EventStore(self.cdm, specs, lambda name, df: steps(f"{place}/{name}", df)))
         write_cohorts(batch.cohorts(), self.staging_path, ids)
         self.inclusion.replace(batch.inclusion(), ids)
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        steps.drop(place)
 
     def _strata(self, ids: Sequence[int]) -> None:
         """Split the pending targets, and copy what is large enough to report."""

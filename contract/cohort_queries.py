@@ -37,6 +37,7 @@ from cohortry.plans.cohort import (
 )
 from cohortry.plans.study import Study, update_study
 from cohortry.sources.sinks import read_cohorts
+from cohortry.sources.steps import Steps
 from contract.events_queries import BRAND, EVENT_SQL, HIGH, LOW, MEDIUM, TYPE, URGENT, below
 from contract.registry import query
 from contract.views import PART, collapse_sql, stored_eras
@@ -457,12 +458,7 @@ STUDY_SPECS = [s for s, _ in STUDY]
 
 def in_folder(s, folder: str):
     """Store tables under a folder and read them back."""
-
-    def keep(name, df):
-        df.write.parquet(f"{folder}/{name}")
-        return s.spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    return keep
+    return Steps(s.spark, folder)
 
 
 @query("study_cohorts", " union all ".join(f"select * from ({cohort_sql(text, s.era_pad, s.cohort_id)}) c{s.cohort_id}" for s, text in STUDY))

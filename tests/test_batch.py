@@ -12,8 +12,10 @@ from cohortry.operators.event_store import EventStore, queries_of, share_codeset
 from cohortry.operators.events import Events
 from cohortry.operators.exits import DateOffset, DrugEra
 from cohortry.operators.vocabulary import concepts
+from cohortry.plans import batch
 from cohortry.plans.batch import Batch, build_cohorts
 from cohortry.plans.cohort import CohortSpec, build_cohort, inclusion_result
+from cohortry.sources.steps import Steps
 from contract import cohort_queries as known
 from contract import views
 from tests.conftest import rows
@@ -139,3 +141,46 @@ def test_definitions_without_criteria_and_limits_are_stored_once(spark, keep):
     specs = [CohortSpec(i, (Events("condition", 0),), {0: [concepts(5000000 + i, descendants=False)]}, exit=DateOffset("start", 30)) for i in (1, 2)]
     assert rows(build_cohorts(views.cdm(spark, SF_DIR), specs, seen))
     assert [name for name in stored if name.startswith("index/")] == ["index/qualified"]
+
+
+def test_persons_are_taken_in_rounds(spark, tmp_path, monkeypatch):
+    cdm, specs = views.cdm(spark, SF_DIR), [known.WHOLE, known.NESTED, *definitions()[-3:]]
+    wanted = rows(build_cohorts(cdm, specs, Steps(spark, str(tmp_path / "whole"))))
+    stored, steps = {}, Steps(spark, str(tmp_path / "rounds"))
+
+    class Watched(Steps):
+        def __call__(self, name, df):
+            found = super().__call__(name, df)
+            if re.search("index/qualified$", name):
+                stored[name] = {r[0] for r in found.select("person_id").distinct().collect()}
+            return found
+
+    monkeypatch.setattr(batch, "ROUND_BYTES", -(-sum(batch.scanned_bytes(cdm[batch.DOMAINS[d].table]) for d in batch.domains_of(specs)) // 3))
+    found = rows(build_cohorts(cdm, specs, Watched(spark, steps.folder)))
+    assert wanted and found == wanted
+    # No person is in two rounds, and what a round stored is gone.
+    assert len(stored) == 3 and all(stored.values()) and sum(map(len, stored.values())) == len(set.union(*stored.values()))
+    assert sorted(p.name for p in (tmp_path / "rounds").iterdir() if not p.name.startswith(".")) == ["cohorts", "concept_tags"]
+
+
+def test_persons_without_a_number_and_hot_ones_in_rounds(spark, bundle, tmp_path, monkeypatch):
+    d = lambda n: dt.date(2000, 1, 1) + dt.timedelta(days=n)
+    events = [(i, [1, None, 2, 3, 4][i % 5] if i % 3 else 2, 7, 0, 0, d(i % 50), None, None) for i in range(200)]
+    cdm = bundle(
+        condition_occurrence=events + events[:20],
+        observation_period=[(i, i, d(-10), d(400), 1) for i in (1, 2, 3, 4)] + [(9, None, d(-10), d(400), 1)],
+        concept=[(7, "a", "Condition", "v", "c", "S", "1", None)],
+    )
+    specs = [CohortSpec(i, (Events("condition", 0),), {0: [concepts(7, descendants=False)]}, exit=DateOffset("start", i),
+                        inclusion_rules=(all_in(Criterion(Events("condition", 0), Window(starts_to=day(-1)), at_least=i)),)) for i in (1, 2)]
+    wanted = rows(build_cohorts(cdm, specs, Steps(spark, str(tmp_path / "whole"))))
+    monkeypatch.setattr(batch, "_rounds", lambda *_: 5)
+    assert wanted and rows(build_cohorts(cdm, specs, Steps(spark, str(tmp_path / "rounds")))) == wanted
+
+
+def test_stored_steps_leave_no_shuffles(spark, tmp_path):
+    known_shuffles = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    source = type("Source", (), {"spark": spark})
+    keep, before = known.in_folder(source, str(tmp_path / "steps")), known_shuffles()
+    stored = keep("counts", spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+    assert known_shuffles() <= before and rows(stored) == [(k, 143 if k < 6 else 142) for k in range(7)]
